@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, sharding, token_output
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_orc_token_ids": token_output.op2_orc_token_ids,
+        "op4_sentencepiece_bpe": bpe.op4_sentencepiece_bpe,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
     }
 

@@ -87,7 +87,7 @@ class PieceCoder:
         self.encode, self.held = encode, held
         rng = np.random.default_rng()
         self.mix = rng.integers(0, 1 << 63, size=0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(int(rng.integers(1 << 40, 1 << 62)) * 8 + 5)
+        self.base = np.uint64(int(rng.integers(1 << 40, 1 << 60)) * 8 + 5)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.power = self.back = np.ones(1, dtype=np.uint64)
         self.clear()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, sharding, token_output
+from . import bpe, exact_dedup, lines, secrets, sharding, token_output
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_orc_token_ids": token_output.op2_orc_token_ids,
         "op4_sentencepiece_bpe": bpe.op4_sentencepiece_bpe,
+        "op5_secret_ownership": secrets.op5_secret_ownership,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
+        "op7_mph_line_dedup": lines.op7_mph_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mph_line_dedup": lines.ORACLE_SQL}

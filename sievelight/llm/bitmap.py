@@ -23,14 +23,22 @@ def build(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
     )
 
 
-def keep_possible(df: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows of df whose key may be among the bitmap's keys (all that are, and some that are not)."""
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
+def _bit_set(at: Column) -> Column:
     bit = at.bitwiseAND(F.lit(_ROW - 1))
     byte = F.conv(F.hex(F.substring(F.col("bm_map"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10)
     mask = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int"))
-    return (
-        df.join(F.broadcast(bitmap), F.shiftright(at, 15) == F.col("bm_row"))
-        .where(byte.cast("int").bitwiseAND(mask) != 0)
-        .drop("bm_row", "bm_map")
-    )
+    return byte.cast("int").bitwiseAND(mask) != 0
+
+
+def keep_possible(df: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of df whose key may be among the bitmap's keys (all that are, and some that are not)."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    joined = df.withColumn("_bm_at", at).join(F.broadcast(bitmap), F.shiftright("_bm_at", 15) == F.col("bm_row"))
+    return joined.where(_bit_set(F.col("_bm_at"))).drop("_bm_at", "bm_row", "bm_map")
+
+
+def tag(df: DataFrame, key: Column, bitmap: DataFrame, bits: int = BITS) -> DataFrame:
+    """df with _possible: false where the key is certainly not among the bitmap's keys."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    joined = df.withColumn("_bm_at", at).join(F.broadcast(bitmap), F.shiftright("_bm_at", 15) == F.col("bm_row"), "left")
+    return joined.withColumn("_possible", F.coalesce(_bit_set(F.col("_bm_at")), F.lit(False))).drop("_bm_at", "bm_row", "bm_map")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, lines, secrets, sharding, simhash, token_output
+from . import bpe, exact_dedup, html_text, langid, lines, secrets, sharding, simhash, token_output
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
         "op7_mph_line_dedup": lines.op7_mph_line_dedup,
         "op8_ftrl_language": langid.op8_ftrl_language,
+        "op9_wrapper_induction": html_text.op9_wrapper_induction,
         "op10_simhash_bitsliced": simhash.op10_simhash_bitsliced,
     }
 

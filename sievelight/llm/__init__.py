@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, langid, lines, secrets, sharding, simhash, token_output
+from . import bpe, decontaminate, exact_dedup, html_text, langid, lines, secrets, sharding, simhash, token_output
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_orc_token_ids": token_output.op2_orc_token_ids,
+        "op3_minhash_containment": decontaminate.op3_minhash_containment,
         "op4_sentencepiece_bpe": bpe.op4_sentencepiece_bpe,
         "op5_secret_ownership": secrets.op5_secret_ownership,
         "op6_hypergeometric_shards": sharding.op6_hypergeometric_shards,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op7_mph_line_dedup": lines.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_minhash_containment": decontaminate.ORACLE_SQL, "op7_mph_line_dedup": lines.ORACLE_SQL}

@@ -40,19 +40,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once a row, also where use is a lambda over an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _each_shingle(words: Column, size: int, use) -> Column:
+    def run(w: Column) -> Column:
+        n = F.size(w)
+        at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: use(F.concat_ws(" ", F.slice(w, i, F.lit(size)))))
+
+    return _bound(words, run)
+
+
 def shingles(words: Column, size: int = WORDS) -> Column:
     """Shingles in order; none for no words."""
-    n = F.size(words)
-    at = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))
-    every = F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(size))))
-    return F.when(n > 0, every).otherwise(F.array().cast("array<string>"))
+    return _each_shingle(words, size, lambda s: s)
 
 
 def _hashes(words: Column, size: int = WORDS) -> Column:
-    n = F.size(words)
-    at = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))
-    every = F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, F.lit(size)))))
-    return F.sort_array(F.when(n > 0, every).otherwise(F.array().cast("array<bigint>")))
+    return F.sort_array(_each_shingle(words, size, F.xxhash64))
 
 
 def extra_bits(shortest: int) -> int:
@@ -70,11 +78,13 @@ def _minima(sorted_hashes: Column, bits: Column) -> Column:
     """First hash of each bin; the sign bit makes no difference to the order of signed numbers."""
     shift = F.lit(64) - bits
 
-    def first(x: Column, i: Column) -> Column:
-        before = F.get(sorted_hashes, i - 1)
-        return (i == 0) | (F.call_function("shiftright", x, shift) != F.call_function("shiftright", before, shift))
+    def run(h: Column) -> Column:
+        def first(x: Column, i: Column) -> Column:
+            return (i == 0) | (F.call_function("shiftright", x, shift) != F.call_function("shiftright", F.get(h, i - 1), shift))
+
+        return F.filter(h, first)
 
-    return F.filter(sorted_hashes, first)
+    return _bound(sorted_hashes, run)
 
 
 def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

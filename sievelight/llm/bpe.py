@@ -135,26 +135,30 @@ def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "id
     return df.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, decoded binary").select(F.col("id").alias(id_col), "decoded")
 
 
-def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each text in one pass: id, n_tokens and the hashes of ids and decoded bytes."""
+def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each text in one pass: id, n_tokens and the hashes of ids and decoded bytes; the ids
+    too if wanted."""
 
     def run(batches):
         for b in batches:
             own = codec(ranks)
             rows: list[tuple[int, str, str]] = []
+            every: list[np.ndarray] = []
             texts = b.column(1).to_pylist()
             for i, j, _ in chunks(texts):
                 for ids in own.encode(texts[i:j]):
                     listed = ids.tolist()
+                    if with_ids:
+                        every.append(ids)
                     rows.append((len(listed), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(every, pa.list_(pa.int32()))] if with_ids else [])],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 

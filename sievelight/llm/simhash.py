@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .pretokens import chunks
 from .scratch import stored
 
@@ -352,5 +353,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, total: int = 14) -> DataFrame:
+    """docs with one document of each group of near-duplicates: that with the smallest identifier.
+
+    Groups are joined by two 64-bit fingerprints over distinct words (word_fingerprints): one of them within
+    radius and both together within total bits.  Texts that agree in 0.8 of their five-word shingles differ
+    in one word of fifty, which moves 4 bits of 64 in the mean; shingles of five words would move ten, beyond
+    what blocks can search.  Rows that repeat an identifier and its text stay or go together."""
+
+    def run(batches):
+        for b in batches:
+            fp = word_fingerprints(b.column(2).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["id", "tk", "f0", "f1"])
+
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tk"), F.col(text_col).alias("text"))
+    signed = stored(rows.mapInArrow(run, "id long, tk long, f0 long, f1 long"), "fingerprints")
+    later = grouped(signed, ["f0", "f1"], radius, total).where("id != component_id")
+    later = stored(later.select(F.col("id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "later-copies")
+    bits = bitmap.build(later, F.struct("_id", "_tk"))
+    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tk", key)
+    tagged = bitmap.tag(named, F.struct("_id", "_tk"), bits)
+    stay = tagged.where("not _possible").select(*docs.columns)
+    move = tagged.where("_possible").join(later, ["_id", "_tk"], "left_anti").select(*docs.columns)
+    return stay.unionByName(move)
+
+
 def op10_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,6 +1,280 @@
-"""Named queries with their DuckDB equivalents."""
+"""Named queries with their DuckDB equivalents.  A query runs over the whole of its tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entropy as E
+from ..functions import text as T
+from ..operators import detect, post, surface
+from ..sources import corpora
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: Verdicts age towards this moment.
+NOW = "2026-01-01 00:00:00"
+
+
+def register(name: str, oracle: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return put
+
+
+def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a path as one file, in the order of their keys."""
+    rows = corpora.derived(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "content"))).alias("c"))
+    return rows.select("path", F.array_join(F.col("c.content"), "\n").alias("content"))
+
+
+CORPORA: dict[str, Query] = {
+    "documents": corpora.documents, "pages": corpora.pages, "conversations": corpora.conversations, "benchmark": corpora.benchmark,
+    "derived": lambda s, d: corpora.derived(s, d).select("path", "content"), "derived_files": derived_files,
+}
+
+
+def _unique(spark: SparkSession, d: str) -> DataFrame:
+    return post.deduplicated(detect.scan_rules(derived_files(spark, d)))
+
+
+def _lower(spark: SparkSession, d: str) -> DataFrame:
+    return post.downgraded(_unique(spark, d))
+
+
+for _c in ("documents", "pages", "conversations", "benchmark", "derived"):
+
+    @register(f"rules_{_c}", sql.rules_query(_c))
+    def _rules(spark, d, c=_c):
+        return detect.scan_rules(CORPORA[c](spark, d)).select("path", "line_no", "rule", "severity", "secret", "context", "entropy")
+
+
+for _c in ("documents", "derived"):
+
+    @register(f"entropy_tokens_{_c}", sql.entropy_tokens(_c))
+    def _tokens(spark, d, c=_c):
+        return detect.scan_entropy_tokens(CORPORA[c](spark, d)).select("path", "line_no", "secret", "entropy")
+
+    @register(f"contextual_entropy_{_c}", sql.contextual(_c))
+    def _contextual(spark, d, c=_c):
+        return detect.scan_contextual(CORPORA[c](spark, d)).select("path", "line_no", "secret", "entropy")
+
+    @register(f"auth_headers_{_c}", sql.auth_headers(_c))
+    def _auth(spark, d, c=_c):
+        return detect.scan_auth_headers(CORPORA[c](spark, d)).select("path", "line_no", "rule", "severity", "secret")
+
+
+@register("url_query_secrets_pages", sql.url_secrets("pages"))
+def _url(spark, d):
+    return detect.scan_url_secrets(corpora.pages(spark, d)).select("path", "line_no", "secret")
+
+
+@register("line_context_documents", sql.line_context("documents"))
+def _context(spark, d):
+    return T.lines(corpora.documents(spark, d))
+
+
+@register("shannon_words", sql.words_entropy())
+def _words(spark, d):
+    words = corpora.read(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("entropy", E.shannon(F.col("word")))
+
+
+@register("multiline_derived", sql.multiline("derived_files"))
+def _multiline(spark, d):
+    return detect.scan_multiline(derived_files(spark, d)).select("path", "rule", "severity", "secret", "line_no")
+
+
+@register("endpoints_pages", sql.endpoints("pages") + " SELECT * FROM ends")
+def _endpoints(spark, d):
+    return surface.endpoints(corpora.pages(spark, d)).select("path", "endpoint", "line_no")
+
+
+@register("endpoint_risk_derived", sql.endpoints("derived") + f" SELECT endpoint, count(*) AS n, {sql.risk('endpoint')} AS risk FROM ends GROUP BY endpoint")
+def _risk(spark, d):
+    found = surface.endpoints(CORPORA["derived"](spark, d)).groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("risk", surface.risk(F.col("endpoint")))
+
+
+_PAGE_LINKS = r"""SELECT DISTINCT url AS page, link FROM (
+  SELECT url, unnest(list_concat(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*"([^"]*)"', 1), regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*''([^'']*)''', 1))) AS link FROM pages) WHERE link <> ''"""
+
+
+@register("links_pages", "SELECT page AS url, link FROM (" + _PAGE_LINKS + ")")
+def _links(spark, d):
+    return surface.links(corpora.read(spark, d, "pages")).distinct()
+
+
+@register("link_risk_pages", f"SELECT link, count(*) AS n, {sql.risk('link')} AS risk FROM ({_PAGE_LINKS}) GROUP BY link")
+def _link_risk(spark, d):
+    found = surface.links(corpora.read(spark, d, "pages")).distinct().groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("risk", surface.risk(F.col("link")))
+
+
+@register("url_classes_pages", sql.classes("SELECT url FROM pages UNION ALL SELECT link FROM (" + _PAGE_LINKS + ")"))
+def _classes(spark, d):
+    pages = corpora.read(spark, d, "pages")
+    return surface.classified(pages.select("url").unionByName(surface.links(pages).distinct().select(F.col("link").alias("url"))))
+
+
+@register("host_counts_pages", "SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, count(*) AS pages FROM pages GROUP BY ALL")
+def _hosts(spark, d):
+    return corpora.read(spark, d, "pages").groupBy(surface.origin(F.col("url")).alias("origin")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@register("storage_references_documents", sql.storage("documents"))
+def _storage(spark, d):
+    return surface.storage_references(corpora.documents(spark, d))
+
+
+_FINDING = "path, line_no, rule, severity, secret, context, entropy"
+
+
+@register("dedup_findings", sql.deduplicated("derived_files") + f" SELECT {_FINDING} FROM unique_findings")
+def _dedup(spark, d):
+    return _unique(spark, d).select(*_FINDING.split(", "))
+
+
+@register("downgrade_findings", sql.downgraded("derived_files") + f" SELECT {_FINDING} FROM lower_findings")
+def _downgrade(spark, d):
+    return _lower(spark, d).select(*_FINDING.split(", "))
+
+
+@register("fingerprints", sql.deduplicated("derived_files") + f" SELECT path, line_no, rule, {sql.FINGERPRINT} AS fingerprint, {sql.IGNORE_ID} AS ignore_id FROM unique_findings")
+def _fingerprints(spark, d):
+    return post.with_fingerprints(_unique(spark, d)).select("path", "line_no", "rule", "fingerprint", "ignore_id")
+
+
+@register(
+    "ignore_filter",
+    sql.deduplicated("derived_files")
+    + f" SELECT path, line_no, rule, secret FROM unique_findings WHERE {sql.IGNORE_ID} NOT IN (SELECT {sql.IGNORE_ID} FROM unique_findings WHERE rule = 'google_api_key')"
+    " AND NOT regexp_matches(secret, '^sk_live_[0-7]') AND NOT regexp_matches(path, '^sk_live_[0-7]')",
+)
+def _ignore(spark, d):
+    found = _unique(spark, d)
+    marks = post.with_fingerprints(found.where("rule = 'google_api_key'"))
+    return post.not_ignored(found, marks, ["^sk_live_[0-7]"]).select("path", "line_no", "rule", "secret")
+
+
+@register(
+    "novelty",
+    sql.deduplicated("derived_files")
+    + f" SELECT path, line_no, rule, secret, {sql.FINGERPRINT} AS fingerprint, NOT (path LIKE 'src/3%') AS is_new FROM unique_findings",
+)
+def _novelty(spark, d):
+    found = _unique(spark, d)
+    cache = post.with_fingerprints(found.where("path LIKE 'src/3%'")).select("fingerprint")
+    return post.with_novelty(found, cache).select("path", "line_no", "rule", "secret", "fingerprint", "is_new")
+
+
+@register("summary_severity", sql.downgraded("derived_files") + " SELECT severity, count(*) AS findings, count(DISTINCT path) AS files FROM lower_findings GROUP BY severity")
+def _by_severity(spark, d):
+    return post.by_severity(_lower(spark, d))
+
+
+@register(
+    "summary_extension",
+    sql.downgraded("derived_files") + r" SELECT coalesce(nullif(lower(regexp_extract(path, '(\.[^./]*)$', 1)), ''), '(no ext)') AS ext, count(*) AS findings FROM lower_findings GROUP BY ALL",
+)
+def _by_extension(spark, d):
+    return post.by_extension(_lower(spark, d))
+
+
+@register("summary_category", sql.downgraded("derived_files") + f" SELECT {sql.category('rule')} AS category, count(*) AS findings FROM lower_findings GROUP BY ALL")
+def _by_category(spark, d):
+    return post.by_category(_lower(spark, d))
+
+
+@register("exit_code", sql.downgraded("derived_files") + " SELECT CASE WHEN max(severity) IS NULL THEN 0 WHEN max(severity) >= 3 THEN 2 ELSE 1 END AS code, coalesce(max(severity), -1) AS max_severity FROM lower_findings")
+def _exit(spark, d):
+    return post.exit_code(_lower(spark, d), 3)
+
+
+@register("credential_pairs", sql.pairs())
+def _pairs(spark, d):
+    return post.credential_pairs(detect.scan_rules(derived_files(spark, d)))
+
+
+@register("database_urls", sql.findings("derived_files") + f" SELECT path, 'database_url_with_credentials' AS pair, line_no, rule, secret FROM findings WHERE regexp_matches(secret, {sql.quoted(post.DATABASE_URL)})")
+def _db(spark, d):
+    return post.database_urls(detect.scan_rules(derived_files(spark, d)))
+
+
+# Verdicts: each event is one on the finding that its user's number picks.
+_VERDICTS = f"""{sql.deduplicated("derived_files")}, f AS (SELECT {sql.FINGERPRINT} AS fingerprint, rule, path FROM unique_findings),
+n AS (SELECT *, row_number() OVER (ORDER BY fingerprint) - 1 AS i, count(*) OVER () AS total FROM (SELECT fingerprint, min(rule) AS rule, min(path) AS path FROM f GROUP BY fingerprint)),
+v AS (SELECT rule, {sql.file_pattern("path")} AS file_pattern, event_type <> 'purchase' AS fp,
+ exp(-((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000.0) / 90.0) AS w FROM events JOIN n ON i = user_id % total),
+w AS (SELECT rule, file_pattern, sum(CASE WHEN fp THEN 0.0 ELSE w END) AS tp, sum(CASE WHEN fp THEN w ELSE 0.0 END) AS fpw, count(*) AS samples FROM v GROUP BY ALL)"""
+
+
+def _known_findings(spark, d):
+    from pyspark.sql import Window as W
+
+    own = post.with_fingerprints(_unique(spark, d)).groupBy("fingerprint").agg(F.min("rule").alias("rule"), F.min("path").alias("path"))
+    return own.withColumn("i", F.row_number().over(W.orderBy("fingerprint")) - 1)
+
+
+def _weights(spark, d):
+    known = _known_findings(spark, d)
+    total = known.agg(F.count(F.lit(1)).alias("total"))
+    events = corpora.read(spark, d, "events").crossJoin(F.broadcast(total))  # one row
+    verdicts = events.withColumn("i", F.col("user_id") % F.col("total")).join(known.select("i", "fingerprint"), "i")
+    verdicts = verdicts.select("fingerprint", F.when(F.col("event_type") == "purchase", "tp").otherwise("fp").alias("verdict"), F.col("ts").alias("created_at"))
+    return post.learned_weights(verdicts, known, F.lit(NOW).cast("timestamp"))
+
+
+@register(
+    "learned_weights",
+    _VERDICTS + f" SELECT rule, file_pattern, round(tp, 6) AS tp_weighted, round(fpw, 6) AS fp_weighted, samples, "
+    f"CASE WHEN samples >= 200 THEN 3 WHEN samples >= 50 THEN 2 WHEN samples >= 10 THEN 1 ELSE 0 END AS tier, round({sql.modifier('fpw', 'tp', 'samples', 'rule')}, 6) AS modifier FROM w",
+)
+def _learned(spark, d):
+    w = _weights(spark, d)
+    return w.select("rule", "file_pattern", *(F.round(c, 6).alias(c) for c in ("tp_weighted", "fp_weighted")), "samples", "tier", F.round("modifier", 6).alias("modifier"))
+
+
+@register(
+    "confidence_bands",
+    sql.findings("derived_files") + """, s AS (SELECT rule, 40 + CASE WHEN entropy >= 4.5 THEN 20 ELSE 0 END + CASE WHEN """
+    + " OR ".join(f"contains(lower(line), '{k}')" for k in E.CONTEXT_KEYWORDS)
+    + """ THEN 15 ELSE 0 END AS score FROM findings)
+ SELECT rule, score, CASE WHEN score <= 30 THEN 'LOW' WHEN score <= 60 THEN 'MEDIUM' WHEN score <= 90 THEN 'HIGH' WHEN score <= 120 THEN 'CRITICAL' ELSE 'VERY_HIGH' END AS band, count(*) AS n FROM s GROUP BY ALL""",
+)
+def _bands(spark, d):
+    found = detect.scan_rules(derived_files(spark, d))
+    score = post.confidence_score(F.lit(True), F.col("entropy"), E.context_keyword(F.col("context")), F.lit(False), F.lit(False))
+    scored = found.select("rule", score.alias("score"))
+    return scored.select("rule", "score", post.band(F.col("score")).alias("band")).groupBy("rule", "score", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "rule_quality",
+    r"""WITH t AS (SELECT doc_id, regexp_matches(text, '(?i)(password|token|secret)\s*[:=]') AS hit FROM documents),
+j AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS rule, toxic = 1 AS positive, hit FROM labels JOIN t USING (doc_id)),
+c AS (SELECT rule, sum((positive AND hit)::INT) AS tp, sum((NOT positive AND hit)::INT) AS fp, sum((positive AND NOT hit)::INT) AS fn, sum((NOT positive)::INT) AS neg, sum(positive::INT) AS pos FROM j GROUP BY rule),
+r AS (SELECT rule, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp)::DOUBLE, 4) END AS "precision", CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn)::DOUBLE, 4) END AS recall,
+ CASE WHEN neg = 0 THEN 0.0 ELSE round(fp / neg::DOUBLE, 4) END AS fp_rate, CASE WHEN pos = 0 THEN 0.0 ELSE round(fn / pos::DOUBLE, 4) END AS fn_rate FROM c)
+SELECT *, fp_rate <= 0.005 AND fn_rate <= 0.05 AS passed FROM r""",
+)
+def _quality(spark, d):
+    hit = F.col("text").rlike(r"(?i)(password|token|secret)\s*[:=]")
+    rows = corpora.read(spark, d, "labels").join(corpora.read(spark, d, "documents").select("doc_id", hit.alias("hit")), "doc_id")
+    return post.rule_quality(rows.select(F.when(F.col("quality") == 1, "good").otherwise("poor").alias("rule"), (F.col("toxic") == 1).alias("positive"), "hit"))
+
+
+@register(
+    "redacted_report",
+    sql.deduplicated("derived_files") + " SELECT path, line_no, rule, left(secret, 4) || repeat('*', greatest(length(secret) - 4, 0)::INT) AS secret FROM unique_findings WHERE length(secret) > 4",
+)
+def _redacted(spark, d):
+    return _unique(spark, d).where(F.length("secret") > 4).select("path", "line_no", "rule", T.redacted(F.col("secret")).alias("secret"))

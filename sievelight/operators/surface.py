@@ -119,13 +119,9 @@ def risk(path: Column) -> Column:
 
 def storage_references(docs: DataFrame) -> DataFrame:
     """(path, url, provider): cloud storage named in a document, each url once."""
-    def hits_of(n: int, provider: str, pattern: str) -> Column:
-        urls = F.regexp_extract_all("content", F.lit(to_java(pattern)), F.lit(0))
-        return F.transform(urls, lambda u, i: F.struct(F.lit(n).alias("ord"), i.alias("at"), u.alias("url"), F.lit(provider).alias("provider")))
-
-    hits = F.concat(*(hits_of(n, *s) for n, s in enumerate(STORAGE)))
-    each = docs.select("path", F.explode(hits).alias("h")).select("path", "h.*")
-    return first_of(each, [F.col("path"), F.col("url")], [F.col("ord"), F.col("at")]).select("path", "url", "provider")
+    found = line_matches(docs.select("path", "content"), STORAGE)
+    found = found.withColumnRenamed("value", "url").withColumnRenamed("name", "provider")
+    return first_of(found, [F.col("path"), F.col("url")], [F.col("ord"), F.col("line_no"), F.col("col")]).select("path", "url", "provider")
 
 
 def _any(url: Column, patterns) -> Column:

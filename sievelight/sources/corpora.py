@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables under this size are dealt over all cores; larger ones have enough row groups of their own.
+SMALL_BYTES = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table often is one row group, which one task would read and search alone."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return spread(read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return spread(read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return read(spark, sf_dir, "conversations").select(at.alias("path"), F.col("text").alias("content"))
+    return spread(read(spark, sf_dir, "conversations").select(at.alias("path"), F.col("text").alias("content")))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("src/"), (key % 7).cast("string"), F.when(key % 5 == 0, "/test/").otherwise("/app/"), F.lit("f"), (key % 11).cast("string"), F.lit(".js")
     )
     kind = F.array(*_planted(k, h))
-    return read(spark, sf_dir, "orders").select(key.alias("k"), path.alias("path"), F.get(kind, (key % 20).cast("int")).alias("content"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(key.alias("k"), path.alias("path"), F.get(kind, (key % 20).cast("int")).alias("content"))
 
 
 SQL = {

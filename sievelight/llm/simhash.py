@@ -92,8 +92,17 @@ def xxh64(data: bytes, start: np.ndarray, length: np.ndarray, seed: int = 42) ->
     return out
 
 
-def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42) -> np.ndarray:
-    """Majority bits over all shingles, repeats included, of each text."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = h + _U(0x9E3779B97F4A7C15)
+        x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+        return x ^ x >> _U(31)
+
+
+def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42, bands: int = 1) -> np.ndarray:
+    """Majority bits over all shingles, repeats included, of each text; bands above one take further bits of
+    mixed hashes and give a column each."""
     out = []
     for _, _, part in chunks(texts):
         tokens = [t.encode().translate(_LOWER).split() for t in part]
@@ -107,16 +116,20 @@ def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42
         doc = np.repeat(np.arange(len(n)), count)
         first = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + doc_at[doc]
         last = first + np.minimum(n, words)[doc] - 1
-        ones = np.zeros((len(n), 64), np.int64)
+        ones = np.zeros((len(n), 64 * bands), np.int64)
         for i in range(0, total, 1 << 18):
             a, b, d = first[i : i + (1 << 18)], last[i : i + (1 << 18)], doc[i : i + (1 << 18)]
             h = xxh64(data, begin[a], end[b] - begin[a], seed)
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            each = [h]
+            while len(each) < bands:
+                each.append(_mixed(each[-1]))
+            bits = np.unpackbits(np.stack(each, axis=1).astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
             edge = np.append(0, np.flatnonzero(np.diff(d)) + 1)
             ones[d[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
         major = (2 * ones > count[:, None]).astype(np.uint8)
-        out.append(np.packbits(major, axis=1, bitorder="little").view("<u8").ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append(np.packbits(major, axis=1, bitorder="little").view("<u8"))
+    every = np.concatenate(out) if out else np.zeros((0, bands), np.uint64)
+    return every[:, 0] if bands == 1 else every
 
 
 def word_fingerprints(texts: list[str | None]) -> np.ndarray:
@@ -256,22 +269,24 @@ def _bucket_keys(fp: Column, blocks: int, band: int) -> list[Column]:
     return out
 
 
-def links(classes: DataFrame, bands: list[str], radius: int, total: int | None = None) -> DataFrame:
-    """(a, b): links between classes (id and the band columns, distinct signatures).  Classes are linked if
-    one band differs in at most radius bits, and all bands together in at most total (if given)."""
+def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[list[str], int]] | None = None) -> DataFrame:
+    """(a, b): links between classes (id and fingerprint columns, distinct signatures).  Classes are linked if
+    one of the bands differs in at most radius bits and, for each of the limits, its columns differ in at
+    most so many bits together."""
     blocks = radius + 2
-    # several bands travel with each row only where the total needs them
-    carried = bands if total is not None and len(bands) > 1 else []
+    limits = limits or []
+    carried = list(dict.fromkeys([*bands, *(c for cols, _ in limits for c in cols)]))
     rows = None
     for n, band in enumerate(bands):
-        own = classes.where(F.col("id").isNotNull()).select("id", F.col(band).alias("fp"), *(F.col(b) for b in carried), F.explode(F.array(*_bucket_keys(F.col(band), blocks, n))).alias("k"))
+        keys = F.explode(F.array(*_bucket_keys(F.col(band), blocks, n))).alias("k")
+        own = classes.where(F.col("id").isNotNull()).select("id", *carried, keys)
         rows = own if rows is None else rows.unionByName(own)
     sizes = stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
     dealt = rows.join(sizes, "k").withColumn("c", parts)
     mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.least(x, mine) * F.col("c") + F.greatest(x, mine))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("k", "pair", "id", "fp", *carried)
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("k", "pair", "id", *carried)
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "k", "pair").sortWithinPartitions("k", "pair", "id")
@@ -291,11 +306,18 @@ def links(classes: DataFrame, bands: list[str], radius: int, total: int | None =
             yield from found(held)
 
     def found(cols):
-        k, pair, ids, fp, *more = cols
+        k, pair, ids, *prints = cols
         group = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(pair) != 0)))
-        more = [x.view(np.uint64) for x in more]
-        further = (lambda i, j: sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in more) <= total) if more else None
-        at = _joined(fp.view(np.uint64), group, radius, further)
+        named = {c: x.view(np.uint64) for c, x in zip(carried, prints, strict=True)}
+        fp = np.choose(k >> 58, [named[b] for b in bands])
+
+        def further(i, j):
+            ok = np.ones(len(i), bool)
+            for cols, most in limits:
+                ok &= sum(np.bitwise_count(named[c][i] ^ named[c][j]).astype(np.int64) for c in cols) <= most
+            return ok
+
+        at = _joined(fp, group, radius, further if limits else None)
         a, b = ids[at[:, 0]], ids[at[:, 1]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -326,12 +348,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(signed: DataFrame, bands: list[str], radius: int, total: int | None = None) -> DataFrame:
-    """signed (id, bands, any other columns) with component_id."""
-    classes = stored(signed.groupBy(*bands).agg(F.min("id").alias("id")), "classes")
-    label = components(links(classes, bands, radius, total))
-    named = classes.join(label, "id", "left").select(*bands, F.coalesce("component", "id").alias("component_id"))
-    return signed.join(stored(named, "named"), bands, "left")
+def grouped(signed: DataFrame, bands: list[str], radius: int, limits: list[tuple[list[str], int]] | None = None) -> DataFrame:
+    """signed (id, fingerprint columns) with component_id."""
+    prints = [c for c in signed.columns if c in bands or any(c in cols for cols, _ in limits or [])]
+    classes = stored(signed.groupBy(*prints).agg(F.min("id").alias("id")), "classes")
+    label = components(links(classes, bands, radius, limits))
+    named = classes.join(label, "id", "left").select(*prints, F.coalesce("component", "id").alias("component_id"))
+    return signed.join(stored(named, "named"), prints, "left")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -353,23 +376,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, total: int = 14) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, word_bits: int = 14, shingle_bits: int = 34) -> DataFrame:
     """docs with one document of each group of near-duplicates: that with the smallest identifier.
 
-    Groups are joined by two 64-bit fingerprints over distinct words (word_fingerprints): one of them within
-    radius and both together within total bits.  Texts that agree in 0.8 of their five-word shingles differ
-    in one word of fifty, which moves 4 bits of 64 in the mean; shingles of five words would move ten, beyond
-    what blocks can search.  Rows that repeat an identifier and its text stay or go together."""
+    Texts that agree in 0.8 of their five-word shingles differ in about one word of fifty.  That moves 10 of
+    64 bits of a fingerprint over the shingles, too many for a search by blocks, but 4 of 64 over weighted
+    words.  So two word fingerprints find candidates (one within radius, both within word_bits of 128), and
+    two over five-word shingles judge them: within shingle_bits of 128 (0.8 gives 19 in the mean, with a
+    deviation of 4; texts without common shingles give 64).  Rows that repeat an identifier and its text
+    stay or go together."""
 
     def run(batches):
         for b in batches:
-            fp = word_fingerprints(b.column(2).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["id", "tk", "f0", "f1"])
+            texts = b.column(2).to_pylist()
+            w, s = word_fingerprints(texts).view(np.int64), shingle_fingerprints(texts, 5, bands=2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (w[:, 0], w[:, 1], s[:, 0], s[:, 1]))], ["id", "tk", "f0", "f1", "s0", "s1"])
 
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tk"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(run, "id long, tk long, f0 long, f1 long"), "fingerprints")
-    later = grouped(signed, ["f0", "f1"], radius, total).where("id != component_id")
+    signed = stored(rows.mapInArrow(run, "id long, tk long, f0 long, f1 long, s0 long, s1 long"), "fingerprints")
+    later = grouped(signed, ["f0", "f1"], radius, [(["f0", "f1"], word_bits), (["s0", "s1"], shingle_bits)]).where("id != component_id")
     later = stored(later.select(F.col("id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "later-copies")
     bits = bitmap.build(later, F.struct("_id", "_tk"))
     named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tk", key)

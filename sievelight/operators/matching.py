@@ -23,10 +23,11 @@ def _anywhere(pattern: str) -> str:
 
 
 def line_matches(
-    docs: DataFrame, patterns: Sequence[tuple[str, str]], group: int = 0, first_only: bool = False, content: str = "content",
+    docs: DataFrame, patterns: Sequence[tuple[str, str]], group: int = 0, first_only: bool = False, content: str = "content", whole: bool = False,
 ) -> DataFrame:
     """docs' columns but the content, then line_no, line, ord (of the pattern), name, col (bytes before the
-    match), value: the matches of each (name, pattern) in each line; group 0 is the whole match."""
+    match), value: the matches of each (name, pattern) in each line (or, if whole, in the content as
+    one line); group 0 is the whole match."""
     rest = [f for f in docs.schema.fields if f.name != content]
     names = [f.name for f in rest]
     patterns = list(patterns)
@@ -41,7 +42,8 @@ def line_matches(
                     may.setdefault(i, []).append(k)
             rows, no, line_, ord_, col, val = [], [], [], [], [], []
             for i, ks in sorted(may.items()):
-                for n, line in enumerate(texts[i].as_py().split("\n"), 1):
+                text = texts[i].as_py()
+                for n, line in enumerate([text] if whole else text.split("\n"), 1):
                     for k in ks:
                         for m in compiled(patterns[k][1]).finditer(line):
                             if m.group(group) is None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions import text as T
-from ..operators import detect, post, surface
+from ..operators import decode, detect, post, surface, trees
 from ..sources import corpora
 from . import sql
 
@@ -278,3 +278,118 @@ def _quality(spark, d):
 )
 def _redacted(spark, d):
     return _unique(spark, d).where(F.length("secret") > 4).select("path", "line_no", "rule", T.redacted(F.col("secret")).alias("secret"))
+
+
+# ---- decoding, trees and scripts -----------------------------------------------------------------------
+
+_PRINTABLE = r"^[\x20-\x7E\t\n\r]*\z"
+
+
+@register(
+    "decoded_derived",
+    f"""WITH {sql.lines("derived_files")}, b AS (SELECT path, line_no, 'base64' AS tag, unnest(regexp_extract_all(line, '\\b[A-Za-z0-9+/]{{32,}}\\b', 0)) AS m FROM lines),
+h AS (SELECT path, line_no, 'hex' AS tag, unnest(regexp_extract_all(line, '\\b(?:[0-9a-fA-F]{{2}}){{10,}}\\b', 0)) AS m FROM lines),
+raw AS (SELECT path, line_no, tag, TRY(from_base64(m || repeat('=', (-length(m)) % 4 + CASE WHEN length(m) % 4 = 0 THEN 0 ELSE 4 END))) AS data FROM b WHERE length(m) % 4 <> 1
+ UNION ALL SELECT path, line_no, tag, TRY(unhex(m)) FROM h WHERE m = lower(m) OR m = upper(m))
+SELECT path, line_no, tag, decode(data) AS text FROM raw WHERE data IS NOT NULL AND regexp_full_match(hex(data), '(?:[2-6][0-9A-F]|7[0-9A-E]|09|0A|0D)+')""",
+)
+def _decoded(spark, d):
+    out = decode.decoded(derived_files(spark, d), ("base64", "hex"), depth=1).where(F.col("text").rlike(_PRINTABLE) & (F.col("text") != ""))
+    return out.select("path", "line_no", "tag", "text")
+
+
+@register("scan_decoded_derived")
+def _scan_decoded(spark, d):
+    return decode.scan_decoded(derived_files(spark, d)).select("path", "line_no", "rule", "severity", "secret", "entropy")
+
+
+_JSON_SQL = """SELECT o_orderkey::VARCHAR AS path, '{"config":{"api_key":"' || sha256(o_orderkey::VARCHAR)[1:20] || '","items":["' || o_orderpriority || '",{"password":"' || o_orderkey || '0000000"}]},"n":' || o_custkey || ',"token":"' || sha256(o_custkey::VARCHAR)[1:12] || '"}' AS content FROM orders"""
+
+
+def _json_docs(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    c = F.col("o_custkey").cast("string")
+    parts = (
+        F.lit('{"config":{"api_key":"'), F.substring(F.sha2(k, 256), 1, 20), F.lit('","items":["'), F.col("o_orderpriority"), F.lit('",{"password":"'), k,
+        F.lit('0000000"}]},"n":'), c, F.lit(',"token":"'), F.substring(F.sha2(c, 256), 1, 12), F.lit('"}'),
+    )
+    return corpora.spread(corpora.read(spark, d, "orders")).select(k.alias("path"), F.concat(*parts).alias("content"))
+
+
+_JSON_LEAVES = f"""WITH docs AS ({_JSON_SQL}), leaves AS (SELECT docs.path AS path, substr(t.fullkey, 3) AS key_path, t.atom ->> '$' AS value FROM docs, json_tree(content::JSON) AS t WHERE t.type = 'VARCHAR')"""
+
+
+@register("json_leaves", _JSON_LEAVES + " SELECT path, key_path, value FROM leaves WHERE value <> ''")
+def _leaves(spark, d):
+    return trees.walk_json(_json_docs(spark, d))
+
+
+@register(
+    "json_secrets",
+    _JSON_LEAVES + f""", k AS (SELECT *, CASE WHEN contains(key_path, '.') THEN regexp_extract(key_path, '\\.([^.]*)$', 1) ELSE key_path END AS key, {sql.entropy("value")} AS entropy FROM leaves)
+SELECT path, key_path, 'json_' || key AS rule, left(value, 500) AS secret, entropy FROM k
+WHERE regexp_matches(key, {sql.quoted(trees.SECRET_KEY)}) AND length(value) >= 8 AND NOT regexp_full_match(value, '[0-9]+') AND entropy >= 3.0""",
+)
+def _json_secrets(spark, d):
+    return trees.json_secrets(_json_docs(spark, d))
+
+
+_H = "sha256(o_orderkey::VARCHAR)"
+
+
+@register("script_joined_arrays", f"SELECT path, h[25:34] || '-' || h[35:46] AS text FROM (SELECT path, k, sha256(k::VARCHAR) AS h FROM ({sql.CORPORA['derived']})) WHERE k % 20 = 19")
+def _arrays(spark, d):
+    return trees.joined_arrays(CORPORA["derived"](spark, d))
+
+
+@register("script_constants", f"SELECT path, 'a' AS name, arg_max(sha256(k::VARCHAR)[1:24], k) AS value FROM ({sql.CORPORA['derived']}) WHERE k % 20 IN (0, 19) GROUP BY path HAVING count(*) FILTER (WHERE k % 20 = 19) > 0")
+def _constants(spark, d):
+    return trees.constants(derived_files(spark, d).where("content like '%var a = %'")).where("name = 'a'")
+
+
+# ---- captured responses --------------------------------------------------------------------------------
+
+_RESPONSES = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'http' ELSE 'https' END || '://h' || o_orderkey || '.example.com/x' AS url,
+ CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'default-src *' WHEN 2 THEN 'script-src ''unsafe-inline'' ''unsafe-eval''' ELSE 'frame-ancestors none' END AS csp,
+ CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'max-age=100; preload' ELSE 'max-age=63072000' END AS hsts,
+ CASE o_orderkey % 2 WHEN 0 THEN 'nosniff' ELSE '' END AS xcto, CASE o_orderkey % 7 WHEN 0 THEN '*' WHEN 1 THEN 'https://a' ELSE '' END AS cors,
+ CASE o_orderkey % 6 WHEN 0 THEN 'nginx/1.25' WHEN 1 THEN 'cloudflare' WHEN 2 THEN 'BIG-IP' ELSE '' END AS server, CASE o_orderkey % 11 WHEN 0 THEN 'abc' ELSE '' END AS ray FROM orders"""
+
+
+def _responses(spark, d):
+    k = F.col("o_orderkey")
+
+    def pick(n, *values):
+        return F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+
+    url = F.concat(F.when(k % 3 == 0, "http").otherwise("https"), F.lit("://h"), k.cast("string"), F.lit(".example.com/x"))
+    last = "frame-ancestors none"
+    headers = F.create_map(
+        F.lit("content-security-policy"), pick(5, "", "default-src *", "script-src 'unsafe-inline' 'unsafe-eval'", last, last),
+        F.lit("strict-transport-security"), pick(4, "", "max-age=100; preload", "max-age=63072000", "max-age=63072000"),
+        F.lit("x-content-type-options"), pick(2, "nosniff", ""), F.lit("access-control-allow-origin"), pick(7, "*", "https://a", "", "", "", "", ""),
+        F.lit("server"), pick(6, "nginx/1.25", "cloudflare", "BIG-IP", "", "", ""), F.lit("cf-ray"), F.when(k % 11 == 0, "abc").otherwise(""),
+    )
+    cookies = F.array().cast("array<struct<name:string,secure:boolean,http_only:boolean,same_site:string>>")
+    return corpora.read(spark, d, "orders").select(url.alias("url"), headers.alias("headers"), cookies.alias("cookies"))
+
+
+_CODES = {
+    "missing-csp": (3, "csp = ''"), "weak-csp-wildcard": (2, "contains(csp, 'default-src *')"), "weak-csp-unsafe-inline": (2, "contains(csp, '''unsafe-inline''')"),
+    "weak-csp-unsafe-eval": (2, "contains(csp, '''unsafe-eval''')"), "missing-hsts": (2, "url LIKE 'https%' AND hsts = ''"), "weak-hsts": (1, "url LIKE 'https%' AND hsts LIKE 'max-age=100;%'"),
+    "missing-xfo": (2, "NOT contains(csp, 'frame-ancestors')"), "missing-xcto": (1, "xcto <> 'nosniff'"), "missing-referrer-policy": (0, "true"), "missing-permissions-policy": (0, "true"),
+    "cors-wildcard": (2, "cors = '*'"), "server-version-disclosure": (1, "regexp_matches(server, '[0-9]+\\.[0-9]+')"),
+}
+
+
+@register("response_headers", f"WITH r AS ({_RESPONSES}) " + " UNION ALL ".join(f"SELECT url, '{c}' AS code, {s} AS severity FROM r WHERE {t}" for c, (s, t) in _CODES.items()))
+def _headers(spark, d):
+    return surface.header_findings(_responses(spark, d))
+
+
+@register(
+    "response_fronts",
+    f"WITH r AS ({_RESPONSES}) SELECT url, 'cloudflare' AS vendor FROM r WHERE contains(lower(server), 'cloudflare') OR ray <> '' UNION ALL SELECT url, 'bigip' FROM r WHERE contains(lower(server), 'big-ip')",
+)
+def _fronts(spark, d):
+    return surface.fronts(_responses(spark, d))

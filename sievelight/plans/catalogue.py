@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions import text as T
-from ..operators import decode, detect, post, surface, trees
+from ..operators import decode, detect, post, scripts, surface, technology, trees
 from ..sources import corpora
 from . import sql
 
@@ -393,3 +393,58 @@ def _headers(spark, d):
 )
 def _fronts(spark, d):
     return surface.fronts(_responses(spark, d))
+
+
+# ---- technologies and scripts --------------------------------------------------------------------------
+
+
+@register(
+    "web_technologies",
+    f"""WITH r AS ({_RESPONSES}), s AS (
+ SELECT url, 'nginx' AS t, 'server' AS c, 60 AS conf, 1 AS sev, '1.25' AS v FROM r WHERE server LIKE 'nginx%' UNION ALL SELECT url, 'cloudflare', 'infrastructure', 70, 1, '' FROM r WHERE server = 'cloudflare'
+ UNION ALL SELECT url, 'cloudflare', 'infrastructure', 60, 1, '' FROM r WHERE ray <> '')
+SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, t AS technology, least(sum(conf), 99)::INT AS confidence, max(sev) AS severity, min(c) AS category, max(v) AS version FROM s GROUP BY ALL HAVING sum(conf) >= 60""",
+)
+def _tech(spark, d):
+    cookies = "array<struct<name:string,value:string,secure:boolean,http_only:boolean,same_site:string>>"
+    return technology.web_technologies(_responses(spark, d).withColumn("body", F.lit("")).withColumn("cookies", F.array().cast(cookies)))
+
+
+@register(
+    "script_requests",
+    f"SELECT path, endpoint, 'GET' AS method, 'api.example.com' AS domain, min(line_no) AS line_no FROM (SELECT path, line_no, unnest(regexp_extract_all(line, 'fetch\\(\"(https?://[^\"]+)\"', 1)) AS endpoint "
+    f"FROM (WITH {sql.lines('derived_files')} SELECT * FROM lines)) GROUP BY ALL",
+)
+def _requests(spark, d):
+    return scripts.requests(derived_files(spark, d)).drop("headers")
+
+
+def _facts_sql() -> str:
+    kinds = {"env_meta": "env", "module": "endpoint", "route": "endpoint", "todo": "comment_leak"}
+    keep = {
+        "module": "(contains(v, '/') OR starts_with(v, '.'))", "todo": "(contains(v, 'key') OR contains(v, 'token') OR contains(v, 'secret') OR contains(v, 'password'))",
+        "config_secret": "(strlen(v) > 5 AND v NOT IN ('xxx', 'your_key_here', 'CHANGE_ME'))", "route": "(starts_with(v, '/') AND NOT starts_with(v, '//'))",
+    }
+    parts = [
+        f"SELECT path, line_no, '{kinds.get(k, k)}' AS kind, {chr(39) + 'IMPORT_META_' + chr(39) + ' || v' if k == 'env_meta' else 'v'} AS value FROM "
+        f"(SELECT path, line_no, {sql.trimmed('m')} AS v FROM (SELECT path, line_no, unnest(regexp_extract_all(line, {sql.quoted(p)}, 1)) AS m FROM lines)) WHERE v <> '' AND {keep.get(k, 'true')}"
+        for k, p in scripts.FACTS
+    ]
+    return f"WITH {sql.lines('derived_files')}, f AS (" + " UNION ALL ".join(parts) + ") SELECT path, kind, value, min(line_no) AS line_no FROM f GROUP BY ALL"
+
+
+@register("script_facts", _facts_sql())
+def _facts(spark, d):
+    return scripts.facts(derived_files(spark, d))
+
+
+@register(
+    "crawl_pages",
+    "WITH RECURSIVE e AS (SELECT DISTINCT page AS url, link FROM (" + _PAGE_LINKS + ") UNION SELECT link, '/x' || (length(link) % 7) FROM (" + _PAGE_LINKS + ") WHERE length(link) % 3 = 0), "
+    "r(url, depth) AS (SELECT url, 0 FROM (SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0) UNION SELECT e.link, r.depth + 1 FROM r JOIN e USING (url) WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
+)
+def _crawl(spark, d):
+    pages = corpora.read(spark, d, "pages")
+    own = surface.links(pages).distinct()
+    more = own.where(F.length("link") % 3 == 0).select(F.col("link").alias("url"), F.concat(F.lit("/x"), (F.length("link") % 7).cast("string")).alias("link"))
+    return scripts.crawl(pages.where("page_id % 2 = 0").select("url"), own.union(more).distinct())

@@ -226,27 +226,43 @@ def _above(c0, c1, c2, radius: int):
     return out
 
 
-def _joined(fp: np.ndarray, group: np.ndarray, radius: int, further=None) -> np.ndarray:
-    """Links (i, j) that join what is within the radius; links inside what is joined already are left out."""
+def _joined(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, counts) -> np.ndarray:
+    """Links (i, j) that join what is within the radius; links inside what is joined already are left out.
+
+    side is 0 in a bucket of one chunk; in a bucket of two chunks it tells them apart (1 and 2).  There only
+    links between the chunks are returned, as each chunk has a bucket of its own.  counts(i, j): pairs that
+    count here."""
     parent = np.arange(len(fp))
     out = []
-    for d, i in neighbours(fp, group, radius):
-        j = i + d
-        if further is not None:
-            ok = further(i, j)
+
+    def sweep(rows: np.ndarray, groups: np.ndarray, across: bool) -> None:
+        nonlocal parent
+        for d, at in neighbours(fp[rows], groups, radius):
+            i, j = rows[at], rows[at + d]
+            if across:
+                ok = side[i] != side[j]
+                i, j = i[ok], j[ok]
+            ok = counts(i, j)
             i, j = i[ok], j[ok]
-        a, b = parent[i], parent[j]
-        open_ = a != b
-        if not open_.any():
-            continue
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        out.append(np.stack([i, j], axis=1))
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
+            a, b = parent[i], parent[j]
+            open_ = a != b
+            if not open_.any():
+                continue
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            told = across | (side[i] == 0)
+            out.append(np.stack([i[told], j[told]], axis=1))
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent = up
+
+    every = np.arange(len(fp))
+    sweep(every, group * 3 + side, False)
+    mixed = every[side > 0]
+    if len(mixed):
+        sweep(mixed, group[mixed], True)
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -285,11 +301,21 @@ def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
     dealt = rows.join(sizes, "k").withColumn("c", parts)
     mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.least(x, mine) * F.col("c") + F.greatest(x, mine))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("k", "pair", "id", *carried)
+
+    def task(x: Column) -> Column:
+        return F.struct(
+            (F.least(x, mine) * F.col("c") + F.greatest(x, mine)).alias("pair"), F.when(x == mine, 0).when(mine < x, 1).otherwise(2).alias("side")
+        )
+
+    dealt = dealt.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), task))).select("k", "t.pair", "t.side", "id", *carried)
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, "k", "pair").sortWithinPartitions("k", "pair", "id")
+    dealt = dealt.repartition(tasks, "k", "pair").sortWithinPartitions("k", "pair", "side", "id")
+
+    masks = block_masks(blocks)
+    table_of = np.full((blocks, blocks), -1)
+    for t, (i, j) in enumerate(combinations(range(blocks), 2)):
+        table_of[i, j] = t
 
     def compare(batches):
         held = None
@@ -306,18 +332,27 @@ def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[
             yield from found(held)
 
     def found(cols):
-        k, pair, ids, *prints = cols
+        k, pair, side, ids, *prints = cols
         group = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(pair) != 0)))
         named = {c: x.view(np.uint64) for c, x in zip(carried, prints, strict=True)}
-        fp = np.choose(k >> 58, [named[b] for b in bands])
-
-        def further(i, j):
-            ok = np.ones(len(i), bool)
+        band, table = k >> 58, (k >> 48) & 1023
+        fp = np.choose(band, [named[b] for b in bands])
+
+        def counts(i, j):
+            """A pair counts in the first of its tables: in the first band that has it, and there in the table
+            of the first two blocks that are equal."""
+            x = fp[i] ^ fp[j]
+            equal = np.stack([(x >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0 for s, w in masks])
+            first = equal.argmax(axis=0)
+            equal[first, np.arange(len(i))] = False
+            ok = table_of[first, equal.argmax(axis=0)] == table[i]
+            for n, b in enumerate(bands[:-1]):
+                ok &= (band[i] <= n) | (np.bitwise_count(named[b][i] ^ named[b][j]) > radius)
             for cols, most in limits:
                 ok &= sum(np.bitwise_count(named[c][i] ^ named[c][j]).astype(np.int64) for c in cols) <= most
             return ok
 
-        at = _joined(fp, group, radius, further if limits else None)
+        at = _joined(fp, group, side, radius, counts)
         a, b = ids[at[:, 0]], ids[at[:, 1]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -147,8 +147,9 @@ def credential_pairs(findings: DataFrame, pairs=PAIRS) -> DataFrame:
 
     A band join: lines are cut into bands as wide as the pair's span, so that path, pair and band make an
     equality, a hot file is dealt over its bands, and the distance is a filter on what is left."""
-    spark = findings.sparkSession
-    specs = spark.createDataFrame(list(pairs), "rule_a string, rule_b string, pair string, span int")  # as many rows as kinds of pairs
+    names = ("rule_a", "rule_b", "pair", "span")
+    kinds = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p, strict=True))) for p in pairs))
+    specs = findings.sparkSession.range(1).select(F.inline(kinds))  # as many rows as kinds of pairs
     a = findings.select("path", F.col("line_no").alias("line_a"), F.col("rule").alias("rule_a"), F.col("secret").alias("secret_a")).join(F.broadcast(specs), "rule_a")
     b = findings.select(F.col("path"), F.col("line_no").alias("line_b"), F.col("rule").alias("rule_b"), F.col("secret").alias("secret_b"))
     b = b.join(F.broadcast(specs.select("rule_b", "pair", F.col("span").alias("span_b"))), "rule_b")

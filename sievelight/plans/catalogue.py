@@ -448,3 +448,101 @@ def _crawl(spark, d):
     own = surface.links(pages).distinct()
     more = own.where(F.length("link") % 3 == 0).select(F.col("link").alias("url"), F.concat(F.lit("/x"), (F.length("link") % 7).cast("string")).alias("link"))
     return scripts.crawl(pages.where("page_id % 2 = 0").select("url"), own.union(more).distinct())
+
+
+# ---- control files and manifests, one for each nation or part ------------------------------------------
+
+
+def _nation_files(spark, d, *parts) -> DataFrame:
+    """(path, content): parts joined; a string is text, a function takes the key as text and as a number."""
+    key = F.col("n_nationkey").cast("int")
+    k = key.cast("string")
+    cols = [F.lit(p) if isinstance(p, str) else p(k, key) for p in parts]
+    return corpora.read(spark, d, "nation").select(F.col("n_name").alias("path"), F.concat(*cols).alias("content"))
+
+
+@register(
+    "robots_rules",
+    """SELECT n_name AS path, 2 AS line_no, 'disallow' AS kind, '/p' || n_nationkey AS value FROM nation WHERE n_nationkey % 3 = 0
+ UNION ALL SELECT n_name, 3, 'allow', '/q' FROM nation WHERE n_nationkey % 3 = 0
+ UNION ALL SELECT n_name, 5, 'disallow', '/all' FROM nation WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT n_name, 6, 'sitemap', 'https://h/' || n_nationkey || '.xml' FROM nation""",
+)
+def _robots(spark, d):
+    first = lambda k, n: F.when(n % 3 == 0, "*").otherwise("other")
+    second = lambda k, n: F.when(n % 2 == 0, "sievelight").otherwise("nobody")
+    own = _nation_files(
+        spark, d, "User-Agent: ", first, "\nDisallow: /p", lambda k, n: k, " # why\nallow: q\nUser-agent: ", second, "\nDisallow: /all\nSitemap: https://h/", lambda k, n: k, ".xml\nno rule here",
+    )
+    return surface.robots_rules(own)
+
+
+@register("sitemap_locations", "SELECT n_name AS path, 'https://h/' || n_nationkey || '/' || i AS loc FROM nation, (VALUES (1), (2)) AS t(i)")
+def _sitemaps(spark, d):
+    own = _nation_files(spark, d, "<urlset><url><loc> https://h/", lambda k, n: k, "/1 </loc></url><url><LOC>https://h/", lambda k, n: k, "/2</LOC></url><url><loc></loc></url></urlset>")
+    return surface.sitemap_locations(own)
+
+
+@register(
+    "openapi_endpoints",
+    "SELECT n_name AS path, '/v' || n_nationkey || r || ' [' || m || ']' AS endpoint FROM nation, (VALUES ('/users', 'GET'), ('/users', 'POST'), ('/items', 'GET')) AS t(r, m)",
+)
+def _openapi(spark, d):
+    own = _nation_files(spark, d, '{"basePath": "/v', lambda k, n: k, '", "paths": {"/users": {"get": {"a": 1}, "post": {}}, "/items": {"get": {}}}}')
+    return trees.openapi_endpoints(own)
+
+
+@register("source_map_files", "SELECT n_name AS path, s AS source, c || CASE WHEN c = '' THEN '' ELSE n_nationkey::VARCHAR END AS content FROM nation, (VALUES ('a.js', 'x'), ('b.js', '')) AS t(s, c)")
+def _maps(spark, d):
+    own = _nation_files(spark, d, '{"version": 3, "sources": ["a.js", "b.js", "a.js"], "sourcesContent": ["x', lambda k, n: k, '", null, "later"]}')
+    return trees.source_map_files(own)
+
+
+_MANIFESTS = """SELECT p_partkey, 'p' || p_partkey || '/' || CASE p_partkey % 3 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' ELSE 'go.mod' END AS path FROM part"""
+
+
+@register(
+    "package_entries",
+    f"""WITH m AS ({_MANIFESTS}) SELECT path, 2 AS line_no, '"a": "*",' AS name, true AS mutable FROM m WHERE p_partkey % 3 = 0
+ UNION ALL SELECT path, 4, 'b @ git+https://x>=1', true FROM m WHERE p_partkey % 3 = 1 UNION ALL SELECT path, 5, 'c v1 // indirect', false FROM m WHERE p_partkey % 3 = 2""",
+)
+def _packages(spark, d):
+    key = F.col("p_partkey")
+    name = F.get(F.array(*map(F.lit, ("package.json", "requirements.txt", "go.mod"))), (key % 3).cast("int"))
+    content = F.lit('{\n"a": "*",\n"b": "1",\nb @ git+https://x>=1\nc v1 // indirect\n// d // indirect\n# e @')
+    own = corpora.read(spark, d, "part").select(F.concat(F.lit("p"), key.cast("string"), F.lit("/"), name).alias("path"), content.alias("content"))
+    return surface.package_entries(own)
+
+
+_SOURCE_TECH = """SELECT p_partkey AS k, 'd' || p_partkey || '/' || CASE p_partkey % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'app.tsx' WHEN 2 THEN 'Next.config.js' ELSE 'notes.txt' END AS path FROM part"""
+
+
+@register(
+    "source_technologies",
+    f"""WITH m AS ({_SOURCE_TECH}) SELECT path, t AS technology, c AS category, s AS severity FROM m, (VALUES (0, 'react', 'library', 1), (0, 'nextjs', 'framework', 2), (1, 'react', 'library', 1), (1, 'express', 'framework', 2), (2, 'react', 'library', 1), (2, 'express', 'framework', 2), (2, 'nextjs', 'framework', 2)) AS x(i, t, c, s) WHERE k % 4 = i""",
+)
+def _source_tech(spark, d):
+    key = F.col("p_partkey")
+    name = F.get(F.array(*map(F.lit, ("package.json", "app.tsx", "Next.config.js", "notes.txt"))), (key % 4).cast("int"))
+    content = F.lit("""{"React": "1", "next": "13"} import x from 'react'; require('react'); import e from 'express'""")
+    own = corpora.read(spark, d, "part").select(F.concat(F.lit("d"), key.cast("string"), F.lit("/"), name).alias("path"), content.alias("content"))
+    return technology.source_technologies(own)
+
+
+@register(
+    "commit_history",
+    sql.findings("derived") + ", h AS (SELECT f.*, c.k FROM findings f JOIN corpus c ON c.path = f.path AND contains(c.content, f.secret)) SELECT rule, secret, min(k) AS ord FROM h GROUP BY rule, secret",
+)
+def _history(spark, d):
+    from ..sources import files
+
+    commits = corpora.derived(spark, d).select(F.col("k").alias("ord"), F.sha2(F.col("k").cast("string"), 256).alias("commit"), F.col("path").alias("file"), "content")
+    blobs = files.blobs(commits)
+    found = detect.scan_rules(blobs).join(blobs.select("path", "ord"), "path")
+    return files.first_in_history(found).select("rule", "secret", "ord")
+
+
+@register("cookies", "SELECT n_name AS path, t.name AS name, t.value || CASE WHEN t.name = 'k' THEN n_nationkey::VARCHAR ELSE '' END AS value FROM nation, (VALUES ('k', ''), ('q', 'x=y')) AS t(name, value)")
+def _cookies(spark, d):
+    own = _nation_files(spark, d, "k=", lambda k, n: k, '; q="x=y"; =nameless; bare')
+    return own.select("path", F.explode(surface.cookies_of(F.col("content"))).alias("c")).select("path", "c.name", "c.value")

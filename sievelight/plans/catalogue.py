@@ -334,7 +334,6 @@ def _json_secrets(spark, d):
     return trees.json_secrets(_json_docs(spark, d))
 
 
-_H = "sha256(o_orderkey::VARCHAR)"
 
 
 @register("script_joined_arrays", f"SELECT path, h[25:34] || '-' || h[35:46] AS text FROM (SELECT path, k, sha256(k::VARCHAR) AS h FROM ({sql.CORPORA['derived']})) WHERE k % 20 = 19")

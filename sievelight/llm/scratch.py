@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (local tests) a
-temporary folder is made and set.  A written table cuts the lineage: a lost executor costs a re-read,
+temporary folder is made.  A written table cuts the lineage: a lost executor costs a re-read,
 not a re-run.
 """
 
@@ -13,13 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="shared-"))
+        base = _own[0]
     return base.rstrip("/")
 
 

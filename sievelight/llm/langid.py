@@ -17,8 +17,6 @@ are predicted one by one.  Ties go to the language first in alphabetical order.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +26,6 @@ from .pretokens import chunks
 
 DIM = 1 << 15
 PER_LANGUAGE = 1200
-_LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 _tables: dict[str, np.ndarray] = {}
 
@@ -158,7 +155,7 @@ class Model:
         return out + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        has = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        has = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         labels, score = ["und"] * len(texts), [0.0] * len(texts)
         if has and self.languages:
             s = self.scores([texts[i] for i in has]) / self.temp

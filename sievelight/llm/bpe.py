@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCoder, chunks
+from .pretokens import PieceCoder, chunks, slices
 
 
 def _varint(n: int) -> bytes:
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     """id and ids of each row.  ranks: a rank file, at one place on all machines."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             ids = codec(ranks).encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -140,7 +140,7 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     too if wanted."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             own = codec(ranks)
             rows: list[tuple[int, str, str]] = []
             every: list[np.ndarray] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import chunks
+from .pretokens import chunks, slices
 
 DIM = 1 << 15
 PER_LANGUAGE = 1200
@@ -173,8 +173,8 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         total, n = np.zeros(DIM, np.int64), 0
         mark = np.zeros(DIM, np.int64)
-        for b in batches:
-            for _, _, part in chunks(b.column(0).to_pylist()):
+        for b in slices(batches, 0):
+            for _, _, part in chunks(b.column(0).to_pylist(), 1 << 18):
                 f, at = features(part)
                 for i, j in zip(at.tolist(), [*at[1:].tolist(), f.shape[1]], strict=True):
                     mark[f[:, i:j]] = 1
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     where = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, where):
             labels, score = shared.value.predict(b.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

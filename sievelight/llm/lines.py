@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bitmap
+from .pretokens import slices
 from .scratch import stored
 
 MIN_CHARS = 10
@@ -111,7 +112,7 @@ def _unpack(row) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
 
 def _keys(batches):
     """row, id, and per text its keyed lines: number, hi and lo of the hash."""
-    for b in batches:
+    for b in slices(batches, 2):
         n, at, his, los = [0], [], [], []
         for t in b.column(2).to_pylist():
             for i, line in enumerate((t or "").split("\n")):
@@ -186,7 +187,7 @@ def copied_lines(rows: DataFrame) -> DataFrame:
 
 def _cut(batches, cols: int):
     """Texts without the lines listed in the last column; then lines before, lines lost."""
-    for b in batches:
+    for b in slices(batches, cols - 2):
         texts, lost = b.column(cols - 2).to_pylist(), b.column(cols - 1).to_pylist()
         out, before, gone = [], [], []
         for t, x in zip(texts, lost, strict=True):

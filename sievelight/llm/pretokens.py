@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -83,7 +85,7 @@ class PieceCoder:
     Pieces are told apart by a 64-bit hash of random values for each code point, random for each process;
     pieces over 256 code points are compared themselves.  At most ``held`` pieces are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 700_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 500_000) -> None:
         self.encode, self.held = encode, held
         rng = np.random.default_rng()
         self.mix = rng.integers(0, 1 << 63, size=0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,7 +172,22 @@ class PieceCoder:
         return self.ids[np.repeat(self.first[pieces] - before, n) + np.arange(int(n.sum()))], n
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+def slices(batches, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about so many bytes of text in a column, a longer text alone: what Python
+    holds at once is bounded by a piece."""
+    for b in batches:
+        bytes_ = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for i, n in enumerate(bytes_.tolist()):
+            if i > at and total + n > size:
+                yield b.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
+def chunks(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[int, int, list[str]]]:
     """Consecutive texts of about so many code points together; a longer text is alone."""
     at, own, size = 0, [], 0
     for i, t in enumerate(texts):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .pretokens import chunks
+from .pretokens import chunks, slices
 from .scratch import stored
 
 BUCKET = 256
@@ -117,8 +117,8 @@ def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42
         first = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + doc_at[doc]
         last = first + np.minimum(n, words)[doc] - 1
         ones = np.zeros((len(n), 64 * bands), np.int64)
-        for i in range(0, total, 1 << 18):
-            a, b, d = first[i : i + (1 << 18)], last[i : i + (1 << 18)], doc[i : i + (1 << 18)]
+        for i in range(0, total, 1 << 16):
+            a, b, d = first[i : i + (1 << 16)], last[i : i + (1 << 16)], doc[i : i + (1 << 16)]
             h = xxh64(data, begin[a], end[b] - begin[a], seed)
             each = [h]
             while len(each) < bands:
@@ -396,7 +396,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             fp = shingle_fingerprints(b.column(1).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
@@ -422,7 +422,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay or go together."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             texts = b.column(2).to_pylist()
             w, s = word_fingerprints(texts).view(np.int64), shingle_fingerprints(texts, 5, bands=2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (w[:, 0], w[:, 1], s[:, 0], s[:, 1]))], ["id", "tk", "f0", "f1", "s0", "s1"])

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCoder, chunks
+from .pretokens import PieceCoder, chunks, slices
 from .scratch import new_path
 
 END_ID = 2
@@ -62,7 +62,7 @@ def write_ids(
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches, 1):
             ids, n = encode_texts(tokenizer, b.column(1).to_pylist(), end_id)
             to = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(

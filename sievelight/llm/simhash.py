@@ -27,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import bitmap
 from .pretokens import chunks, slices
 from .scratch import stored
 
 BUCKET = 256
+CHUNK = 128
 SLAB = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -100,36 +102,65 @@ def _mixed(h: np.ndarray) -> np.ndarray:
         return x ^ x >> _U(31)
 
 
-def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42, bands: int = 1) -> np.ndarray:
-    """Majority bits over all shingles, repeats included, of each text; bands above one take further bits of
-    mixed hashes and give a column each."""
-    out = []
+def _shingles(part: list[str], words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every shingle, repeats included, the index of its text, and the number of shingles of each text."""
+    tokens = [t.encode().translate(_LOWER).split() for t in part]
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    data = b" ".join(w for t in tokens for w in t)
+    at = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    begin, end = np.append(0, at + 1), np.append(at, len(data))
+    doc_at = np.cumsum(n) - n
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    total = int(count.sum())
+    doc = np.repeat(np.arange(len(n)), count)
+    first = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + doc_at[doc]
+    last = first + np.minimum(n, words)[doc] - 1
+    h = np.empty(total, np.uint64)
+    for i in range(0, total, 1 << 16):
+        a, b = first[i : i + (1 << 16)], last[i : i + (1 << 16)]
+        h[i : i + (1 << 16)] = xxh64(data, begin[a], end[b] - begin[a], seed)
+    return h, doc, count
+
+
+def shingle_fingerprints(texts: list[str | None], words: int = 4, seed: int = 42) -> np.ndarray:
+    """Majority bits over all shingles, repeats included, of each text."""
+    out = [np.zeros(0, np.uint64)]
     for _, _, part in chunks(texts):
-        tokens = [t.encode().translate(_LOWER).split() for t in part]
-        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        data = b" ".join(w for t in tokens for w in t)
-        at = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        begin, end = np.append(0, at + 1), np.append(at, len(data))
-        doc_at = np.cumsum(n) - n
-        count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-        total = int(count.sum())
-        doc = np.repeat(np.arange(len(n)), count)
-        first = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + doc_at[doc]
-        last = first + np.minimum(n, words)[doc] - 1
-        ones = np.zeros((len(n), 64 * bands), np.int64)
-        for i in range(0, total, 1 << 16):
-            a, b, d = first[i : i + (1 << 16)], last[i : i + (1 << 16)], doc[i : i + (1 << 16)]
-            h = xxh64(data, begin[a], end[b] - begin[a], seed)
-            each = [h]
-            while len(each) < bands:
-                each.append(_mixed(each[-1]))
-            bits = np.unpackbits(np.stack(each, axis=1).astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        hashes, doc, count = _shingles(part, words, seed)
+        ones = np.zeros((len(part), 64), np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            h, d = hashes[i : i + (1 << 16)], doc[i : i + (1 << 16)]
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
             edge = np.append(0, np.flatnonzero(np.diff(d)) + 1)
             ones[d[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
         major = (2 * ones > count[:, None]).astype(np.uint8)
-        out.append(np.packbits(major, axis=1, bitorder="little").view("<u8"))
-    every = np.concatenate(out) if out else np.zeros((0, bands), np.uint64)
-    return every[:, 0] if bands == 1 else every
+        out.append(np.packbits(major, axis=1, bitorder="little").view("<u8")[:, 0])
+    return np.concatenate(out)
+
+
+def shingle_sets(texts: list[str | None], words: int = 5, seed: int = 42) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    out = []
+    for _, _, part in chunks(texts):
+        h, _, count = _shingles(part, words, seed)
+        out += [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+    return out
+
+
+def set_fingerprints(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """Majority bits of each set of hashes: a column for each 64 bits, the first from the hashes, further
+    ones from mixed hashes."""
+    out = np.zeros((len(sets), bands), np.uint64)
+    for k, h in enumerate(sets):
+        ones = np.zeros(64 * bands, np.int64)
+        for i in range(0, len(h), 255):  # so many fit the sums of one byte
+            each = [h[i : i + 255]]
+            while len(each) < bands:
+                each.append(_mixed(each[-1]))
+            bits = np.unpackbits(np.stack(each, axis=1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint8)
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+    return out
 
 
 def word_fingerprints(texts: list[str | None]) -> np.ndarray:
@@ -285,6 +316,20 @@ def _bucket_keys(fp: Column, blocks: int, band: int) -> list[Column]:
     return out
 
 
+def _dealt(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """Rows of a bucket of c chunks, sorted by bucket, pair of chunks and side."""
+    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
+
+    def task(x: Column) -> Column:
+        return F.struct(
+            (F.least(x, mine) * F.col("c") + F.greatest(x, mine)).alias("pair"), F.when(x == mine, 0).when(mine < x, 1).otherwise(2).alias("side")
+        )
+
+    dealt = rows.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), task))).select(key, "t.pair", "t.side", "id", *carried)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, key, "pair").sortWithinPartitions(key, "pair", "side", "id")
+
+
 def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[list[str], int]] | None = None) -> DataFrame:
     """(a, b): links between classes (id and fingerprint columns, distinct signatures).  Classes are linked if
     one of the bands differs in at most radius bits and, for each of the limits, its columns differ in at
@@ -299,18 +344,7 @@ def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[
         rows = own if rows is None else rows.unionByName(own)
     sizes = stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
-    dealt = rows.join(sizes, "k").withColumn("c", parts)
-    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
-
-    def task(x: Column) -> Column:
-        return F.struct(
-            (F.least(x, mine) * F.col("c") + F.greatest(x, mine)).alias("pair"), F.when(x == mine, 0).when(mine < x, 1).otherwise(2).alias("side")
-        )
-
-    dealt = dealt.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), task))).select("k", "t.pair", "t.side", "id", *carried)
-    spark = classes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, "k", "pair").sortWithinPartitions("k", "pair", "side", "id")
+    dealt = _dealt(rows.join(sizes, "k").withColumn("c", parts), "k", carried)
 
     masks = block_masks(blocks)
     table_of = np.full((blocks, blocks), -1)
@@ -360,6 +394,75 @@ def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[
     return dealt.mapInArrow(compare, "a long, b long").where("a != b").distinct()
 
 
+def alike(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join sets with a Jaccard similarity of at least least; links inside what is joined
+    already are left out.  Sides as in _joined, in order."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.append(0, np.cumsum(n))
+    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.int64)
+    parent = np.arange(len(sets))
+    out = []
+    for i in range(len(sets) - 1):
+        lo = max(i + 1, int(np.searchsorted(side, 2))) if side[i] == 1 else i + 1
+        j = np.arange(lo, len(sets))
+        if side[i] == 2 or not len(j):
+            continue
+        j = j[(parent[j] != parent[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)]
+        if not len(j):
+            continue
+        own = flat[start[i] : start[i + 1]]
+        seen[own] = 1
+        for k in j.tolist():
+            if parent[k] == parent[i]:
+                continue
+            both = int(seen[flat[start[k] : start[k + 1]]].sum())
+            if both >= least * (n[i] + n[k] - both) - 1e-9:
+                out.append((i, k))
+                a, b = sorted((parent[i], parent[k]))
+                parent[parent == b] = a
+        seen[own] = 0
+    return out
+
+
+def verified(members: DataFrame, least: float, words: int) -> DataFrame:
+    """(a, b): links between ids of one group whose shingle sets agree in least at the least (Jaccard, exact).
+
+    members: rows g, id, text.  All pairs of a group are judged; a group of more than CHUNK is cut into
+    chunks, and each pair of chunks is a task's own bucket, as in links."""
+
+    def sets(batches):
+        for b in slices(batches, 2):
+            s = [x.tobytes() for x in shingle_sets(b.column(2).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.binary())], ["g", "id", "s"])
+
+    sizes = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large-groups")
+    rows = members.select("g", "id", "text").mapInArrow(sets, "g long, id long, s binary")
+    parts = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
+    dealt = _dealt(rows.join(sizes, "g", "left").withColumn("c", parts), "g", ["s"])
+
+    def compare(batches):
+        key, ids, side, own = None, [], [], []
+
+        def found():
+            at = alike([np.frombuffer(x, np.uint64) for x in own], np.array(side), least) if len(own) > 1 else []
+            if at:
+                a, b = (pa.array([ids[x[k]] for x in at], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+        for b in batches:
+            for g, pair, sd, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (g, pair) != key:
+                    yield from found()
+                    key, ids, side, own = (g, pair), [], [], []
+                ids.append(i)
+                side.append(sd)
+                own.append(x)
+        yield from found()
+
+    return dealt.mapInArrow(compare, "a long, b long").where("a != b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest identifier that each linked one reaches.
 
@@ -411,26 +514,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, word_bits: int = 14, shingle_bits: int = 34) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, word_bits: int = 14, shingle_bits: int = 34, least: float = 0.8, words: int = 5
+) -> DataFrame:
     """docs with one document of each group of near-duplicates: that with the smallest identifier.
 
-    Texts that agree in 0.8 of their five-word shingles differ in about one word of fifty.  That moves 10 of
-    64 bits of a fingerprint over the shingles, too many for a search by blocks, but 4 of 64 over weighted
-    words.  So two word fingerprints find candidates (one within radius, both within word_bits of 128), and
-    two over five-word shingles judge them: within shingle_bits of 128 (0.8 gives 19 in the mean, with a
-    deviation of 4; texts without common shingles give 64).  Rows that repeat an identifier and its text
-    stay or go together."""
+    Near-duplicates agree in least of their distinct five-word shingles, or are linked by such pairs.
+    Fingerprints only find groups of candidates: two over words (one within radius, both within word_bits of
+    128) and two over shingles (within shingle_bits of 128).  Then all pairs of a group are judged by their
+    shingles.  Texts of equal shingle sets are one class.  Rows that repeat an identifier and its text stay
+    or go together."""
 
     def run(batches):
         for b in slices(batches, 2):
             texts = b.column(2).to_pylist()
-            w, s = word_fingerprints(texts).view(np.int64), shingle_fingerprints(texts, 5, bands=2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (w[:, 0], w[:, 1], s[:, 0], s[:, 1]))], ["id", "tk", "f0", "f1", "s0", "s1"])
+            sets = shingle_sets(texts, words)
+            same = np.fromiter((xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
+            w, s = word_fingerprints(texts), set_fingerprints(sets, 2)
+            prints = (pa.array(x.view(np.int64)) for x in (same, *np.ascontiguousarray(np.hstack([w, s]).T)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *prints], ["id", "tk", "ck", "f0", "f1", "s0", "s1"])
 
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tk"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(run, "id long, tk long, f0 long, f1 long, s0 long, s1 long"), "fingerprints")
-    later = grouped(signed, ["f0", "f1"], radius, [(["f0", "f1"], word_bits), (["s0", "s1"], shingle_bits)]).where("id != component_id")
+    signed = stored(rows.mapInArrow(run, "id long, tk long, ck long, f0 long, f1 long, s0 long, s1 long"), "fingerprints")
+    first = F.min(F.struct("id", "tk", "f0", "f1", "s0", "s1")).alias("first")
+    classes = stored(signed.where("id is not null").groupBy("ck").agg(first).select("ck", "first.*"), "classes")
+    loose = components(links(classes, ["f0", "f1"], radius, [(["f0", "f1"], word_bits), (["s0", "s1"], shingle_bits)]))
+    members = stored(loose.join(classes.select("id", "tk"), "id").select("id", "tk", F.col("component").alias("g")), "members")
+    some = bitmap.keep_possible(rows, F.struct("id", "tk"), bitmap.build(members, F.struct("id", "tk")))
+    label = components(verified(some.join(members, ["id", "tk"]).dropDuplicates(["id", "tk"]), least, words))
+    named = stored(classes.join(label, "id", "left").select("ck", F.coalesce("component", "id").alias("component_id")), "named")
+    later = signed.join(named, "ck").where("id != component_id")
     later = stored(later.select(F.col("id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "later-copies")
     bits = bitmap.build(later, F.struct("_id", "_tk"))
     named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tk", key)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from conftest import prose
 from pyspark.sql import functions as F
 
 from sievelight.llm import bpe, decontaminate, exact_dedup, langid, lines, secrets, sharding, simhash, token_output
@@ -338,6 +339,27 @@ def test_one_of_each(docs, rows):
     assert all(i in kept for i in range(20)) and 34 in kept and None in kept
 
 
+def five_word_jaccard(a, b):
+    x, y = (set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_keeps_below_limit(spark):
+    """Copies with a shingle similarity under 0.8 stay; a large group is judged in pairs of chunks."""
+    base = prose(7, 120).split()
+    texts = [" ".join(base)]
+    for k in range(300):
+        own = list(base)
+        for at in ((30, 60) if k % 2 else (20, 50, 90)):
+            own[at] = f"own{k}"
+        texts.append(" ".join(own))
+    out = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {0, *(k + 1 for k in range(300) if five_word_jaccard(texts[0], texts[k + 1]) < 0.8)}
+    near = set(range(301)) - want
+    assert near and not any(five_word_jaccard(texts[i], texts[j]) >= 0.8 for i in want for j in near if i and j)
+    assert {r["doc_id"] for r in out.collect()} == want
+
+
 # ---- decontamination -----------------------------------------------------------------------------------
 
 

@@ -360,6 +360,35 @@ def test_one_of_each_keeps_below_limit(spark):
     assert {r["doc_id"] for r in out.collect()} == want
 
 
+def test_one_of_each_finds_insertions(spark):
+    """Appended and inserted words, and short texts: pairs found against brute force."""
+    texts = []
+    for k in range(240):
+        own = prose(1000 + k, (13, 110, 400)[k % 3]).split()
+        more = prose(5000 + k, len(own) // 5).split()
+        if k % 3 == 0:
+            other = [*own[:-1], f"last{k}"]
+        elif k % 2:
+            other = own + more
+        else:
+            other = [*own[:30], *more[: len(own) // 6], *own[30:]]
+        texts += [" ".join(own), " ".join(other)]
+    near = {k for k in range(1, 480, 2) if five_word_jaccard(texts[k - 1], texts[k]) >= 0.8}
+    got = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lost = set(range(480)) - got
+    assert len(near) >= 200 and lost <= near and len(near - lost) <= 4
+
+
+def test_neighbours_of_any_radius():
+    r = np.random.default_rng(5)
+    fp = r.integers(0, 1 << 63, 150, dtype=np.uint64)
+    fp[75:] = fp[:75] ^ np.uint64(0xFFFF) >> r.integers(0, 16, 75, dtype=np.uint64)
+    group = np.zeros(150, np.int64)
+    for radius in (3, 7, 8, 23, 31, 40):
+        got = {(int(i), int(i) + d) for d, at in simhash.neighbours(fp, group, radius) for i in at}
+        assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if int(fp[i] ^ fp[j]).bit_count() <= radius}
+
+
 # ---- decontamination -----------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ more blocks, so no task holds a whole shard.  The matrix is drawn row by row fro
 hypergeometric law over the places that are left, so it has the law that a uniform permutation of all
 rows would give.  Each partition permutes its own rows and deals them by its row of the matrix; after the
 exchange each block permutes again.  Every order of the rows is equally likely, counts are exact, and the
-driver sees the row count of each partition only.
+driver sees the row and byte counts of each partition only.  Blocks are bounded by rows and, in the mean, by bytes.
 
 The input is written to the shared folder first with each row's position, and a row's block follows from its
 position alone, so a retried task deals alike.
@@ -27,6 +27,8 @@ from .scratch import new_path, shared_dir
 
 SHARDS = 24
 ROWS_PER_BLOCK = 50_000
+#: Bytes of a block in the mean; a block takes as many rows as fit by the mean width of all rows.
+BYTES_PER_BLOCK = 16 << 20
 SEED = 20_240_607
 
 
@@ -93,10 +95,14 @@ def shuffle_shards(
     fixed.write.parquet(path)  # each task's file name carries its partition; order inside a file is kept
     fixed = spark.read.parquet(path)
     part = F.shiftright("_deal_pos", 33)
-    counts = sorted((r["p"], r["n"]) for r in fixed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum(wide, F.lit(8 * len(cols))).cast("long")
+    found = fixed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).collect()
+    counts = sorted((r["p"], r["n"]) for r in found)
     parts = {p: i for i, (p, _) in enumerate(counts)}
     total = sum(n for _, n in counts)
-    blocks = block_sizes(total, shards, rows_per_block)
+    fit = BYTES_PER_BLOCK * total // max(1, sum(r["bytes"] for r in found))
+    blocks = block_sizes(total, shards, max(1, min(rows_per_block, fit)))
     matrix = draw_matrix([n for _, n in counts], [m for _, _, m in blocks], seed)
     starts = [(s, at) for s, at, _ in blocks]
     dealt = spark.sparkContext.broadcast((parts, matrix.astype(np.int64)))
@@ -140,11 +146,10 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
 
 
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of all documents.  Only what the result needs is dealt: id, size and checksum."""
+    """Addresses of all documents.  Whole documents are dealt; size and checksum are those of the dealt texts."""
+    dealt = shuffle_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = F.coalesce("text", F.lit(""))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return shuffle_shards(docs).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    size, crc = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
+    return dealt.select(
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -169,6 +169,21 @@ def test_shards(docs, rows):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_shards_deal_whole_documents(spark, rows, docs, tmp_path, monkeypatch):
+    """The query's exchange carries the texts, in blocks bounded by bytes; digests are those of the dealt rows."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    dealt, cut = [], []
+    whole, sizes = sharding.shuffle_shards, sharding.block_sizes
+    monkeypatch.setattr(sharding, "shuffle_shards", lambda df, *a, **b: dealt.append(df.columns) or whole(df, *a, **b))
+    monkeypatch.setattr(sharding, "block_sizes", lambda *a: cut.append(sizes(*a)) or cut[-1])
+    monkeypatch.setattr(sharding, "BYTES_PER_BLOCK", 2000)
+    out = sharding.op6_hypergeometric_shards(spark, str(tmp_path)).collect()
+    assert set(dealt[0]) >= set(docs.columns) - {"shard"}
+    assert len(cut[0]) > sharding.SHARDS
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+
+
 def test_shards_empty(none):
     assert sharding.shuffle_shards(none).count() == 0
 

@@ -35,7 +35,10 @@ MIN_PAGES = 4
 LINKED = 0.6
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title template noscript iframe object svg math select option button canvas audio video".split())
+_RAW = frozenset("script style textarea title".split())
+#: Elements without article text.  One that its own end tag does not close counts as a plain element.
+_SKIP = frozenset("template noscript iframe object svg math select datalist optgroup option button canvas audio video".split())
+_OPTION = frozenset(("option", "optgroup"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 _GONE = frozenset("nav footer aside form head menu dialog fieldset".split())
 _GONE_NAME = re.compile(
@@ -55,10 +58,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """children: nodes and texts in order."""
 
-    __slots__ = ("tag", "name", "kind", "children", "gone", "main")
+    __slots__ = ("tag", "name", "kind", "children", "gone", "main", "skip")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.name, self.kind, self.children = tag, "", "", []
+        self.skip = tag in _SKIP
         self.gone, self.main = tag in _GONE, 2 if tag == "article" else 1 if tag == "main" else 0
         if attrs:
             for k, a, b, c in _ATTR.findall(attrs):
@@ -100,6 +104,7 @@ def parse(page: str) -> Node:
             block = tag not in _INLINE
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    _unclosed(stack[i + 1 :])
                     del stack[i:]
                     break
                 if not block and stack[i].tag not in _INLINE:
@@ -110,7 +115,9 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             stack[-1].children.append(Node("#raw"))
             continue
-        if tag not in _INLINE:
+        while stack[-1].tag in _OPTION and (tag not in _OPTION or stack[-1].tag == tag or tag == "optgroup"):
+            stack.pop()
+        if tag not in _INLINE and tag not in _SKIP:
             # a block ends an open paragraph; a list item, cell or definition ends its like
             ends = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
@@ -124,13 +131,19 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, m[3] or m[6] or "")
         stack[-1].children.append(node)
-        if tag not in _VOID and not (m[3] or "").endswith("/") and len(stack) < DEEPEST:
+        if tag not in _VOID and not (m[3] or "").endswith("/") and (len(stack) < DEEPEST or node.skip):
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
+    _unclosed(stack)
     return root
 
 
+def _unclosed(nodes: list[Node]) -> None:
+    for x in nodes:
+        x.skip &= x.tag in _OPTION
+
+
 def squeezed(s: str) -> str:
     return " ".join(s.split())
 
@@ -144,7 +157,8 @@ def text_of(node: Node) -> str:
         else:
             if x.tag not in _INLINE:
                 out.append(" ")
-            todo.extend(reversed(x.children))
+            if not x.skip:
+                todo.extend(reversed(x.children))
     return squeezed(htmllib.unescape("".join(out)))
 
 
@@ -168,7 +182,7 @@ def collapse(root: Node) -> Run:
         for node in run.nodes:
             last = None
             for child in node.children:
-                if isinstance(child, str) or child.tag in _INLINE or child.tag == "#raw":
+                if isinstance(child, str) or child.tag in _INLINE or child.tag == "#raw" or child.skip:
                     continue
                 if last is not None and last.key == child.key:
                     last.nodes.append(child)
@@ -251,8 +265,8 @@ def blocks_of(node: Node, dropped: set[int]) -> list[tuple[str, int]]:
             text.append(x)
             if link:
                 linked.append(x)
-        elif x.tag == "#raw" or id(x) in dropped or x is not node and x.gone:
-            if x.tag not in _INLINE and x.tag != "#raw":
+        elif x.tag == "#raw" or x.skip or id(x) in dropped or x is not node and x.gone:
+            if x.tag not in _INLINE and x.tag != "#raw" and not x.skip:
                 flush()
         elif x.tag == "br":
             text.append(" ")
@@ -280,7 +294,7 @@ def extract(page: str | None, wrapper: Run | None) -> str:
     todo = [root]
     while todo:
         x = todo.pop()
-        if x.gone or id(x) in dropped:
+        if x.gone or x.skip or id(x) in dropped:
             continue
         if x.main:
             places.append((x.main, x))

@@ -41,6 +41,13 @@ def test_odd_pages():
     assert H.extract("<article>a<script>x</article>", None) == "a"
 
 
+def test_optional_end_tags():
+    page = "<body>{}<article><p>the text</p></article></body>"
+    for before in ("<datalist><option value=a><option value=b></datalist>", '<svg width="1" />', "<math/>", "<div><button></div>", "<object>", "<iframe src=x>", "<noscript>", "<select><option>a"):
+        assert H.extract(page.format(before), None) == "the text", before
+    assert H.extract("<article><p>one <svg><text>no</text></svg>two<button>no</button></p><select><option>no<option>no</select></article>", None) == "one two"
+
+
 def test_simple_tree_matching():
     a, b = H.collapse(H.parse("<div><p>1</p><ul><li>a</li></ul></div>")), H.collapse(H.parse("<div><ul><li>x</li><li>y</li></ul></div>"))
     size, pairs = H.match(a, b)

@@ -42,10 +42,14 @@ _OPTION = frozenset(("option", "optgroup"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 _GONE = frozenset("nav footer aside form head menu dialog fieldset".split())
 _GONE_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|nav\w*|menus?|breadcrumbs?|sidebar|footer"
-    r"|comments?|comment-?list|discussion|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|widget|masthead|site-?header|page-?header|skip)(?![a-z])",
-    re.I,
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|nav\w*|menus?|breadcrumbs?|sidebar|footer"
+    r"|comments?|commentlist|discussion|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|widget|masthead|siteheader|pageheader|skip"
 )
+#: Parts that may stand beside such a word in a class or id; others (with-, no-, has-, -free, -open) change its sense.
+_BESIDE = re.compile(
+    r"\d*|site|page|header|main|top|bottom|left|right|primary|secondary|global|bar|box|block|list|items?|links?|area|section|wrap|wrapper|container|inner|outer|row|col|slot|unit|form|buttons?|icons?|media|posts|articles|stories|text|message|to|us"
+)
+_TALK = re.compile(r"comments?|commentlist|discussion|replies|disqus")
 _GONE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -55,14 +59,21 @@ DEEPEST, WIDEST = 200, 100
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _names_gone(token: str) -> bool:
+    parts = re.split("[-_]+", token.lower())
+    gone = [bool(_GONE_NAME.fullmatch(x)) for x in parts]
+    whole = any(gone) or bool(re.search(r"(?:^|[-_])(?:site|page)[-_]?header$", token, re.I))
+    return whole and all(g or _BESIDE.fullmatch(x) for g, x in zip(gone, parts, strict=True))
+
+
 class Node:
     """children: nodes and texts in order."""
 
-    __slots__ = ("tag", "name", "kind", "children", "gone", "main", "skip")
+    __slots__ = ("tag", "name", "kind", "children", "gone", "main", "skip", "named")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.name, self.kind, self.children = tag, "", "", []
-        self.skip = tag in _SKIP
+        self.skip, self.named = tag in _SKIP, False
         self.gone, self.main = tag in _GONE, 2 if tag == "article" else 1 if tag == "main" else 0
         if attrs:
             for k, a, b, c in _ATTR.findall(attrs):
@@ -80,7 +91,8 @@ class Node:
                 elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _HIDDEN.search(v):
                     self.gone = True
             if self.name and tag not in ("html", "body", "article", "main"):
-                self.gone |= bool(_GONE_NAME.search(self.name))
+                self.named = not self.gone and any(map(_names_gone, self.name.split()))
+                self.gone |= self.named
 
     @property
     def key(self) -> tuple[str, str]:
@@ -290,6 +302,7 @@ def extract(page: str | None, wrapper: Run | None) -> str:
         for own, ref in match(collapse(root), wrapper)[1]:
             if ref.fixed is not None and squeezed(" ".join(map(text_of, own.nodes))) == ref.fixed:
                 dropped.update(map(id, own.nodes))
+    _release(root, dropped)
     places: list[tuple[int, Node]] = []
     todo = [root]
     while todo:
@@ -313,6 +326,48 @@ def extract(page: str | None, wrapper: Run | None) -> str:
     return "\n\n".join(t for t, n in found if n <= LINKED * len(t))
 
 
+def _release(root: Node, dropped: set[int]) -> None:
+    """Elements dropped for their name alone count again if nothing outside them is marked, and they hold a
+    mark with as much text as there is outside, or most of the text (comments: all of it)."""
+    while True:
+        free, marked, tops = _weighed(root, dropped)
+        if marked:
+            return
+        back = False
+        for x in tops:
+            x.gone = False
+            w, m, _ = _weighed(x, dropped)
+            talk = any(_TALK.fullmatch(q) for t in x.name.lower().split() for q in re.split("[-_]+", t))
+            if w and (m >= free and m or w > free and not (talk and free)):
+                back = True
+            else:
+                x.gone = True
+        if not back:
+            return
+
+
+def _weighed(node: Node, dropped: set[int]) -> tuple[int, int, list[Node]]:
+    """Signs of text that stays below node, those inside a mark, and the topmost elements dropped by name."""
+    free = marked = 0
+    tops = []
+    todo: list[tuple] = [(node, False)]
+    while todo:
+        x, mark = todo.pop()
+        if isinstance(x, str):
+            n = len(squeezed(x))
+            free += n
+            marked += n if mark else 0
+        elif x.tag == "#raw" or x.skip or id(x) in dropped:
+            continue
+        elif x.gone:
+            if x.named:
+                tops.append(x)
+        else:
+            mark = mark or x.main > 0
+            todo.extend((c, mark) for c in x.children)
+    return free, marked, tops
+
+
 def _below(node: Node) -> set[int]:
     out, todo = set(), [node]
     while todo:

@@ -48,6 +48,17 @@ def test_optional_end_tags():
     assert H.extract("<article><p>one <svg><text>no</text></svg>two<button>no</button></p><select><option>no<option>no</select></article>", None) == "one two"
 
 
+def test_names_of_whole_tokens():
+    page = '<body><div class="{}"><article><p>the text</p></article></div><div class="{}">noise</div></body>'
+    plain = '<body><div class="{}"><p>the text</p></div></body>'
+    for name in ("content with-sidebar", "layout no-sidebar", "post ad-free", "page nav-open", "has-comments", "elementor-widget", "social-science", "sidebar"):
+        assert H.extract(page.format(name, "x"), None) == "the text", name
+        assert H.extract(plain.format(name), None) == "the text", name
+    for name in ("ad", "cookie-notice", "site-header", "main-nav", "footer_links", "related-posts", "Sidebar-left"):
+        got = H.extract(f'<body><div class="{name}"><p>noise</p></div><div><p>some longer text</p></div></body>', None)
+        assert got == "some longer text", name
+
+
 def test_simple_tree_matching():
     a, b = H.collapse(H.parse("<div><p>1</p><ul><li>a</li></ul></div>")), H.collapse(H.parse("<div><ul><li>x</li><li>y</li></ul></div>"))
     size, pairs = H.match(a, b)

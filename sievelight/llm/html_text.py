@@ -5,9 +5,9 @@
   give a few) are aligned with the host's first page by simple tree matching.  Text that is the same in all
   of at least MIN_PAGES different pages makes its node part of the template; texts that vary make a slot.
 * Every page is aligned with its host's wrapper.  Template nodes go.  Of the slots those go that lie in
-  elements that name themselves menus, headers, footers, sidebars, notices, adverts, forms or comments, or
-  that consist of links.  If the page marks an article (or main part), slots outside it go too; else the
-  element with the most slot text per page holds the text.
+  elements that name themselves menus, headers, footers, sidebars, notices, adverts, forms or comments.
+  If the page marks an article (or main part), slots outside it go too; else lists and containers of links
+  go that do not stand beside a paragraph, and all other slots are the text.
 * Blocks are the texts between block-level tags, white space as one space, joined by two line feeds.
 
 Hosts and wrappers meet in a plain join, so a host with a third of all pages can be split.
@@ -40,6 +40,8 @@ _RAW = frozenset("script style textarea title".split())
 _SKIP = frozenset("template noscript iframe object svg math select datalist optgroup option button canvas audio video".split())
 _OPTION = frozenset(("option", "optgroup"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption address".split())
+_LISTS = frozenset("ul ol dl".split())
 _GONE = frozenset("nav footer aside form head menu dialog fieldset".split())
 _GONE_NAME = re.compile(
     r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|nav\w*|menus?|breadcrumbs?|sidebar|footer"
@@ -322,8 +324,8 @@ def extract(page: str | None, wrapper: Run | None) -> str:
                     inside.update(_below(x))
             if found:
                 return "\n\n".join(t for t, _ in found)
-    found = blocks_of(_densest(root, dropped), dropped)
-    return "\n\n".join(t for t, n in found if n <= LINKED * len(t))
+    _drop_link_lists(root, dropped)
+    return "\n\n".join(t for t, _ in blocks_of(root, dropped))
 
 
 def _release(root: Node, dropped: set[int]) -> None:
@@ -377,20 +379,42 @@ def _below(node: Node) -> set[int]:
     return out
 
 
-def _densest(root: Node, dropped: set[int]) -> Node:
-    """The lowest element that holds nine tenths of the text outside links and dropped elements."""
-
-    def weight(n: Node) -> int:
-        return sum(max(0, len(t) - k) for t, k in blocks_of(n, dropped) if k <= LINKED * len(t))
-
-    here, total = root, weight(root)
-    while total:
-        inner = [c for c in here.children if not isinstance(c, str) and not c.gone and c.tag not in _INLINE and c.tag != "#raw" and id(c) not in dropped]
-        best = max(inner, key=weight, default=None)
-        if best is None or best.tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "pre", "blockquote") or weight(best) < 0.9 * total:
-            break
-        here = best
-    return here
+def _drop_link_lists(root: Node, dropped: set[int]) -> None:
+    """Adds lists and containers that consist of links to dropped, unless they stand beside a paragraph."""
+    size: dict[int, tuple[int, int]] = {}
+    order: list[tuple[Node, bool]] = []
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        x, link = todo.pop()
+        if x.tag == "#raw" or x.skip or x.gone or id(x) in dropped:
+            continue
+        link = link or x.tag == "a"
+        order.append((x, link))
+        todo.extend((c, link) for c in x.children if not isinstance(c, str))
+    for x, link in reversed(order):
+        n = k = 0
+        for c in x.children:
+            if isinstance(c, str):
+                m = len(squeezed(c))
+                n, k = n + m, k + (m if link else 0)
+            else:
+                m, l = size.get(id(c), (0, 0))
+                n, k = n + m, k + l
+        size[id(x)] = n, k
+    todo = [(root, False)]
+    while todo:
+        x, beside = todo.pop()
+        n, k = size.get(id(x), (0, 0))
+        if not n or x.tag in _TEXTUAL or x.tag in _INLINE:
+            continue
+        if k > LINKED * n and not beside and x.tag not in ("#", "html", "body"):
+            dropped.add(id(x))
+            continue
+        if x.tag in _LISTS:
+            continue
+        inner = [c for c in x.children if not isinstance(c, str)]
+        own = any(c.tag == "p" and size.get(id(c), (0, 0))[0] > size.get(id(c), (0, 0))[1] for c in inner)
+        todo.extend((c, own) for c in inner)
 
 
 # ---- plan ----------------------------------------------------------------------------------------------

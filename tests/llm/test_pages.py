@@ -59,6 +59,13 @@ def test_names_of_whole_tokens():
         assert got == "some longer text", name
 
 
+def test_unmarked_page_keeps_all_slots():
+    body = "<p>long text of the page</p>" * 20
+    page = f"<body><ul><li><a href=a>menu</a></li><li><a href=b>two</a></li></ul><div><h1>Title</h1></div><div>Lead</div><div class=x>{body}<p><a href=s>source</a></p><ol><li><a href=r>Reference</a></li></ol></div><div><p>Closing</p></div></body>"
+    want = ["Title", "Lead", *["long text of the page"] * 20, "source", "Reference", "Closing"]
+    assert H.extract(page, None).split("\n\n") == want
+
+
 def test_simple_tree_matching():
     a, b = H.collapse(H.parse("<div><p>1</p><ul><li>a</li></ul></div>")), H.collapse(H.parse("<div><ul><li>x</li><li>y</li></ul></div>"))
     size, pairs = H.match(a, b)

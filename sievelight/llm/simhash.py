@@ -1,39 +1,51 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-* Fingerprints: 64 majority bits of shingle hashes; a signature is one or more of them (bands).
-* Rows of one signature are one class, known by its smallest identifier, so copies cost nothing further.
-* Candidates: a band is cut into blocks such that two fingerprints within the radius agree in two blocks at
-  least.  Each pair of blocks is a table; classes that agree in both blocks share a bucket of the table.
-  Every class is in every table, so no pair within the radius is missed.
-* Buckets of one class are dropped before they are dealt out.  A bucket of more than BUCKET classes is cut
-  into chunks, and each pair of chunks is a bucket of its own, so no task gets all of a hot one.
+* Fingerprints: 64 majority bits of shingle hashes.  Rows of one fingerprint (or of one set of shingles) are one
+  class, so copies cost nothing further.
+* Candidates: classes share a bucket of a table if they agree in some bits.  Tables over blocks of the bits miss
+  no pair within the radius: cut into radius + g blocks, two fingerprints within it agree in g blocks at least.
+  With more classes keys get longer, so that a bucket keeps some ROWS_PER_KEY classes at most by chance.
 * Comparison: a task's bit planes are stored vertically, 64 classes a word.  Shifted planes compare every
   class with its d-th neighbour at once; carry-save adders update all distances, and words in which no pair
   can still be within the radius are abandoned.
-* Links of a task are joined locally first, so a bucket of n classes gives in the order of n links, not n^2.
-* Components: smallest identifiers spread along links, with pointer jumping; each round is a written table.
+* Two passes.  The first takes a few tables, cuts buckets of over BUCKET classes into chunks and compares inside
+  chunks only; its components are labels.  The second takes all tables, leaves out buckets of one label, and
+  tells links between labels only.  In a bucket of over BUCKET classes those of the most frequent label need
+  no comparison with each other: they are dealt once for each chunk of the other classes.  So a group of n
+  copies gives in the order of n links and rows, and no pair of different labels is left out.
+* Components: smallest labels spread along links, with pointer jumping; each round is a written table.
 
 Empty table: empty result.  Null text counts as empty.  A text without words has the fingerprint zero and is
-linked like any other.  Rows with a null identifier get a fingerprint and the component of their class (null
-if the class has no identifier).  Repeated rows share a class.  Extra columns are ignored.
+linked like any other.  Rows with a null identifier get a fingerprint and are links between others; a component
+is null if none of its rows has an identifier.  Repeated rows share a class.  Extra columns are ignored;
+one_of_each() keeps them.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
 from . import bitmap
+from .joins import looked_up
 from .pretokens import chunks, slices
-from .scratch import stored
-
-BUCKET = 256
-CHUNK = 128
+from .scratch import drop, same, stored
+
+#: Classes of a bucket that one task compares; a larger bucket is cut into chunks.
+BUCKET = 1024
+#: A row in a further table costs about as much as so many comparisons, so buckets are to hold no more by chance.
+ROWS_PER_KEY = 1024
+#: Sets of shingles that one task compares; a larger group is cut into chunks.
+CHUNK = 256
+#: Tables of the first pass.
+EARLY = 3
 SLAB = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -243,237 +255,260 @@ def _above(count: list[np.ndarray], radius: int):
     return out
 
 
-def _joined(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, counts) -> np.ndarray:
-    """Links (i, j) that join what is within the radius; links inside what is joined already are left out.
+def _joined(fp: np.ndarray, group: np.ndarray, side: np.ndarray, label: np.ndarray, radius: int, counts) -> np.ndarray:
+    """Pairs (i, j) within the radius that join labels; pairs of labels joined already are left out.
 
-    side is 0 in a bucket of one chunk; in a bucket of two chunks it tells them apart (1 and 2).  There only
-    links between the chunks are returned, as each chunk has a bucket of its own.  counts(i, j): pairs that
-    count here."""
-    parent = np.arange(len(fp))
+    side is 0 in a group of one chunk; in one of two chunks it tells them apart (1 and 2), and only pairs
+    between them count.  counts(i, j): further conditions, or None."""
+    _, first, own = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[own]
     out = []
-
-    def sweep(rows: np.ndarray, groups: np.ndarray, across: bool) -> None:
-        nonlocal parent
-        for d, at in neighbours(fp[rows], groups, radius):
-            i, j = rows[at], rows[at + d]
-            if across:
-                ok = side[i] != side[j]
-                i, j = i[ok], j[ok]
+    for d, i in neighbours(fp, group, radius):
+        j = i + d
+        ok = (parent[i] != parent[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        if counts is not None and len(i):
             ok = counts(i, j)
             i, j = i[ok], j[ok]
-            a, b = parent[i], parent[j]
-            open_ = a != b
-            if not open_.any():
-                continue
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            told = across | (side[i] == 0)
-            out.append(np.stack([i[told], j[told]], axis=1))
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-
-    every = np.arange(len(fp))
-    sweep(every, group * 3 + side, False)
-    mixed = every[side > 0]
-    if len(mixed):
-        sweep(mixed, group[mixed], True)
+        if not len(i):
+            continue
+        out.append(np.stack([i, j], axis=1))
+        a, b = parent[i], parent[j]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 # ---- plan ----------------------------------------------------------------------------------------------
 
 
+def block_plan(classes: int, radius: int) -> tuple[int, int]:
+    """(blocks, agreeing): keys over so many agreeing blocks keep buckets under ROWS_PER_KEY by chance."""
+    agree = 2
+    while agree < 6 and ROWS_PER_KEY << (64 * agree // (radius + agree)) < classes:
+        agree += 1
+    return radius + agree, agree
+
+
 def block_masks(blocks: int) -> list[tuple[int, int]]:
     """(shift, width) of the blocks of 64 bits."""
     ends = [round(64 * i / blocks) for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _bucket_keys(fp: Column, blocks: int, band: int) -> list[Column]:
-    parts = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in block_masks(blocks)]
+def _bucket_keys(fp: Column, blocks: int, agree: int) -> list[Column]:
+    masks = block_masks(blocks)
+    parts = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in masks]
     out = []
-    for t, (i, j) in enumerate(combinations(range(blocks), 2)):
-        w = block_masks(blocks)[j][1]
-        key = F.call_function("shiftleft", parts[i], F.lit(w)).bitwiseOR(parts[j])
-        out.append(key.bitwiseOR(F.lit((band * 1024 + t) << 48)))
+    for t, which in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(t << 48)
+        at = 0
+        for i in which:
+            key = key.bitwiseOR(F.call_function("shiftleft", parts[i], F.lit(at)))
+            at += masks[i][1]
+        out.append(key)
     return out
 
 
-def _dealt(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Rows of a bucket of c chunks, sorted by bucket, pair of chunks and side."""
-    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def task(x: Column) -> Column:
-        return F.struct(
-            (F.least(x, mine) * F.col("c") + F.greatest(x, mine)).alias("pair"), F.when(x == mine, 0).when(mine < x, 1).otherwise(2).alias("side")
-        )
 
-    dealt = rows.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), task))).select(key, "t.pair", "t.side", "id", *carried)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, key, "pair").sortWithinPartitions(key, "pair", "side", "id")
+def _place(a: Column, b: Column, side: Column | int) -> Column:
+    return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
 
 
-def links(classes: DataFrame, bands: list[str], radius: int, limits: list[tuple[list[str], int]] | None = None) -> DataFrame:
-    """(a, b): links between classes (id and fingerprint columns, distinct signatures).  Classes are linked if
-    one of the bands differs in at most radius bits and, for each of the limits, its columns differ in at
-    most so many bits together."""
-    blocks = radius + 2
-    limits = limits or []
-    carried = list(dict.fromkeys([*bands, *(c for cols, _ in limits for c in cols)]))
-    rows = None
-    for n, band in enumerate(bands):
-        keys = F.explode(F.array(*_bucket_keys(F.col(band), blocks, n))).alias("k")
-        own = classes.where(F.col("id").isNotNull()).select("id", *carried, keys)
-        rows = own if rows is None else rows.unionByName(own)
+def _crossed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, id, label, ...) of large groups dealt to tasks (a, b) with a side, so that any two rows of
+    different labels meet.
 
-    masks = block_masks(blocks)
-    table_of = np.full((blocks, blocks), -1)
-    for t, (i, j) in enumerate(combinations(range(blocks), 2)):
-        table_of[i, j] = t
-
-    def found(cols):
-        k, pair, side, ids, *prints = cols
-        group = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(pair) != 0)))
-        named = {c: x.view(np.uint64) for c, x in zip(carried, prints, strict=True)}
-        band, table = k >> 58, (k >> 48) & 1023
-        fp = np.choose(band, [named[b] for b in bands])
-
-        def counts(i, j):
-            """A pair counts in the first of its tables: in the first band that has it, and there in the table
-            of the first two blocks that are equal."""
-            x = fp[i] ^ fp[j]
-            equal = np.stack([(x >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0 for s, w in masks])
-            first = equal.argmax(axis=0)
-            equal[first, np.arange(len(i))] = False
-            ok = table_of[first, equal.argmax(axis=0)] == table[i]
-            for n, b in enumerate(bands[:-1]):
-                ok &= (band[i] <= n) | (np.bitwise_count(named[b][i] ^ named[b][j]) > radius)
-            for cols, most in limits:
-                ok &= sum(np.bitwise_count(named[c][i] ^ named[c][j]).astype(np.int64) for c in cols) <= most
-            return ok
-
-        yield _pairs(ids, _joined(fp, group, side, radius, counts))
-
-    return _compared(rows, carried, found)
-
-
-def _pairs(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    a, b = ids[at[:, 0]], ids[at[:, 1]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    Rows of a group's most frequent label are cut into chunks and meet the chunks of the others only."""
+    per = stored(rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c")), "label-sizes")
+    top = F.max(F.struct("c", "label")).alias("top")
+    half = most // 2
+    shape = per.groupBy(key).agg(top, F.sum("c").alias("n")).where("n > top.c").select(
+        key, F.col("top.label").alias("resident"), F.ceil(F.col("top.c") / half).cast("int").alias("cr"), F.ceil((F.col("n") - F.col("top.c")) / half).cast("int").alias("cv")
+    )
+    big = rows.join(stored(shape, "large-groups"), key)
+    h = F.xxhash64("id", F.lit(2))
+    mine = F.pmod(h, F.when(F.col("label") == F.col("resident"), F.col("cr")).otherwise(F.col("cv"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("cv") - 1)
+    resident = F.transform(others, lambda j: _place(-1 - mine, j, 2))
+    visitor = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("cr") - 1), lambda r: _place(-1 - r, mine, 1)),
+        F.transform(others, lambda j: _place(F.least(j, mine), F.greatest(j, mine), F.when(j == mine, 0).when(mine < j, 1).otherwise(2))),
+    )
+    dealt = big.withColumn("t", F.explode(F.when(F.col("label") == F.col("resident"), resident).otherwise(visitor)))
+    return dealt.select(*rows.columns, "t.a", "t.b", "t.side")
 
 
-def _compared(rows: DataFrame, carried: list[str], found) -> DataFrame:
-    """Links (a, b) that found gives for the buckets k of rows: slabs of columns k, pair, side, id, carried."""
-    sizes = stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    parts = F.ceil(F.col("n") / BUCKET).cast("int")
-    dealt = _dealt(rows.join(sizes, "k").withColumn("c", parts), "k", carried)
+def _sorted(dealt: DataFrame, key: str) -> DataFrame:
+    return dealt.repartition(_tasks(dealt), key, "a", "b").sortWithinPartitions(key, "a", "b", "side", "label")
 
-    def compare(batches):
-        held = None
-        for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
-            held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            if len(held[0]) >= SLAB:
-                change = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield from found([x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from found(held)
 
-    return dealt.mapInArrow(compare, "a long, b long").where("a != b").distinct()
+def _slabs(batches) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups (the first three columns), some SLAB rows together."""
+    held = None
+    for b in batches:
+        cols = [c.to_numpy() for c in b.columns]
+        held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        if len(held[0]) >= SLAB:
+            change = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0))
+            if len(change):
+                cut = int(change[-1]) + 1
+                yield [x[:cut] for x in held]
+                held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
 
 
-def table_links(classes: DataFrame, radius: int, both: int) -> DataFrame:
-    """(a, b): links between classes (id, keys, s0, s1) that share a key of a table and differ in at most
-    radius bits of s0 and in at most both bits of s0 and s1."""
-    rows = classes.select("id", "s0", "s1", F.explode("keys").alias("k"))
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
 
-    def found(cols):
-        k, pair, side, ids, s0, s1 = cols
-        group = np.cumsum(np.append(0, (np.diff(k) != 0) | (np.diff(pair) != 0)))
-        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+def _compared(dealt: DataFrame, prints: list[str], radius: int, judge) -> DataFrame:
+    """(a, b): pairs of labels that a pair of rows (k, a, b, side, label, prints) of one task joins; rows of a
+    task stand together, in order.
 
-        def counts(i, j):
-            return np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= both
+    The first of the prints differ in at most radius bits; judge(prints, i, j) may ask for more."""
 
-        yield _pairs(ids, _joined(s0, group, side, radius, counts))
+    def run(batches):
+        for k, a, b, side, label, *cols in _slabs(batches):
+            edge = (np.diff(k) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)
+            several = ~(np.append(True, edge) & np.append(edge, True))  # rows alone in their group are left out
+            group = np.cumsum(np.append(0, edge))[several]
+            own = [x.view(np.uint64)[several] for x in cols]
+            label = label[several]
+            at = _joined(own[0], group, side[several], label, radius, judge and (lambda i, j, own=own: judge(own, i, j)))
+            yield _pairs(label[at[:, 0]], label[at[:, 1]])
+
+    return dealt.select("k", "a", "b", "side", "label", *prints).mapInArrow(run, "a long, b long")
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET), "large-buckets")
+
+
+def linked(classes: DataFrame, prints: list[str], radius: int, judge: Callable | None = None) -> DataFrame:
+    """(id, component) of the classes (id, prints, keys: a bucket of each table) that have a link.
+
+    Classes are linked if they share a bucket, differ in at most radius bits of the first print, and judge
+    (if any) agrees.  A component is the smallest identifier of its classes."""
+    rows = classes.select("id", F.col("id").alias("label"), *prints, F.explode(F.slice("keys", 1, EARLY)).alias("k"))
+    large = _large(rows)
+    chunk = F.coalesce(F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("n") / BUCKET)), F.lit(0)).cast("int")
+    dealt = rows.join(large, "k", "left").select("k", chunk.alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "label", *prints)
+    early = components(_compared(_sorted(dealt, "k"), prints, radius, judge).distinct())
+    label = F.coalesce("component", "id").alias("label")
+    named = stored(classes.join(early, "id", "left").select("id", label, *prints, "keys"), "labelled")
+    drop(large, early)
+
+    rows = named.select("id", "label", *prints, F.explode("keys").alias("k"))
+    large = _large(rows)
+    dealt = rows.select("k", "label", *prints).repartition(_tasks(rows), "k")
+    hot = not large.isEmpty()
+    if hot:
+        dealt = dealt.join(large.select("k"), "k", "left_anti")
+    zero = F.lit(0)
+    dealt = dealt.sortWithinPartitions("k", "label").select("k", zero.alias("a"), zero.alias("b"), zero.alias("side"), "label", *prints)
+    edges = _compared(dealt, prints, radius, judge)
+    if hot:
+        edges = edges.unionByName(_compared(_sorted(_crossed(rows.join(large.select("k"), "k"), "k", BUCKET), "k"), prints, radius, judge))
+    late = components(edges.distinct())
+    out = _after(named.select("id", "label"), late)
+    drop(large, late, named)
+    return out
 
-    return _compared(rows, ["s0", "s1"], found)
 
+def _after(named: DataFrame, late: DataFrame) -> DataFrame:
+    """(id, component) of named (id, label) once labels are joined further; those of one row are left out."""
+    final = named.join(late.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("component"))
+    final = stored(final, "components")
+    many = final.where("id != component").select("component").distinct()
+    return stored(final.join(many, "component", "left_semi"), "components")
 
-def alike(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links (i, j) that join sets with a Jaccard similarity of at least least; links inside what is joined
+
+def alike(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets with a Jaccard similarity of at least least that join labels; pairs of labels joined
     already are left out.  Sides as in _joined, in order."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.append(0, np.cumsum(n))
-    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.int64)
-    parent = np.arange(len(sets))
+    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.int32)
+    full = np.flatnonzero(n)  # sums over slices need at least one element each
+    _, parent = np.unique(label, return_inverse=True)
+    second = int(np.searchsorted(side, 2))
     out = []
     for i in range(len(sets) - 1):
-        lo = max(i + 1, int(np.searchsorted(side, 2))) if side[i] == 1 else i + 1
-        j = np.arange(lo, len(sets))
-        if side[i] == 2 or not len(j):
+        lo = max(i + 1, second) if side[i] == 1 else i + 1
+        if side[i] == 2 or not n[i]:
             continue
-        j = j[(parent[j] != parent[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)]
-        if not len(j):
+        first = int(np.searchsorted(full, lo))
+        j = full[first:]
+        if not len(j) or not (parent[j] != parent[i]).any():
             continue
         own = flat[start[i] : start[i + 1]]
         seen[own] = 1
-        for k in j.tolist():
-            if parent[k] == parent[i]:
-                continue
-            both = int(seen[flat[start[k] : start[k + 1]]].sum())
-            if both >= least * (n[i] + n[k] - both) - 1e-9:
-                out.append((i, k))
-                a, b = sorted((parent[i], parent[k]))
-                parent[parent == b] = a
+        both = np.add.reduceat(seen[flat[start[j[0]] :]], start[j] - start[j[0]])
         seen[own] = 0
+        for k in j[(both >= least * (n[i] + n[j] - both) - 1e-9) & (parent[j] != parent[i])].tolist():
+            if parent[k] != parent[i]:
+                out.append((i, k))
+                parent[parent == parent[k]] = parent[i]
     return out
 
 
-def verified(members: DataFrame, least: float, words: int) -> DataFrame:
-    """(a, b): links between ids of one group whose shingle sets agree in least at the least (Jaccard, exact).
+def _judged(dealt: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of labels that a pair of sets (g, a, b, side, label, s) of one task joins."""
 
-    members: rows g, id, text.  All pairs of a group are judged; a group of more than CHUNK is cut into
-    chunks, and each pair of chunks is a task's own bucket, as in links."""
-
-    def sets(batches):
-        for b in slices(batches, 2):
-            s = [x.tobytes() for x in shingle_sets(b.column(2).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.binary())], ["g", "id", "s"])
-
-    sizes = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large-groups")
-    rows = members.select("g", "id", "text").mapInArrow(sets, "g long, id long, s binary")
-    parts = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
-    dealt = _dealt(rows.join(sizes, "g", "left").withColumn("c", parts), "g", ["s"])
-
-    def compare(batches):
-        key, ids, side, own = None, [], [], []
+    def run(batches):
+        key, labels, side, own = None, [], [], []
 
         def found():
-            at = alike([np.frombuffer(x, np.uint64) for x in own], np.array(side), least) if len(own) > 1 else []
+            at = alike([np.frombuffer(x, np.uint64) for x in own], np.array(side), np.array(labels), least) if len(own) > 1 else []
             if at:
-                a, b = (pa.array([ids[x[k]] for x in at], pa.int64()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                yield _pairs(*(np.array([labels[x[k]] for x in at], np.int64) for k in (0, 1)))
 
-        for b in batches:
-            for g, pair, sd, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (g, pair) != key:
+        for batch in batches:
+            for g, a, b, sd, label, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, a, b) != key:
                     yield from found()
-                    key, ids, side, own = (g, pair), [], [], []
-                ids.append(i)
+                    key, labels, side, own = (g, a, b), [], [], []
+                labels.append(label)
                 side.append(sd)
                 own.append(x)
         yield from found()
 
-    return dealt.mapInArrow(compare, "a long, b long").where("a != b")
+    return _sorted(dealt, "g").select("g", "a", "b", "side", "label", "s").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(members: DataFrame, least: float) -> DataFrame:
+    """(id, component) of the members (g, id, s: sorted hashes of a set) that have a link inside their group g.
+
+    Members are linked if their sets agree in least at the least (Jaccard, exact).  All pairs of a group are
+    judged: a group of up to CHUNK at once, a larger one in chunks that share the member whose identifier is
+    the group's, and then between what is not joined so far."""
+    sizes = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "large-groups")
+    many = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunk = F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("id") == F.col("g"), F.sequence(F.lit(0), many - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("id"), many).cast("int"))
+    )
+    rows = members.select("g", "id", "s")
+    dealt = rows.join(sizes, "g", "left").select("g", F.explode(chunk).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("id").alias("label"), "s")
+    early = components(_judged(dealt, least))
+    named = stored(members.select("g", "id").join(early, "id", "left").select("g", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    if sizes.isEmpty():
+        return early
+    large = rows.join(sizes.select("g"), "g").join(named.select("id", "label"), "id").select("g", "id", "label", "s")
+    late = components(_judged(_crossed(large, "g", CHUNK), least))
+    out = _after(named.select("id", "label"), late)
+    drop(sizes, early, late, named)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -493,19 +528,12 @@ def components(edges: DataFrame) -> DataFrame:
         jump = own.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = own.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         new = stored(new, "labels")
+        drop(labels, least, own)
         changed = not new.where("component != old").isEmpty()
-        labels = new.select("id", "component")
         if not changed:
-            return labels
-
-
-def grouped(signed: DataFrame, bands: list[str], radius: int, limits: list[tuple[list[str], int]] | None = None) -> DataFrame:
-    """signed (id, fingerprint columns) with component_id."""
-    prints = [c for c in signed.columns if c in bands or any(c in cols for cols, _ in limits or [])]
-    classes = stored(signed.groupBy(*prints).agg(F.min("id").alias("id")), "classes")
-    label = components(links(classes, bands, radius, limits))
-    named = classes.join(label, "id", "left").select(*prints, F.coalesce("component", "id").alias("component_id"))
-    return signed.join(stored(named, "named"), prints, "left")
+            drop(edges, both)
+            return same(new, new.select("id", "component"))
+        labels = new
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -516,58 +544,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = shingle_fingerprints(b.column(1).to_pylist(), words, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+
+
+def grouped(signed: DataFrame, radius: int) -> DataFrame:
+    """Stored rows (id, fp) with component_id: the smallest identifier among fingerprints linked to the row's."""
+    classes = stored(signed.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    sizes = classes.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows")).first()
+    keys = F.array(*_bucket_keys(F.col("fp"), *block_plan(sizes["classes"], radius)))
+    total = sizes["rows"] or 0
+    label = linked(classes.select(F.col("fp").alias("id"), "fp", keys.alias("keys")), ["fp"], radius)
+    named = classes.join(label.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("root"))
+    named = stored(named, "named")
+    several = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    table = stored(looked_up(named, several, ["root"], "m", sizes["classes"]).select("fp", "n", "component_id"), "named")
+    drop(classes, named, label)
+    return looked_up(signed, table, ["fp"], "n", total).drop("n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """A row per document: id, fingerprint, component_id."""
     signed = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    return grouped(signed, ["fp"], radius).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return grouped(signed, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Chance that a bit of two fingerprints is equal where a fifth of the union of two sets is not shared.
+SAME_BIT = 0.848
+
+
+def table_plan(rows: int, miss: float = 0.003) -> tuple[int, int]:
+    """(bits, tables): keys of 16 bits, or of more where buckets would hold over ROWS_PER_KEY rows by chance; and
+    so many tables that a pair at the limit has no common bucket with a chance of miss at most."""
+    bits = min(40, max(16, math.ceil(math.log2(max(1, rows) / ROWS_PER_KEY))))
+    return bits, math.ceil(math.log(miss) / math.log1p(-(SAME_BIT**bits)))
+
+
+def _table_keys(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A key of so many bits from each row's prints for each table, in 32 bits if it fits."""
+    flags = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    flags = flags[:, : bits * tables].reshape(len(prints), tables, bits).astype(np.float32 if bits <= 24 else np.float64)
+    keys = (flags @ (2 ** np.arange(bits)).astype(flags.dtype)).astype(np.int64) | np.arange(tables, dtype=np.int64) << bits
+    return keys.astype(np.int32) if bits + tables.bit_length() < 32 else keys
 
 
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 23, shingle_bits: int = 38, least: float = 0.8, words: int = 5, tables: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 23, shingle_bits: int = 38, least: float = 0.8, words: int = 5
 ) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that with the smallest identifier.
+    """docs with one document of each group of near-duplicates: that with the smallest identifier (a null one
+    comes last; then the smallest hash of identifier and text).
 
     Near-duplicates agree in least of their distinct five-word shingles, or are linked by such pairs.
     Fingerprints over distinct shingles only find groups of candidates, so it does not matter whether words
     were changed, inserted or appended: at the limit of 0.8 a bit differs with a probability of 0.152 at most.
-    Each of the tables has 16 bits of its own, which all agree with 0.848^16 = 0.072, so a pair at the limit
-    is in no common bucket of 80 tables with 0.0026.  In a bucket candidates are those within radius of 64
-    bits (9.7 in the mean, with a deviation of 2.9) and shingle_bits of 128 (19.5, 4.1; 64 without common
-    shingles).  Then all pairs of a group are judged by their shingles.  Texts of equal shingle sets are one
-    class.  Rows that repeat an identifier and its text stay or go together."""
+    A table's bits are its own (table_plan).  In a bucket candidates are those within radius of 64 bits (9.7 in
+    the mean, with a deviation of 2.9) and shingle_bits of 128 (19.5, 4.1; 64 without common shingles).  Then all
+    pairs of a group are judged by their shingles.  Texts of equal shingle sets are one class.  Rows that repeat
+    an identifier and its text stay or go together.  Columns of any name pass through."""
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    key = F.unhex(F.sha2(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("rk"), text.alias("text"))
+    total = docs.count()
+    bits, tables = table_plan(total)
+    bands = -(-bits * tables // 64)
 
     def run(batches):
         for b in slices(batches, 2):
             sets = shingle_sets(b.column(2).to_pylist(), words)
-            same = np.fromiter((xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
-            s = set_fingerprints(sets, 2 + tables // 4)
-            keys = s[:, 2:].astype("<u8").view("<u2").astype(np.int32) | np.arange(tables, dtype=np.int32) << 16
+            same = [xxh3_128_digest(x.tobytes()) for x in sets]
+            s = set_fingerprints(sets, 2 + bands)
+            keys = _table_keys(s[:, 2:], bits, tables)
             keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
-            prints = (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (same, s[:, 0], s[:, 1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *prints, keys], ["id", "tk", "ck", "s0", "s1", "keys"])
-
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tk"), F.col(text_col).alias("text"))
-    signed = stored(rows.mapInArrow(run, "id long, tk long, ck long, s0 long, s1 long, keys array<int>"), "fingerprints")
-    first = F.min(F.struct("id", "tk", "s0", "s1", "keys")).alias("first")
-    classes = stored(signed.where("id is not null").groupBy("ck").agg(first).select("ck", "first.*"), "classes")
-    loose = components(table_links(classes, radius, shingle_bits))
-    members = stored(loose.join(classes.select("id", "tk"), "id").select("id", "tk", F.col("component").alias("g")), "members")
-    some = bitmap.keep_possible(rows, F.struct("id", "tk"), bitmap.build(members, F.struct("id", "tk")))
-    label = components(verified(some.join(members, ["id", "tk"]).dropDuplicates(["id", "tk"]), least, words))
-    named = stored(classes.join(label, "id", "left").select("ck", F.coalesce("component", "id").alias("component_id")), "named")
-    later = signed.join(named, "ck").where("id != component_id")
-    later = stored(later.select(F.col("id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "later-copies")
-    bits = bitmap.build(later, F.struct("_id", "_tk"))
-    named = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tk", key)
-    tagged = bitmap.tag(named, F.struct("_id", "_tk"), bits)
-    stay = tagged.where("not _possible").select(*docs.columns)
-    move = tagged.where("_possible").join(later, ["_id", "_tk"], "left_anti").select(*docs.columns)
+            prints = (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s[:, 0], s[:, 1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), *prints, keys], ["id", "rk", "ck", "s0", "s1", "keys"])
+
+    def judge(prints, i, j):
+        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in prints) <= shingle_bits
+
+    schema = f"id long, rk binary, ck binary, s0 long, s1 long, keys array<{'int' if bits + tables.bit_length() < 32 else 'long'}>"
+    signed = stored(rows.select("id", "rk", "text").mapInArrow(run, schema), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rk")
+    found = signed.groupBy("ck").agg(F.min(F.struct(rank.alias("rank"), "s0", "s1", "keys")).alias("v"), F.count(F.lit(1)).alias("n"))
+    classes = stored(found.select(F.monotonically_increasing_id().alias("id"), "ck", "v.rank", "n", "v.s0", "v.s1", "v.keys"), "classes")
+    loose = linked(classes.select("id", "s0", "s1", "keys"), ["s0", "s1"], radius, judge)
+    members = stored(loose.join(classes.select("id", F.col("rank.rk").alias("rk")), "id").select("id", "rk", F.col("component").alias("g")), "members")
+
+    def hashed(batches):
+        for b in slices(batches, 2):
+            s = [x.tobytes() for x in shingle_sets(b.column(2).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.binary())], ["g", "id", "s"])
+
+    some = bitmap.keep_possible(rows.select("rk", "text"), F.col("rk"), bitmap.build(members, F.col("rk")))
+    some = some.join(members, "rk").dropDuplicates(["rk"]).select("g", "id", "text").mapInArrow(hashed, "g long, id long, s binary")
+    sets = stored(some, "sets")
+    label = verified(sets, least)
+    named = stored(classes.join(label, "id", "left").select("ck", "n", "rank", F.coalesce("component", "id").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min("rank").alias("keep"), F.count(F.lit(1)).alias("m"))
+    table = stored(looked_up(named, first, ["root"], "m", total).select("ck", "n", F.col("keep.rk").alias("keep")), "named")
+    later = looked_up(signed.select("rk", "ck"), table, ["ck"], "n", total).where("rk != keep").select("rk")
+    later = stored(later.distinct(), "later-copies")
+    drop(signed, classes, loose, members, sets, label, named, table)
+    tagged = bitmap.tag(rows.select("row", "rk"), F.col("rk"), bitmap.build(later, F.col("rk")))
+    stay = tagged.where("not _possible").select("row.*")
+    move = tagged.where("_possible").join(later, "rk", "left_anti").select("row.*")
     return stay.unionByName(move)
 
 

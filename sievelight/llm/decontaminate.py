@@ -4,35 +4,34 @@ An item (short) is in a document (long) if the document has at least THRESHOLD o
 shingles.  Words are runs of letters and numbers, lower-cased; a shingle is five words in a row, or the
 whole sequence of a shorter text.
 
-* Shingles are hashed once; the high bits of a hash are its bin, the smallest hash of a bin is the bin's
-  minimum (one-permutation MinHash).  Bins nest: a minimum stays one when bins are split.
-* Documents are partitioned by size: the class of up to 2^u shingles uses 2^(u + e) bins, so a document of
-  any length keeps a shared shingle as a minimum with the same probability p = (1 - exp(-l)) / l, l = 2^-e.
-  e is the least for which the shortest item, at the threshold, is missed with a probability under MISS.
-* An equal minimum of a document and an item makes them candidates.
-* Candidates are verified by the shingles themselves, read again from the whole texts.
+* Items of equal shingle sets are one set.  Sets are partitioned by size, in classes up to 2^c shingles.
+* A set's sketch is its k smallest shingles under a permutation (MinHash): those that fewer sets have come
+  first, then by hash.  Of n shingles a document must have ceil(4n/5), so of any n - ceil(4n/5) + 1 it has one;
+  k is that number for the largest size of the class.  So no item is missed, in documents of any length, and a
+  shingle common to all items (a prompt's first words) makes no candidates as long as there are others.
+* A shingle of a document that is in a sketch makes text and set candidates.
+* Candidates are verified by the shingles themselves, read again from the whole texts, once for each text.
 
-Hashes of items are broadcast up to BROADCAST_ROWS rows and joined by a shuffle beyond.  Candidates are kept
-per text, so copies cost nothing further, and only texts that pass a bitmap of fixed size move.
+Sketches are broadcast up to BROADCAST_ROWS rows; beyond, shingles that pass a bitmap of fixed size meet them
+in a shuffle join.  Only texts that pass a bitmap of fixed size move.
 
 Empty tables: empty result, or every document clean.  Null texts and texts without words have no shingles
 and are in no pair.  Rows with one identifier are judged one by one and reported as one, with the largest
-count; a null identifier is reported as such.  Extra columns are ignored; clean_documents() keeps them.
+count; a null identifier is reported as such.  Columns of any name pass through, but for those that contained()
+adds itself.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .scratch import stored
+from .joins import looked_up
+from .scratch import drop, stored
 
 WORDS = 5
 THRESHOLD = (4, 5)
-MISS = 1e-9
 BROADCAST_ROWS = 1_000_000
 
 
@@ -59,76 +58,85 @@ def shingles(words: Column, size: int = WORDS) -> Column:
     return _each_shingle(words, size, lambda s: s)
 
 
-def _hashes(words: Column, size: int = WORDS) -> Column:
-    return F.sort_array(_each_shingle(words, size, F.xxhash64))
+def needed(n: Column) -> Column:
+    """So many of n shingles make an item contained."""
+    return F.ceil(n * THRESHOLD[0] / THRESHOLD[1])
+
+
+def item_sets(items: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(set, s) for each distinct set of shingles; (set, item_id) for each item with words."""
+    own = items.select(F.col(item_id).alias("item_id"), F.sort_array(F.array_distinct(shingles(words_of(F.col(item_text))))).alias("s"))
+    own = stored(own.where(F.size("s") > 0).distinct(), "items")
+    sets = stored(own.select("s").distinct().select(F.monotonically_increasing_id().alias("set"), "s"), "item-sets")
+    owners = stored(own.join(sets, "s").select("set", "item_id"), "item-owners")
+    drop(own)
+    return sets, owners
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(hash, set): the sketch of each set (set, s)."""
+    each = sets.select("set", F.size("s").alias("n"), F.explode("s").alias("x"))
+    rarity = each.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(rarity, "x").groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("f", F.xxhash64("x").alias("h")))).alias("r"))
+    largest = F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("int")
+    k = (largest - needed(largest) + 1).cast("int")
+    return ranked.select("set", F.explode(F.transform(F.slice("r", F.lit(1), k), lambda x: x["h"])).alias("hash"))
+
 
+def candidates(bodies: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tk, set): texts (tk, body) that share a shingle with a set's sketch."""
+    index = stored(sketches(sets), "sketches")
+    own = bodies.select("tk", F.explode(_each_shingle(words_of(F.col("body")), WORDS, F.xxhash64)).alias("hash"))
+    if index.count() <= BROADCAST_ROWS:
+        index = F.broadcast(index)
+    else:
+        own = bitmap.keep_possible(own, F.col("hash"), bitmap.build(index, F.col("hash")))
+    return own.join(index, "hash").select("tk", "set").distinct()
 
-def extra_bits(shortest: int) -> int:
-    """e for the size of the smallest item."""
-    needed = -(-shortest * THRESHOLD[0] // THRESHOLD[1])
-    p = 1 - MISS ** (1 / max(1, needed))
-    for e in range(0, 60):
-        x = 2.0**-e
-        if -math.expm1(-x) / x >= p:
-            return e
-    return 60
 
+def _verified(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tk, bk, n, held) of each text of rows (tk, body) that holds a set: its SHA-256, rows, and sets with counts."""
+    pairs = stored(candidates(rows.select("tk", "body"), sets), "candidates")
+    some = bitmap.keep_possible(rows.select("tk", "body"), F.col("tk"), bitmap.build(pairs, F.col("tk")))
+    texts = some.groupBy("tk", "body").agg(F.count(F.lit(1)).alias("n"))
+    own = texts.select("tk", _text_key(F.col("body")).alias("bk"), "n", F.array_distinct(shingles(words_of(F.col("body")))).alias("own"))
+    found = own.join(pairs, "tk").join(sets, "set").select("tk", "bk", "n", "set", F.size("s").alias("size"), F.size(F.array_intersect("s", "own")).alias("shared"))
+    found = found.where(F.col("shared") >= needed(F.col("size")))
+    found = found.groupBy("tk", "bk", "n").agg(F.collect_list(F.struct("set", "shared", F.col("size").alias("n_shingles"))).alias("held"))  # as many as sets at most
+    out = stored(found, "leaks")
+    drop(pairs)
+    return out
 
-def _minima(sorted_hashes: Column, bits: Column) -> Column:
-    """First hash of each bin; the sign bit makes no difference to the order of signed numbers."""
-    shift = F.lit(64) - bits
 
-    def run(h: Column) -> Column:
-        def first(x: Column, i: Column) -> Column:
-            return (i == 0) | (F.call_function("shiftright", x, shift) != F.call_function("shiftright", F.get(h, i - 1), shift))
+def _text_key(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
 
-        return F.filter(h, first)
 
-    return _bound(sorted_hashes, run)
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.struct(*docs.columns).alias("row"), body.alias("body"), F.xxhash64(body).alias("tk"))
 
 
 def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs' rows that hold an item, once for each item: docs' columns, then item_id, shared, n_shingles."""
+    """docs' rows that hold an item, once for each item: docs' columns, then item_id, shared, n_shingles (which
+    replace columns of these names)."""
     docs = docs.drop("item_id", "shared", "n_shingles")
-    tests = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    tests = stored(tests.select("item_id", F.array_distinct(shingles(F.col("w"))).alias("s")).distinct(), "items")
-    sizes = tests.agg(F.min(F.size("s")), F.sum(F.size("s"))).first()
-    e = extra_bits(sizes[0] or 1)
-
-    # a hash is a minimum of its item from so many bits on: one more than it shares with the hash before it
-    h = F.sort_array(F.transform("s", lambda x: F.xxhash64(x)))
-    each = tests.select("item_id", h.alias("h")).select("item_id", F.posexplode("h").alias("i", "x"), "h")
-    mixed = F.col("x").bitwiseXOR(F.get("h", F.col("i") - 1))
-    common = F.when(F.col("i") == 0, 0).when(mixed < 0, 1).otherwise(65 - F.length(F.conv(mixed.cast("string"), 10, 2)))
-    hashes = each.select(F.col("x").alias("hash"), "item_id", common.cast("int").alias("from_bits"))
-    if (sizes[1] or 0) <= BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.xxhash64(text).alias("tk"), words_of(F.col(text_col)).alias("w"))
-    own = own.select("tk", _hashes(F.col("w")).alias("h")).where(F.size("h") > 0)
-    bits = F.least(F.lit(64), F.ceil(F.log2(F.size("h").cast("double"))).cast("int") + e)
-    own = own.select("tk", "h", bits.alias("bits")).select("tk", "bits", F.explode(_minima(F.col("h"), F.col("bits"))).alias("hash"))
-    pairs = own.join(hashes, "hash").where("bits >= from_bits").select("tk", "item_id").distinct()
-    lists = stored(pairs.groupBy("tk").agg(F.collect_set("item_id").alias("_items")), "candidates")
-
-    some = docs.withColumn("tk", F.xxhash64(text))
-    some = bitmap.keep_possible(some, F.col("tk"), bitmap.build(lists, F.col("tk"))).join(lists, "tk")
-    some = some.withColumn("_s", F.array_distinct(shingles(words_of(F.col(text_col)))))
-    some = some.select(*docs.columns, "_s", F.explode("_items").alias("item_id"))
-    some = some.join(tests, "item_id").withColumn("shared", F.size(F.array_intersect("s", "_s")))
-    some = some.withColumn("n_shingles", F.size("s")).where(THRESHOLD[1] * F.col("shared") >= THRESHOLD[0] * F.col("n_shingles"))
-    return some.select(*docs.columns, "item_id", F.col("shared").cast("long"), F.col("n_shingles").cast("long"))
+    sets, owners = item_sets(items, item_id, item_text)
+    rows = _rows(docs, text_col)
+    held = _verified(rows, sets)
+    some = bitmap.keep_possible(rows, F.col("tk"), bitmap.build(held, F.col("tk"))).select("row", _text_key(F.col("body")).alias("bk"))
+    some = looked_up(some, held.select("bk", "n", "held"), ["bk"], "n", docs.count()).select("row", F.explode("held").alias("h")).select("row", "h.*")
+    return some.join(owners, "set").select("row.*", "item_id", F.col("shared").cast("long"), F.col("n_shingles").cast("long"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that hold an item."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bad = contained(docs.select(text.alias("body")), items, "body").select(F.xxhash64("body").alias("_tk"), F.col("body").alias("_body")).distinct()
-    bad = stored(bad, "leaks")
-    tagged = bitmap.tag(docs.withColumn("_tk", F.xxhash64(text)), F.col("_tk"), bitmap.build(bad, F.col("_tk")))
-    stay = tagged.where("not _possible").select(*docs.columns)
-    move = tagged.where("_possible").withColumn("_body", text).join(bad, ["_tk", "_body"], "left_anti").select(*docs.columns)
+    rows = _rows(docs, text_col)
+    held = _verified(rows, item_sets(items, "item_id", "text")[0])
+    tagged = bitmap.tag(rows, F.col("tk"), bitmap.build(held, F.col("tk")))
+    stay = tagged.where("not _possible").select("row.*")
+    some = tagged.where("_possible").select("row", _text_key(F.col("body")).alias("bk"))
+    move = looked_up(some, held.select("bk", "n"), ["bk"], "n", docs.count()).where("n is null").select("row.*")
     return stay.unionByName(move)
 
 

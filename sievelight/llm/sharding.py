@@ -1,11 +1,15 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 Row i of the matrix says how many rows of input partition i go to each block; a shard consists of one or
-more blocks, so no task holds a whole shard.  The matrix is drawn row by row from the multivariate
-hypergeometric law over the places that are left, so it has the law that a uniform permutation of all
-rows would give.  Each partition permutes its own rows and deals them by its row of the matrix; after the
-exchange each block permutes again.  Every order of the rows is equally likely, counts are exact, and the
-driver sees the row and byte counts of each partition only.  Blocks are bounded by rows and, in the mean, by bytes.
+more blocks, so no task holds a whole shard.  The matrix has the law that a uniform permutation of all rows
+would give.  Each partition permutes its own rows and deals them by its row of the matrix; after the exchange
+each block permutes again.  Every order of the rows is equally likely, and counts are exact.
+
+Nobody holds the matrix.  A tree halves the partitions again and again; at each node the places of its blocks are
+split between the halves by a multivariate hypergeometric draw whose seed follows from the node.  A task that has
+partition i walks down to it and so gets row i, in memory of one number a block.  The driver sees the row and byte
+counts of each partition only and sends the row counts to the tasks.  Blocks are bounded by rows and, in the mean, by
+bytes.
 
 The input is written to the shared folder first with each row's position, and a row's block follows from its
 position alone, so a retried task deals alike.
@@ -46,15 +50,20 @@ def block_sizes(rows: int, shards: int, rows_per_block: int) -> list[tuple[int,
     return out
 
 
-def draw_matrix(partition_rows: list[int], block_rows: list[int], seed: int = SEED) -> np.ndarray:
-    """Counts with the given row and column sums, as of a uniform permutation."""
+def matrix_row(partition_rows: np.ndarray, block_rows: np.ndarray, i: int, seed: int = SEED) -> np.ndarray:
+    """Row i of the matrix with the given row and column sums."""
+    before = np.append(0, np.cumsum(partition_rows))
     left = np.array(block_rows, dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    out = np.zeros((len(partition_rows), len(left)), dtype=np.int64)
-    for i, n in enumerate(partition_rows):
-        out[i] = _hypergeometric(rng, left, n)
-        left -= out[i]
-    return out
+    lo, hi, node = 0, len(partition_rows), 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, 0, node])
+        first = _hypergeometric(rng, left, int(before[mid] - before[lo]))
+        if i < mid:
+            left, hi, node = first, mid, 2 * node
+        else:
+            left, lo, node = left - first, mid, 2 * node + 1
+    return left
 
 
 def _hypergeometric(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
@@ -103,14 +112,14 @@ def shuffle_shards(
     total = sum(n for _, n in counts)
     fit = BYTES_PER_BLOCK * total // max(1, sum(r["bytes"] for r in found))
     blocks = block_sizes(total, shards, max(1, min(rows_per_block, fit)))
-    matrix = draw_matrix([n for _, n in counts], [m for _, _, m in blocks], seed)
+    sizes = np.array([m for _, _, m in blocks], dtype=np.int64)
     starts = [(s, at) for s, at, _ in blocks]
-    dealt = spark.sparkContext.broadcast((parts, matrix.astype(np.int64)))
+    dealt = spark.sparkContext.broadcast((parts, np.array([n for _, n in counts], dtype=np.int64)))  # a number a partition
 
     def deal(batches):
         """Labels of a row are a function of its fixed position only: however scans split or merge the
         files, a row gets the same block."""
-        where, counts = dealt.value
+        where, rows = dealt.value
         labels: dict[int, np.ndarray] = {}
         for b in batches:
             pos = b.column("_deal_pos").to_numpy()
@@ -120,7 +129,7 @@ def shuffle_shards(
                 if int(x) not in labels:
                     labels.clear()
                     i = where[int(x)]
-                    own = np.repeat(np.arange(counts.shape[1]), counts[i])
+                    own = np.repeat(np.arange(len(sizes)), matrix_row(rows, sizes, i, seed))
                     np.random.default_rng([seed, 1, i]).shuffle(own)
                     labels[int(x)] = own
                 m = p == x

@@ -2,8 +2,9 @@
 
 Each text gives base spans (assignments, access keys, long hexadecimal runs) and candidates: the values of
 base spans and other long tokens that look random.  A candidate's hash is counted over distinct
-repositories and owners of the whole corpus.  A value that one owner alone has, and that looks live, adds a
-span ``live``; a value that several owners have is a copied example and adds none.  Base spans always stay.
+repositories and owners of the whole corpus.  A value that several owners have, or very many repositories of
+one, is a copied example; what is in few repositories of one owner alone belongs to it.  A candidate that looks
+live adds a span ``live`` if it is its owner's, and ``copied`` if it is an example.  Base spans always stay.
 
 Counting goes by (hash, owner, repository), then (hash, owner), then hash, each with partial sums before
 its shuffle, so a value in a third of all rows costs one row per split.  Values leave a task only as hashes.
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import looked_up
 from .scratch import stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -32,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Texts without any of these have no span; it may pass more texts than have one.
 _MAY_HOLD = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{20}"""
-KINDS = ("assign", "access", "hex", "live")
+KINDS = ("assign", "access", "hex", "live", "copied")
 MIN_ENTROPY = 3.0
 _EXAMPLE = re.compile(r"example|sample|changeme|placeholder|xxxx|1234567|abcdef|dummy", re.I)
 
@@ -108,12 +110,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
-    repo: Column | None = None, copied_owners: int = 2,
+    repo: Column | None = None, copied_owners: int = 2, copied_repos: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, values).  documents: a row per input row with counts and all spans.  values: a row per
     candidate hash with owners, repos, uses and whether it is a copied example.
 
-    owner and repo default to the columns of these names; copied_owners owners make a value an example."""
+    owner and repo default to the columns of these names; so many owners, or so many repositories (of one owner
+    or several), make a value an example."""
     owner = F.col("owner") if owner is None else owner
     repo = F.col("repo") if repo is None else repo
     rows = docs.select(
@@ -122,27 +125,33 @@ def scan_secrets(
     )
     scanned = stored(rows.mapInArrow(_scan_batches, _SCANNED), "scanned")
     each = scanned.select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
-    values = stored(ownership(each).withColumn("copied", F.col("owners") >= copied_owners), "values")
-    own = values.where(~F.col("copied")).select("hash")
-    live = each.where("live").join(own, "hash").groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("live")
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
+    values = stored(ownership(each).withColumn("copied", copied), "values")
+    kind = F.when(F.col("copied"), 5).otherwise(4).alias("kind")
+    total = values.agg(F.sum("uses")).first()[0] or 0
+    judged = looked_up(each.where("live").select("row", "hash", "start", "end"), values.select("hash", "uses", "copied"), ["hash"], "uses", total).groupBy("row").agg(
+        F.collect_list(F.struct("start", kind, "end")).alias("extra")
     )
+    names = F.array(*map(F.lit, KINDS))
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),
         lambda s: F.struct(
             F.split(s, ":")[1].cast("int").alias("start"),
-            F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).cast("int").alias("kind"),
+            F.array_position(names, F.split(s, ":")[0]).cast("int").alias("kind"),
             F.split(s, ":")[2].cast("int").alias("end"),
         ),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    extra = F.transform(F.coalesce("live", none), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
+    extra = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     every = F.sort_array(F.concat(base, extra))
     spans = F.array_join(
-        F.transform(every, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
+        F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    out = scanned.drop("candidates").join(live, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(extra).cast("long").alias("n_live")
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter(extra, lambda s: s["kind"] == kind)).cast("long")
+
+    out = scanned.drop("candidates").join(judged, "row", "left").select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), of(4).alias("n_live"), of(5).alias("n_copied")
     )
     return out, values
 

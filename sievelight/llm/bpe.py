@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCoder, chunks, slices
+from .pretokens import PieceCoder, chunks, encoded, slices
 
 
 def _varint(n: int) -> bytes:
@@ -90,10 +90,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
-        for _, _, part in chunks(texts):
-            pieces, bounds = self.coder.pieces(part)
-            ids, n = self.coder.spread(pieces)
-            to = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
+        for ids, n in encoded(self.coder, texts):
+            to = np.append(0, np.cumsum(n)).tolist()
             out += [ids[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
         return out
 

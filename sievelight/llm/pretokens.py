@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 import regex
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
-_LONG = 256
+#: Code points of texts that are taken together.
+SLICE = 1 << 19
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -79,13 +80,30 @@ def split(codes: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _unlike(codes: np.ndarray, start: np.ndarray, stop: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Pieces that are not equal to their model (a piece's number each)."""
+    n = stop - start
+    odd = n != n[model]
+    same = np.flatnonzero(~odd & (model != np.arange(len(model))))
+    for i in range(0, len(same), 1 << 16):  # in parts, so that indices stay small
+        part = same[i : i + (1 << 16)]
+        size = n[part]
+        at = np.cumsum(size) - size
+        step = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(at, size).astype(np.int32)
+        unequal = codes[np.repeat(start[part], size) + step] != codes[np.repeat(start[model[part]], size) + step]
+        if unequal.any():
+            odd[part] |= np.add.reduceat(unequal, at) > 0
+    return np.flatnonzero(odd)
+
+
 class PieceCoder:
     """ids of texts, from ids of their pieces.  encode gets distinct pieces and returns a list of ids each.
 
-    Pieces are told apart by a 64-bit hash of random values for each code point, random for each process;
-    pieces over 256 code points are compared themselves.  At most ``held`` pieces are remembered."""
+    Equal pieces of a batch are found by a 64-bit hash of random values for each code point, random for each
+    process; then every piece is compared with the one that stands for its hash, code point by code point, and
+    what differs is looked up by itself.  The memory's keys are the pieces themselves; it holds at most ``held``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 250_000) -> None:
         self.encode, self.held = encode, held
         rng = np.random.default_rng()
         self.mix = rng.integers(0, 1 << 63, size=0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,23 +113,28 @@ class PieceCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict = {}
+        self.at: dict[str, int] = {}
         self.count = np.zeros(1024, dtype=np.int64)
         self.first = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(4096, dtype=np.int32)
         self.used = 0
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            with np.errstate(over="ignore"):
-                self.power = np.cumprod(np.full(n, self.base, dtype=np.uint64)) * self.inverse
-                self.back = np.cumprod(np.full(n, self.inverse, dtype=np.uint64)) * self.base
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse; those of a very long piece are not kept."""
+        if len(self.power) >= n:
+            return self.power, self.back
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(n, self.base, dtype=np.uint64)) * self.inverse
+            back = np.cumprod(np.full(n, self.inverse, dtype=np.uint64)) * self.base
+        if n <= 2 * SLICE:
+            self.power, self.back = power, back
+        return power, back
 
-    def _learn(self, keys: list, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         lists = self.encode(pieces)
         n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(n.sum()))
-        k, have = len(self.at), len(self.at) + len(keys)
+        k, have = len(self.at), len(self.at) + len(pieces)
         if have > len(self.count):
             grow = max(have, 2 * len(self.count))
             self.count, self.first = np.resize(self.count, grow), np.resize(self.first, grow)
@@ -121,7 +144,13 @@ class PieceCoder:
         self.count[k:have] = n
         self.first[k:have] = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        self.at.update(zip(keys, range(k, have), strict=True))
+        self.at.update(zip(pieces, range(k, have), strict=True))
+
+    def _numbers(self, pieces: list[str]) -> list[int]:
+        new = list(dict.fromkeys(p for p in pieces if p not in self.at))
+        if new:
+            self._learn(new)
+        return [self.at[p] for p in pieces]
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the piece in this coder's memory for every piece of the texts, and where each text's
@@ -138,31 +167,19 @@ class PieceCoder:
         bounds = np.append(np.searchsorted(start, begins), len(start))
         if not len(start):
             return np.zeros(0, dtype=np.int64), bounds
-        self._powers(len(codes) + 1)
+        power, back = self._powers(len(codes) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(codes) + 1, dtype=np.uint64)
-            np.cumsum(self.mix[codes] * self.power[: len(codes)], out=total[1:])
-            h = (total[stop] - total[start]) * self.back[start]
+            np.cumsum(self.mix[codes] * power[: len(codes)], out=total[1:])
+            h = (total[stop] - total[start]) * back[start]
+        del total
         which, seen = pd.factorize(h)
         where = np.full(len(seen), -1, dtype=np.int64)
         where[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the first piece of each hash
-        keys = seen.tolist()
-        known = [self.at.get(k, -1) for k in keys]
-        new = [i for i, k in enumerate(known) if k < 0]
-        long = np.flatnonzero(stop - start > _LONG)
-        if new:
-            a, b = start[where[new]].tolist(), stop[where[new]].tolist()
-            k = len(self.at)
-            self._learn([keys[i] for i in new], [joined[i:j] for i, j in zip(a, b, strict=True)])
-            for i in new:
-                known[i] = k
-                k += 1
-        out = np.array(known, dtype=np.int64)[which]
-        for i in long.tolist():
-            piece = joined[start[i] : stop[i]]
-            if piece not in self.at:
-                self._learn([piece], [piece])
-            out[i] = self.at[piece]
+        out = np.array(self._numbers([joined[i:j] for i, j in zip(start[where].tolist(), stop[where].tolist(), strict=True)]), dtype=np.int64)[which]
+        other = _unlike(codes, start, stop, where[which])
+        if len(other):
+            out[other] = self._numbers([joined[start[i] : stop[i]] for i in other.tolist()])
         return out, bounds
 
     def spread(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +204,7 @@ def slices(batches, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch
             yield b.slice(at)
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[int, int, list[str]]]:
+def chunks(texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[int, int, list[str]]]:
     """Consecutive texts of about so many code points together; a longer text is alone."""
     at, own, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -199,3 +216,32 @@ def chunks(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[int,
         size += len(t)
     if own:
         yield at, len(texts), own
+
+
+def cut(text: str, chars: int = SLICE) -> list[str]:
+    """The text in parts of about so many code points.  A part ends where white space follows another sign: there a
+    piece always ends, and what follows is split as if it stood alone.  A run without such a place stays whole."""
+    out, at = [], 0
+    while len(text) - at > chars:
+        m = _GAP.search(text, at + chars)
+        if not m:
+            break
+        out.append(text[at : m.start() + 1])
+        at = m.start() + 1
+    return [*out, text[at:]]
+
+
+_GAP = regex.compile(r"\S(?=\s)")
+
+
+def encoded(coder: PieceCoder, texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids of consecutive texts in turn and how many each has, some chars code points together."""
+    for _, _, part in chunks(texts, chars):
+        if len(part) == 1 and len(part[0]) > chars:
+            ids = [coder.spread(coder.pieces([p])[0])[0] for p in cut(part[0], chars)]
+            yield np.concatenate(ids), np.array([sum(map(len, ids))])
+            continue
+        pieces, bounds = coder.pieces(part)
+        ids, n = coder.spread(pieces)
+        to = np.concatenate([[0], np.cumsum(n)])[bounds]
+        yield ids, np.diff(to)

@@ -6,8 +6,11 @@ indexes and a Bloom filter on doc_id let a lookup of single documents skip strip
 readers of token counts never touch the ids.
 
 The text is range-partitioned by identifier once and encoded on the way to the file, so ids are never
-shuffled.  Empty table: empty result.  Null text counts as empty: the end id alone.  A null identifier
-comes first.  Rows with one identifier lie in one file, ordered by text.  Extra columns are ignored.
+shuffled.  Strings of special tokens inside a text are ordinary text (encode_special_tokens, as the instructions
+beside the vocabulary files set it), so a document cannot forge an end of text.
+
+Empty table: empty result.  Null text counts as empty: the end id alone.  A null identifier comes first.  Rows with
+one identifier lie in one file, ordered by text.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCoder, chunks, slices
+from .pretokens import PieceCoder, encoded, slices
 from .scratch import new_path
 
 END_ID = 2
@@ -42,15 +45,10 @@ def coder(path: str) -> PieceCoder:
 
 def encode_texts(path: str, texts: list[str | None], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts in turn, the end id after each; and the number of ids of each."""
-    own, flat, counts = coder(path), [], []
-    for _, _, part in chunks(texts):
-        pieces, bounds = own.pieces(part)
-        ids, n = own.spread(pieces)
-        to = np.concatenate([[0], np.cumsum(n)])[bounds]
-        flat.append(np.insert(ids, to[1:], end_id))
-        counts.append(np.diff(to) + 1)
-    if not flat:
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    flat, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    for ids, n in encoded(coder(path), texts):
+        flat.append(np.insert(ids, np.cumsum(n), end_id))
+        counts.append(n + 1)
     return np.concatenate(flat), np.concatenate(counts)
 
 
@@ -85,6 +83,7 @@ def write_ids(
         rows.mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, part int, at long")
         .write.option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", row_group)
+        .option("orc.rows.between.memory.checks", row_group)  # so often a stripe's size is looked at
         .option("orc.bloom.filter.columns", "doc_id")
         .option("compression", "zstd")
         .orc(path)
@@ -94,7 +93,7 @@ def write_ids(
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids, n_tokens and start: the ids of all documents before it."""
     rows = spark.read.orc(path)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file: as many as the write had partitions
     before = parts.select("part", F.expr("sum(n) OVER (ORDER BY part) - n").alias("before"))
     return rows.join(F.broadcast(before), "part").select("doc_id", "ids", "n_tokens", (F.col("before") + F.col("at")).alias("start"))
 

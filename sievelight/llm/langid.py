@@ -4,15 +4,16 @@
   blanks), hashed into DIM places; a feature's value is its relative frequency times its IDF.
 * Document frequencies cover every training document, summed on the executors.
 * Weights come from follow-the-regularised-leader (proximal, per coordinate) with L1 and L2 penalties on a
-  sample of at most about PER_LANGUAGE documents a language (the bound of the fit), chosen by a hash of the
-  identifier; whole texts.  The L1 penalty leaves many weights zero.
+  sample chosen by a hash of the identifier; whole texts.  The L1 penalty leaves many weights zero.
+* Bounds of the fit: the LANGUAGES most frequent labels, about PER_LANGUAGE documents of each and SAMPLE in all.
 * Temperature: on the part of the sample kept from the fit, the temperature that gives the smallest
   negative log-likelihood.
 * Prediction is a segment sum of weight rows over all n-grams of a text, in slices of bounded size.
 
 Empty table, or no labelled training document: every prediction is ``und`` with score 0.  Null text, or text
 without a letter: ``und`` with score 0.  A null identifier counts as the text '' for the split.  Repeated rows
-are predicted one by one.  Ties go to the language first in alphabetical order.  Extra columns are ignored.
+are predicted one by one.  Ties go to the language first in alphabetical order.  Columns of any name pass through
+predict(), but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .frames import apart, together
 from .pretokens import chunks, slices
 
 DIM = 1 << 15
+LANGUAGES = 256
 PER_LANGUAGE = 1200
+SAMPLE = 20_000
 _U = np.uint64
 _tables: dict[str, np.ndarray] = {}
 
@@ -198,12 +203,14 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def fit(docs: DataFrame, text: Column, lang: Column, key: Column, per_language: int = PER_LANGUAGE) -> Model:
     """docs: training documents.  key: a column whose hash chooses the sample and its calibration part."""
     known = docs.where(lang.isNotNull()).select(F.coalesce(text, F.lit("")).alias("text"), lang.cast("string").alias("lang"), F.xxhash64(key).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), 1.0)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    chosen = known.where((F.pmod("h", F.lit(1_000_000)) / 1_000_000) < share[F.col("lang")])
+    most = min(per_language, SAMPLE / len(languages))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])
+    chosen = known.where((F.pmod("h", F.lit(1_000_000)) / 1_000_000) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def vectors(batches):
         for b in batches:
@@ -235,21 +242,23 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column, per_language:
 _SCALE = 30.0
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (which replace columns of these names)."""
-    docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages
-    where = docs.columns.index(text_col)
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """row and text (frames.apart), lang_pred and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x LANGUAGES at most
 
     def run(batches):
-        for b in slices(batches, where):
-            labels, score = shared.value.predict(b.column(where).to_pylist())
+        for b in slices(batches, 1):
+            labels, score = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
+    rows = apart(docs, text_col)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score (which replace columns of these names)."""
+    docs = docs.drop("lang_pred", "score")
+    return scored(docs, model, text_col).select(*together(docs.columns, text_col), "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

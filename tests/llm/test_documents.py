@@ -11,7 +11,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, exact_dedup, langid, lines, secrets, sharding, simhash, token_output
+from sievelight.llm import bpe, decontaminate, exact_dedup, langid, lines, pretokens, secrets, sharding, simhash, token_output
 
 tokens = pytest.importorskip("public_tokenizers")
 
@@ -42,6 +42,38 @@ def test_exact_dedup(docs, rows, digest_bytes):
     assert collected(exact_dedup.dedup(docs, digest_bytes=digest_bytes)) == exact_expected(rows)
 
 
+def test_exact_dedup_levels(spark, docs, rows):
+    """Runs are sorted; filters let through what merges; level 2 is the whole index, however runs are cut."""
+    want = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, _ in rows)
+    for parts in (1, 3, 11):
+        runs = exact_dedup.flush(docs.repartition(parts), "doc_id", "text", 32)
+        for part in runs.select("digest").rdd.glom().collect():
+            assert [bytes(x[0]) for x in part] == sorted(bytes(x[0]) for x in part) or parts > 1
+        first = exact_dedup.merged(runs)
+        assert first.groupBy("run", "digest").count().where("count > 1").isEmpty()
+        second = {bytes(r["digest"]): r["n"] for r in exact_dedup.compacted(first).collect()}
+        assert second == {hashlib.sha256(t.encode()).digest(): n for t, n in want.items()}
+        one = next(iter(second))
+        assert exact_dedup.found(runs, [one]).count() == second[one]
+
+
+def test_exact_dedup_probes_filters(spark):
+    """The lookup's predicate reaches the runs: a digest that no run has is looked up without reading a row, though
+    it lies between a run's least and largest."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    runs = exact_dedup.flush(docs.repartition(2), "doc_id", "text", 32)
+
+    def looked_up(text):
+        frame = exact_dedup.found(runs, [hashlib.sha256(text).digest()])
+        got = [r["id"] for r in frame.collect()]
+        leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return got, leaf.metrics().apply("numOutputRows").value()
+
+    assert looked_up(b"no such text") == ([], 0)
+    got, read = looked_up(b"text 77")
+    assert got == [77] and 0 < read <= 12_000
+
+
 def test_exact_dedup_empty(none):
     assert exact_dedup.dedup(none).count() == 0
 
@@ -67,6 +99,72 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert [tuple(r) for r in token_output.lookup(spark, path, [29]).collect()] == [(29, own.encode("short").ids + [2])]
 
 
+def test_token_query_like_library(spark, tmp_path):
+    """The query against the library, text by text: special tokens' strings, odd signs, nulls, a null identifier."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    parts = ["<|endoftext|>", "<|", "endoftext|>", " ", "\n", "'s", "a", "É", "中", "😀", "9", "ing", "\x00", "\xa0", "the "]
+    data = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for k in range(300)] + [(300, None), (301, "a <|endoftext|> b"), (302, "<|endoftext|>")]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    want, start = [], 0
+    for k, t in data:
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_output.op2_orc_token_ids(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert collected(got) == sorted(want, key=repr)
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    """Files have stripes, row groups and Bloom filters; a lookup reads a row group at most, or nothing."""
+    from pyarrow import orc
+
+    path = str(tmp_path / "ids")
+    docs = spark.range(0, 24_000, 2).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    token_output.write_ids(docs, path, tokens.path("byte_bpe_50k.json"), stripe_bytes=64 << 10, row_group=1000)
+    files = [f.split("file:")[-1] for f in spark.read.orc(path).inputFiles()]
+    assert max(orc.ORCFile(f).nstripes for f in files) > 1
+
+    def read(doc_id):
+        frame = token_output.lookup(spark, path, [doc_id])
+        n = len(frame.collect())
+        return n, frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    n, rows = read(5000)
+    assert n == 1 and rows <= 1000
+    assert sum(read(i)[1] for i in range(5001, 5021, 2)) <= 2000  # ten absent ones between others: filters let few through
+
+
+def test_long_texts(spark):
+    """Texts over a slice are cut where pieces end; runs without such a place stay whole."""
+    import tiktoken
+
+    name = tokens.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.Codec(name)
+    other = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(9)
+    parts = ["word", " ", "  ", "\n", "'s", "'", "é", "12", "!", "\t ", "\xa0"]
+    for text in ("".join(r.choice(parts) for _ in range(3000)), "ab " * 400, "x" * 900, " " * 900, "x" * 300 + " " * 300 + "y" * 300):
+        assert "".join(pretokens.cut(text, 64)) == text
+        ids = [x for part, _ in pretokens.encoded(own.coder, [text], 64) for x in part.tolist()]
+        assert ids == other.encode_ordinary(text)
+    assert max(map(len, pretokens.cut("ab " * 400, 64))) <= 67
+
+
+def test_pieces_are_compared(monkeypatch):
+    """Pieces whose hashes are equal though they differ get their own ids."""
+    own = bpe.Codec(tokens.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [prose(3, 200), "other words entirely 12 !!", prose(4, 50)]
+    want = [x.tolist() for x in own.encode(texts)]
+    for mix in (np.uint64(0), np.uint64(1)):
+        weak = bpe.Codec(tokens.path("byte_bpe_multi_50k.tiktoken"))
+        weak.coder.mix = np.full(0x110000, mix, dtype=np.uint64)  # all pieces (of a length) collide
+        assert [x.tolist() for x in weak.encode(texts)] == want
+
+
 def test_token_checksums(docs, rows, spark, tmp_path):
     path = str(tmp_path / "ids")
     token_output.write_ids(docs, path, tokens.path("byte_bpe_50k.json"))
@@ -99,8 +197,16 @@ def test_bpe_like_tiktoken():
 
 
 def test_bpe_frames(docs, rows):
+    import tiktoken
+
     name = tokens.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.round_trip(docs, name)
+    other = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=bpe.read_ranks(name), special_tokens={})
+    want = []
+    for i, t, _ in rows:
+        ids = other.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert collected(out) == sorted(want, key=repr)
     assert Counter(r["decoded_sha256"] for r in out.collect()) == Counter(hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in rows)
     back = bpe.decode(bpe.encode(docs, name), name)
     assert Counter(bytes(r["decoded"]) for r in back.collect()) == Counter((t or "").encode() for _, t, _ in rows)
@@ -135,18 +241,56 @@ def test_secrets_base(docs, rows):
     assert collected(got) == sorted(want, key=repr)
     for r in out.collect():
         spans = r["spans"].split(",") if r["spans"] else []
-        assert sum(not s.startswith("live") for s in spans) == r["n_assign"] + r["n_access"] + r["n_hex"]
+        assert sum(not s.startswith(("live", "copied")) for s in spans) == r["n_assign"] + r["n_access"] + r["n_hex"]
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
 def test_secrets_ownership(spark):
-    shared, own = "q8Zr1mPw7Lx2Vb6Nk4Ty", "c9Dt5hJs3Gf0Yw8Kb2Xe"
-    data = [(i, f"token = {shared}", f"o{i}") for i in range(4)] + [(9, f"key {own} and {own}", "o1"), (10, f"see {own}", "o1")]
-    out, values = secrets.scan_secrets(spark.createDataFrame(data, "doc_id long, text string, owner string"), repo=F.lit("r"))
+    shared, own, vendored = "q8Zr1mPw7Lx2Vb6Nk4Ty", "c9Dt5hJs3Gf0Yw8Kb2Xe", "m3Kq9vRb1Zt7Xc5Pd8Wh"
+    data = [(i, f"token = {shared}", f"o{i}", "r") for i in range(4)] + [(9, f"key {own} and {own}", "o1", "r"), (10, f"see {own}", "o1", "r")]
+    data += [(20 + i, f"see {vendored}", "o1", f"r{i}") for i in range(3)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, owner string, repo string")
+    out, values = secrets.scan_secrets(frame, copied_repos=3)
     got = {r["doc_id"]: r["spans"] for r in out.collect()}
-    assert got[0] == "assign:0:28"
+    assert got[0] == "assign:0:28,copied:8:28"
     assert got[9] == "live:4:24,live:29:49" and got[10] == "live:4:24"
-    assert sorted((r["owners"], r["uses"], r["copied"]) for r in values.collect()) == [(1, 3, False), (4, 4, True)]
+    assert got[20] == "copied:4:24"  # one owner, but in many of its repositories
+    assert {r["spans"] for r in secrets.scan_secrets(frame, copied_repos=4)[0].where("doc_id >= 20").collect()} == {"live:4:24"}
+    assert sorted((r["owners"], r["repos"], r["uses"], r["copied"]) for r in values.collect()) == [(1, 1, 3, False), (1, 3, 3, True), (4, 4, 4, True)]
+
+
+def test_secrets_against_brute_force(spark):
+    """All spans of random texts, with null owners and repositories: each value judged by counting its places."""
+    r = random.Random(8)
+    values = ["".join(r.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(r.randint(18, 40))) for _ in range(25)]
+    values += ["AKIA" + "".join(r.choice("ABCDEFGHJK23456789") for _ in range(16)) for _ in range(4)] + ["0123456789abcdef" * 2, "EXAMPLEexample123456789"]
+    data = []
+    for i in range(140):
+        v = [r.choice(values) for _ in range(r.randint(0, 3))]
+        text = " ".join(r.choice(("{}", "token = {}", "password:'{}'", "see {},")).format(x) for x in v)
+        data.append((i if i % 9 else None, text if i % 13 else None, r.choice(["a", "a", "a", None, f"o{i}"]), r.choice(["r1", "r2", None, f"q{i}"])))
+    places = defaultdict(lambda: (set(), set()))
+    rows = []
+    for i, t, owner, repo in data:
+        t = t or ""
+        spans = [(a, k, b) for a, k, b in base_spans(t)]
+        found = {(m.start(2), m.end(2)) for m in secrets.ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 6} | {(a, b) for a, k, b in spans if k}
+        found |= {m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
+        for a, b in found:
+            places[t[a:b]][0].add(owner)
+            places[t[a:b]][1].add((owner, repo))
+        rows.append((i, t, spans, found))
+    want = []
+    for i, t, spans, found in rows:
+        for a, b in found:
+            if secrets.looks_live(t[a:b]):
+                owners, repos = places[t[a:b]]
+                spans.append((a, 4 if len(owners) >= 2 or len(repos) >= 5 else 3, b))
+        want.append((i, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))))
+    out, _ = secrets.scan_secrets(spark.createDataFrame(data, "doc_id long, text string, owner string, repo string").repartition(5), copied_repos=5)
+    assert collected(out.select("doc_id", "spans")) == sorted(want, key=repr)
+    kinds = Counter(x.split(":")[0] for _, s in want for x in s.split(",") if x)
+    assert kinds["live"] > 5 and kinds["copied"] > 20
 
 
 def test_secrets_empty(none):
@@ -189,14 +333,41 @@ def test_shards_empty(none):
 
 
 def test_matrix_law():
-    """Sums are exact; a cell's mean is that of a uniform permutation."""
-    parts, blocks = [30, 50, 20], [25, 25, 40, 10]
-    total = np.zeros((3, 4))
-    for s in range(400):
-        m = sharding.draw_matrix(parts, blocks, s)
-        assert m.sum(1).tolist() == parts and m.sum(0).tolist() == blocks
-        total += m
-    assert np.allclose(total / 400, np.outer(parts, blocks) / 100, rtol=0.1)
+    """Sums are exact; a cell's mean and variance are those of a uniform permutation (brute force)."""
+    parts, blocks = [30, 50, 20, 7], [25, 25, 40, 17]
+    n, runs = sum(parts), 1500
+    owner, place = np.repeat(np.arange(4), parts), np.repeat(np.arange(4), blocks)
+    r = np.random.default_rng(0)
+    drawn, brute = [], []
+    for s in range(runs):
+        m = np.stack([sharding.matrix_row(np.array(parts), np.array(blocks), i, s) for i in range(4)])
+        assert (m >= 0).all() and m.sum(1).tolist() == parts and m.sum(0).tolist() == blocks
+        drawn.append(m)
+        brute.append(np.bincount(owner * 4 + place[r.permutation(n)], minlength=16).reshape(4, 4))
+    drawn, brute = np.array(drawn), np.array(brute)
+    assert np.allclose(drawn.mean(0), np.outer(parts, blocks) / n, rtol=0.06, atol=0.12)
+    assert np.allclose(drawn.mean(0), brute.mean(0), rtol=0.08, atol=0.2) and np.allclose(drawn.var(0), brute.var(0), rtol=0.3)
+
+
+def test_order_is_uniform(spark):
+    """Every row is about equally likely in every shard, and in every part of one, wherever it was."""
+    hits = np.zeros((4, 4))
+    for seed in range(12):
+        out = sharding.shuffle_shards(spark.range(160).repartition(4, "id"), shards=2, rows_per_block=30, seed=seed).collect()
+        at = np.array([(r["id"] // 40, r["shard"] * 2 + (r["slot"] >= 40)) for r in out])
+        assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(2) for k in range(80)]
+        np.add.at(hits, (at[:, 0], at[:, 1]), 1)
+    assert np.abs(hits / 12 - 10).max() < 2.5
+
+
+def test_write_shards(spark, docs, rows, tmp_path):
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs.drop("shard"), path, shards=3)
+    back = spark.read.parquet(path)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t) for i, t, _ in rows)
+    for part in sorted({f.split("file:")[-1] for f in back.inputFiles()}):
+        slots = [r["slot"] for r in spark.read.parquet(part).collect()]
+        assert slots == sorted(slots)
 
 
 def test_large_draws():
@@ -217,29 +388,47 @@ def lines_expected(rows):
         k = s.strip(" \t\n\x0b\x0c\r")
         return re.sub("[A-Z]", lambda m: m[0].lower(), k) if len(k) >= 10 else None
 
+    def rank(i):
+        return i is None, i or 0
+
     for i, ls in split:
         for s in ls:
             if key(s):
-                i2 = lines._NO_ID if i is None else i
-                many[key(s)].add(i2)
-                first[key(s)] = min(first.get(key(s), i2), i2)
+                many[key(s)].add(i)
+                first[key(s)] = min(first.get(key(s), rank(i)), rank(i))
     out = []
     for i, ls in split:
-        i2 = lines._NO_ID if i is None else i
-        keep = [s for s in ls if not (key(s) and len(many[key(s)]) > 1 and first[key(s)] != i2)]
+        keep = [s for s in ls if not (key(s) and len(many[key(s)]) > 1 and first[key(s)] != rank(i))]
         out.append((i, len(ls), len(ls) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-def test_lines(docs, rows, monkeypatch):
-    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 5)
-    monkeypatch.setattr(lines, "PROBES_PER_TASK", 3)
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_lines(spark, docs, rows, monkeypatch, hot):
+    """In many shards, with and without a shard of hot keys; the largest identifier is not that of null ones."""
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 3)
+    monkeypatch.setattr(lines, "HOT", hot)
+    more = [(None, "a line of rows without identifier", "en"), (None, "a line of rows without identifier\nx", "en"), ((1 << 63) - 1, "A line of rows without identifier", "en")]
+    more += [(100 + k, f"the hot line of many documents\nown {k}", "en") for k in range(30)]
+    rows = rows + more
+    docs = docs.unionByName(spark.createDataFrame([(i, t, c, "s", 1, "x", 1, "y") for i, t, c in more], docs.schema))
     out = lines.drop_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
     got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
     assert collected(got) == lines_expected(rows)
 
 
+def test_lines_keep_columns(docs):
+    """Columns whose names the operator uses itself come back as they were."""
+    names = ["_id", "_row", "_lost", "row", "rk", "lost", "shard", "tk", "id", "n_lines", "n_dropped", "_possible", "line"]
+    wide = docs.select("doc_id", "text", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    out = lines.drop_lines(wide, counts=False)
+    assert out.columns == wide.columns
+    assert all(r[n] == f"{n}{'-' if r['doc_id'] is None else r['doc_id']}" for r in out.collect() for n in names)
+    assert collected(out.select("doc_id", "text")) == collected(lines.drop_lines(docs).select("doc_id", "text"))
+    assert lines.drop_lines(docs.select("doc_id", "text"), "doc_id").columns == ["doc_id", "text", "n_lines", "n_dropped"]
+
+
 def test_lines_empty(none):
     assert lines.drop_lines(none).count() == 0
 
@@ -249,6 +438,10 @@ def test_perfect_hash():
     levels = lines.build_mph(h)
     assert sorted(lines.number(levels, h).tolist()) == list(range(5000))
     assert lines.number(levels, np.zeros(0, np.uint64)).tolist() == []
+    hi, lo = np.array([5, 9, 5, 7]), np.array([1, 2, 3, 4])  # two keys share a half of their hash
+    own = lines._Several([lines.Shard(a) for a in lines.packed(hi, lo, np.array([2, 1, 3, 2]), np.array([10, 11, 12, 13]))])
+    here, gone = own.probe(np.array([5, 5, 5, 9, 7]), np.array([1, 3, 4, 2, 4]), np.array([10, 10, 0, 0, 13]), np.array([True, True, True, True, False]))
+    assert here.tolist() == [True, True, False, True, True] and gone.tolist() == [False, True, False, False, True]
 
 
 # ---- language ------------------------------------------------------------------------------------------
@@ -273,6 +466,101 @@ def test_language(spark):
     assert (model.table != 0).mean() < 0.9
 
 
+def test_language_features():
+    """Hashed n-grams against single characters, one by one."""
+    def slow(text):
+        c = [32] + [ord(x) if x.isalpha() else 32 for x in text.lower()]
+        m32 = (1 << 32) - 1
+
+        def place(x):
+            x ^= x >> 15
+            x = x * 0x2C1B3C6D & m32
+            return (x ^ x >> 13) & langid.DIM - 1
+
+        out = []
+        for k in range(len(c)):
+            one = c[k] * 0x9E3779B1 & m32
+            two = (one + c[k - 1] * 0x85EBCA77 & m32) ^ 0x2545F491 if k else one
+            three = (one + c[k - 1] * 0xC2B2AE3D + c[k - 2] * 0x27D4EB2F & m32) ^ 0x165667B1 if k > 1 else two
+            out.append((place(one), place(two), place(three)))
+        return out
+
+    texts = ["Hello, wörld 12", "x", "", "ΑΒΓ straße"]
+    got, at = langid.features(texts)
+    ends = [*at[1:].tolist(), got.shape[1]]
+    for t, i, j in zip(texts, at.tolist(), ends, strict=True):
+        assert [tuple(x) for x in got[:, i:j].T.tolist()] == slow(t)
+    places, tf = langid.vector("Hello, wörld 12")
+    count = Counter(x for g in slow("Hello, wörld 12") for x in g)
+    assert dict(zip(places.tolist(), tf.tolist(), strict=True)) == pytest.approx({k: v / 48 for k, v in count.items()})
+
+
+def test_leader_against_scalars():
+    """Follow the regularised leader, one coordinate at a time; the L1 penalty leaves weights at zero."""
+    r = np.random.default_rng(2)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(30)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    w, bias = langid.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=5)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, k):
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * l1) / ((beta + n[i, k] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for t in order.permutation(len(rows)):
+            at, x, y = rows[t]
+            at, x = [*at.tolist(), langid.DIM], [*x.tolist(), 1.0]
+            own = [[weight(i, k) for k in range(3)] for i in at]
+            s = [sum(v * o[k] for v, o in zip(x, own, strict=True)) for k in range(3)]
+            e = [np.exp(v - max(s)) for v in s]
+            for i, v, o in zip(at, x, own, strict=True):
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    z[i, k] += g - ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / alpha * o[k]
+                    n[i, k] += g * g
+    assert np.allclose(w[:12], [[weight(i, k) for k in range(3)] for i in range(12)]) and np.allclose(bias, [weight(langid.DIM, k) for k in range(3)])
+    assert 0 < (w[:12] == 0).sum() < 36
+
+
+def test_temperature_against_grid():
+    r = np.random.default_rng(1)
+    y = r.integers(0, 3, 400)
+    scores = r.normal(size=(400, 3))
+    scores[np.arange(400), y] += 1.0
+    scores *= 6  # far too sure
+
+    def loss(t):
+        s = scores / t
+        return float(np.mean(np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(400), y]))
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4000))
+    assert langid.temperature(scores, y) == pytest.approx(min(grid, key=loss), rel=0.01)
+    assert langid.temperature(np.zeros((0, 3)), np.zeros(0, np.int64)) == 1.0
+
+
+def test_language_bounds(spark, monkeypatch):
+    """Labels beyond the bound are not learned, the most frequent ones are; the sample follows its bound."""
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    taught = []
+    monkeypatch.setattr(langid, "ftrl", lambda rows, classes, f=langid.ftrl: taught.append(len(rows)) or f(rows, classes))
+    data = [(i, {0: "aaa bbb", 1: "ccc ddd"}.get(i % 3, "eee"), {0: "x", 1: "y"}.get(i % 3, f"rare{i}")) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert model.languages == ["x", "y"] and 5 < taught[0] < 60
+
+
+def test_language_keeps_columns(docs):
+    model = langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    wide = docs.select("doc_id", "text", F.col("lang").alias("row"), F.lit("mine").alias("score"), F.lit("mine").alias("lang_pred"))
+    out = langid.scored(wide, model)
+    assert {r["score"] for r in out.select("row.score").collect()} == {"mine"}
+    assert langid.predict(wide, model).columns == ["doc_id", "text", "row", "lang_pred", "score"]
+
+
 def test_language_without_training(none, docs):
     model = langid.fit(none, F.col("text"), F.col("lang"), F.col("doc_id"))
     assert {tuple(r) for r in langid.predict(docs, model).select("lang_pred", "score").collect()} == {("und", 0.0)}
@@ -321,13 +609,22 @@ def grouped(ids, prints, radius):
 
 def test_near_duplicates(docs, rows):
     prints = [fingerprint(t) for _, t, _ in rows]
-    # a class without an identifier has no links of its own; here the null row is far from all others
     want = sorted(((i, f"{p:016x}", c) for (i, _, _), p, c in zip(rows, prints, grouped([i for i, _, _ in rows], prints, 4), strict=True)), key=repr)
     assert collected(simhash.near_duplicates(docs)) == want
 
 
-def test_links_chain_and_hot_bucket(spark):
+def test_rows_without_identifier_link_others(spark):
+    """A null identifier is a bridge like any other row; alone it has no component."""
+    prints = [0b1111, 0b1, 1 ^ 0b11110000, (1 << 63) - 1]
+    signed = spark.createDataFrame(list(zip([1, None, 7, None], prints, strict=True)), "id long, fp long")
+    got = {(r["id"], r["fp"]): r["component_id"] for r in simhash.grouped(signed, 4).collect()}
+    assert list(got.values()).count(1) == 3 and got[None, prints[3]] is None
+
+
+@pytest.mark.parametrize("bucket", [1024, 64])
+def test_links_chain_and_hot_bucket(spark, monkeypatch, bucket):
     """Chains that need several rounds, and buckets far over the chunk size."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     r = random.Random(2)
     chain, x = [], r.getrandbits(64)
     for _ in range(40):
@@ -339,7 +636,7 @@ def test_links_chain_and_hot_bucket(spark):
         hot.append(base ^ sum(1 << b for b in r.sample(range(24), 3)))
     prints = [*chain, *hot, *(r.getrandbits(64) for _ in range(200))]
     signed = [(k, int(np.uint64(p).astype(np.int64))) for k, p in enumerate(prints)]
-    out = simhash.grouped(spark.createDataFrame(signed, "id long, fp long"), ["fp"], 4)
+    out = simhash.grouped(spark.createDataFrame(signed, "id long, fp long"), 4)
     assert [r["component_id"] for r in out.orderBy("id").collect()] == grouped(list(range(len(prints))), prints, 4)
 
 
@@ -351,7 +648,65 @@ def test_near_duplicates_empty(none):
 def test_one_of_each(docs, rows):
     kept = Counter(r["doc_id"] for r in simhash.one_of_each(docs).collect())
     assert 23 not in kept and 24 not in kept and 25 not in kept  # copies of 3, a near copy of 5
-    assert all(i in kept for i in range(20)) and 34 in kept and None in kept
+    assert None not in kept  # a near copy of 7: a null identifier comes last
+    assert all(i in kept for i in range(20)) and 34 in kept
+
+
+def test_one_of_each_keeps_columns(spark, docs, rows):
+    """Columns whose names the operator uses itself come back as they were; rows that repeat one stay together."""
+    names = ["tk", "s", "_tk", "_id", "id", "rk", "row", "n", "k", "label", "component", "_possible", "n_lines"]
+    wide = docs.select("doc_id", "text", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    out = simhash.one_of_each(wide)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert Counter(r["doc_id"] for r in got)[28] == 2
+    alone = spark.createDataFrame([(None, "some words that nobody else has here"), (None, "some words that nobody else has here")], "doc_id long, text string")
+    assert simhash.one_of_each(alone).count() == 2
+
+
+def test_one_of_each_in_chunks(spark, monkeypatch):
+    """A group of near copies of which few pairs are alike, over many chunks: links against brute force."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "BUCKET", 32)
+    r = random.Random(11)
+    base = prose(70, 90).split()
+    texts = [" ".join(base)]
+    for k in range(220):
+        own = list(texts[r.randrange(len(texts))].split()) if k % 3 else list(base)
+        for at in r.sample(range(len(own)), 1 + k % 3):
+            own[at] = f"w{k}x{at}"
+        texts.append(" ".join(own))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if five_word_jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    out = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {k for k in range(len(texts)) if root(k) == k}
+    assert 10 < len(want) < 200 and {x["doc_id"] for x in out.collect()} == want
+
+
+def test_table_plan():
+    """The keys' length follows the rows, and the chance to miss a pair at the limit does not."""
+    assert simhash.table_plan(1) == simhash.table_plan(10_000_000) == (16, 79)
+    for n in (10**8, 10**9, 10**11):
+        bits, tables = simhash.table_plan(n)
+        assert simhash.ROWS_PER_KEY << bits >= n and (1 - simhash.SAME_BIT**bits) ** tables <= 0.003
+    assert [simhash.block_plan(n, 4) for n in (1, 10**9, 10**11)] == [(6, 2), (6, 2), (7, 3)]
+    prints = np.random.default_rng(3).integers(0, 1 << 63, (5, 2), dtype=np.uint64)
+    for bits, tables in ((16, 8), (20, 6), (40, 3)):
+        whole = [int(a) | int(b) << 64 for a, b in prints]
+        want = [[(x >> bits * t) & (1 << bits) - 1 | t << bits for t in range(tables)] for x in whole]
+        assert simhash._table_keys(prints, bits, tables).tolist() == want
 
 
 def five_word_jaccard(a, b):
@@ -441,10 +796,44 @@ def test_contained_empty(spark, none, docs, rows):
     assert decontaminate.contained(none, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
-def test_miss_bound():
-    """e grows as items shrink, and keeps the chance to miss an item under its bound."""
-    import math
-
-    for q in (1, 2, 5, 10, 40, 500):
-        x = 2.0 ** -decontaminate.extra_bits(q)
-        assert (1 + math.expm1(-x) / x) ** -(-4 * q // 5) <= decontaminate.MISS * 1.01 or decontaminate.extra_bits(q) == 60
+def test_sketch_misses_nothing(spark):
+    """Any document that has four fifths of an item's shingles shares one with its sketch; of items with a
+    common beginning the sketches hold what tells them apart."""
+    r = random.Random(4)
+    common = prose(900, 12)
+    items = [(k, f"{common} {prose(901 + k, n)}" if n else common) for k, n in enumerate((0, 1, 2, 5, 9, 17, 33, 60, 60))] + [(50, f"{common} {prose(907, 33)}")]
+    sets, owners = decontaminate.item_sets(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    own = {x["set"]: x["s"] for x in sets.collect()}
+    assert len(own) == 9 and owners.count() == 10
+    by = defaultdict(set)
+    for x in decontaminate.sketches(sets).select("set", "hash").collect():
+        by[x["set"]].add(x["hash"])
+    hashed = {x["v"]: x["h"] for x in spark.createDataFrame([(v,) for s in own.values() for v in s], "v string").select("v", F.xxhash64("v").alias("h")).collect()}
+    shared = [h for v, h in hashed.items() if sum(v in s for s in own.values()) > 4]
+    for k, s in own.items():
+        need = -(-4 * len(s) // 5)
+        for _ in range(50):
+            assert by[k] & {hashed[v] for v in r.sample(s, need)}
+        if len(s) > 20:
+            assert not by[k] & set(shared)
+
+
+def test_contained_keeps_columns(spark, docs):
+    """Columns whose names the operators use themselves come back as they were."""
+    names = ["tk", "s", "_tk", "set", "row", "body", "bk", "n", "held", "h", "own", "size", "hash"]
+    wide = docs.select("doc_id", "text", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    one = next(r["text"] for r in docs.where("doc_id = 8").collect()).split()
+    bench = spark.createDataFrame([(1, " ".join(one[5:30]))], "item_id long, text string")
+    found, clean = decontaminate.contained(wide, bench), decontaminate.clean_documents(wide, bench)
+    assert found.columns == [*wide.columns, "item_id", "shared", "n_shingles"] and clean.columns == wide.columns
+    rows = found.collect() + clean.collect()
+    assert len(rows) == docs.count() and found.count() == 1
+    assert all(x[n] == f"{n}{'-' if x['doc_id'] is None else x['doc_id']}" for x in rows for n in names)
+
+
+def test_contained_by_shuffle(spark, docs, monkeypatch):
+    one = next(r["text"] for r in docs.where("doc_id = 8").collect()).split()
+    bench = spark.createDataFrame([(k, " ".join(one[k : k + 25])) for k in range(9)], "item_id long, text string")
+    want = collected(decontaminate.contained(docs.select("doc_id", "text"), bench))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert collected(decontaminate.contained(docs.select("doc_id", "text"), bench)) == want and len(want) == 9

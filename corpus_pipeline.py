@@ -13,23 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import bpe, decontaminate, langid, lines, simhash
-from sievelight.llm.scratch import stored
+from sievelight.llm.frames import together
+from sievelight.llm.scratch import inside, stored
 
-#: Four languages share the score evenly at 0.25; a text below this has no language the model knows.
-MIN_SCORE = 0.3
+#: The best language's score must reach MOST, or, with more languages, LIFT times the 1/n that each of n languages
+#: gets from a model that knows nothing of the text.  With two or three languages no score is so low: a choice
+#: between so few says little about others, and clean documents stay.
+MOST, LIFT = 0.3, 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; the others have no letter or fit no language."""
     learn = docs.where(~langid.held_out(F.col("doc_id")))
     model = langid.fit(learn, F.col("text"), F.col("lang"), F.col("doc_id"))
-    known = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return known.select(*docs.columns)
+    least = min(MOST, LIFT / max(1, len(model.languages)))
+    known = langid.scored(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return known.select(*together(docs.columns, "text"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has; n_chars follows the text."""
-    kept = lines.drop_lines(docs)
+    kept = lines.drop_lines(docs, counts=False)
     return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
@@ -65,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with inside(spark) as kept:  # a stage's own tables go once its result is written
+            docs = stored(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

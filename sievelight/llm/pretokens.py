@@ -15,6 +15,7 @@ Piece starts follow from the class of a code point and its neighbours, so whole
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ import regex
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: Code points of texts that are taken together.
-SLICE = 1 << 19
+SLICE = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -80,30 +81,33 @@ def split(codes: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _unlike(codes: np.ndarray, start: np.ndarray, stop: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Pieces that are not equal to their model (a piece's number each)."""
-    n = stop - start
-    odd = n != n[model]
-    same = np.flatnonzero(~odd & (model != np.arange(len(model))))
+def _unlike(codes: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether the codes from start on differ from the others from other on, piece by piece."""
+    odd = size != other_size
+    same = np.flatnonzero(~odd)
     for i in range(0, len(same), 1 << 16):  # in parts, so that indices stay small
         part = same[i : i + (1 << 16)]
-        size = n[part]
-        at = np.cumsum(size) - size
-        step = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(at, size).astype(np.int32)
-        unequal = codes[np.repeat(start[part], size) + step] != codes[np.repeat(start[model[part]], size) + step]
+        n = size[part]
+        at = np.cumsum(n) - n
+        step = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(at, n).astype(np.int32)
+        unequal = codes[np.repeat(start[part], n) + step] != others[np.repeat(other[part], n) + step]
         if unequal.any():
-            odd[part] |= np.add.reduceat(unequal, at) > 0
-    return np.flatnonzero(odd)
+            odd[part] = np.add.reduceat(unequal, at) > 0
+    return odd
+
+
+def _grown(x: np.ndarray, need: int) -> np.ndarray:
+    return x if need <= len(x) else np.resize(x, max(need, 2 * len(x)))
 
 
 class PieceCoder:
     """ids of texts, from ids of their pieces.  encode gets distinct pieces and returns a list of ids each.
 
-    Equal pieces of a batch are found by a 64-bit hash of random values for each code point, random for each
-    process; then every piece is compared with the one that stands for its hash, code point by code point, and
-    what differs is looked up by itself.  The memory's keys are the pieces themselves; it holds at most ``held``."""
+    Equal pieces are found by a 64-bit hash of random values for each code point, random for each process; then
+    every piece is compared, code point by code point, with the one that stands for its hash in the batch, and
+    that one with the one in memory.  What differs is looked up by itself.  At most ``held`` pieces are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 250_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], held: int = 500_000) -> None:
         self.encode, self.held = encode, held
         rng = np.random.default_rng()
         self.mix = rng.integers(0, 1 << 63, size=0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,11 +117,12 @@ class PieceCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.count = np.zeros(1024, dtype=np.int64)
-        self.first = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.int32)
-        self.used = 0
+        self.at: dict[int, int] = {}  # hash to number
+        self.odd: dict[str, int] = {}  # pieces whose hash another one has
+        self.known = self.used = self.signs = 0
+        self.count, self.first = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.begin, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.ids, self.codes = np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.uint32)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the base and of its inverse; those of a very long piece are not kept."""
@@ -130,32 +135,33 @@ class PieceCoder:
             self.power, self.back = power, back
         return power, back
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces."""
         lists = self.encode(pieces)
         n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(n.sum()))
-        k, have = len(self.at), len(self.at) + len(pieces)
-        if have > len(self.count):
-            grow = max(have, 2 * len(self.count))
-            self.count, self.first = np.resize(self.count, grow), np.resize(self.first, grow)
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, max(self.used + len(flat), 2 * len(self.ids)))
+        flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(n.sum()))
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4")
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        k, have = self.known, self.known + len(pieces)
+        self.count, self.first, self.begin, self.size = (_grown(x, have) for x in (self.count, self.first, self.begin, self.size))
+        self.ids, self.codes = _grown(self.ids, self.used + len(flat)), _grown(self.codes, self.signs + len(codes))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.count[k:have] = n
+        self.codes[self.signs : self.signs + len(codes)] = codes
+        self.count[k:have], self.size[k:have] = n, size
         self.first[k:have] = self.used + np.cumsum(n) - n
-        self.used += len(flat)
-        self.at.update(zip(pieces, range(k, have), strict=True))
+        self.begin[k:have] = self.signs + np.cumsum(size) - size
+        self.known, self.used, self.signs = have, self.used + len(flat), self.signs + len(codes)
+        return np.arange(k, have)
 
-    def _numbers(self, pieces: list[str]) -> list[int]:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.at))
-        if new:
-            self._learn(new)
-        return [self.at[p] for p in pieces]
+    def _by_name(self, piece: str) -> int:
+        if piece not in self.odd:
+            self.odd[piece] = int(self._learn([piece])[0])
+        return self.odd[piece]
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the piece in this coder's memory for every piece of the texts, and where each text's
         pieces begin (with the end as the last value)."""
-        if len(self.at) > self.held:
+        if self.known > self.held:
             self.clear()
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
@@ -173,13 +179,27 @@ class PieceCoder:
             np.cumsum(self.mix[codes] * power[: len(codes)], out=total[1:])
             h = (total[stop] - total[start]) * back[start]
         del total
+        size = stop - start
         which, seen = pd.factorize(h)
         where = np.full(len(seen), -1, dtype=np.int64)
         where[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the first piece of each hash
-        out = np.array(self._numbers([joined[i:j] for i, j in zip(start[where].tolist(), stop[where].tolist(), strict=True)]), dtype=np.int64)[which]
-        other = _unlike(codes, start, stop, where[which])
-        if len(other):
-            out[other] = self._numbers([joined[start[i] : stop[i]] for i in other.tolist()])
+        keys = seen.tolist()
+        number = np.array(list(map(self.at.get, keys, repeat(-1))), dtype=np.int64)
+        old = np.flatnonzero(number >= 0)
+        bad = old[_unlike(codes, start[where[old]], size[where[old]], self.codes, self.begin[number[old]], self.size[number[old]])]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            a, b = start[where[new]].tolist(), stop[where[new]].tolist()
+            number[new] = self._learn([joined[i:j] for i, j in zip(a, b, strict=True)])
+            self.at.update(zip([keys[i] for i in new.tolist()], number[new].tolist(), strict=True))
+        for i in bad.tolist():
+            number[i] = self._by_name(joined[start[where[i]] : stop[where[i]]])
+        out = number[which]
+        model = where[which]
+        other = np.flatnonzero((model != np.arange(len(model))))
+        other = other[_unlike(codes, start[other], size[other], codes, start[model[other]], size[model[other]])]
+        for i in other.tolist():
+            out[i] = self._by_name(joined[start[i] : stop[i]])
         return out, bounds
 
     def spread(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

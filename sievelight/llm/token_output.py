@@ -6,8 +6,8 @@ indexes and a Bloom filter on doc_id let a lookup of single documents skip strip
 readers of token counts never touch the ids.
 
 The text is range-partitioned by identifier once and encoded on the way to the file, so ids are never
-shuffled.  Strings of special tokens inside a text are ordinary text (encode_special_tokens, as the instructions
-beside the vocabulary files set it), so a document cannot forge an end of text.
+shuffled.  Strings of special tokens inside a text are ordinary text (the library's encode_special_tokens, as the
+instructions beside the vocabulary files set it), so a document cannot forge an end of text.
 
 Empty table: empty result.  Null text counts as empty: the end id alone.  A null identifier comes first.  Rows with
 one identifier lie in one file, ordered by text.  Extra columns are ignored.
@@ -30,16 +30,34 @@ END_ID = 2
 _coders: dict[str, PieceCoder] = {}
 
 
+def byte_signs() -> np.ndarray:
+    """The sign that stands for each byte in byte-level vocabularies: printable Latin-1 signs for themselves, the other
+    bytes in order for U+0100 and on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = np.zeros(256, dtype="<u2")
+    table[plain] = plain
+    others = np.setdiff1d(np.arange(256), plain)
+    table[others] = 0x100 + np.arange(len(others))
+    return table
+
+
 def coder(path: str) -> PieceCoder:
+    """Pieces go to the library's model itself, with their bytes as signs: its whole pipeline would split them again."""
     if path not in _coders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their strings in a text are ordinary text
-        _coders[path] = PieceCoder(lambda x: [e.ids for e in own.encode_batch_fast(x, add_special_tokens=False)])
+        model, table = Tokenizer.from_file(path).model, byte_signs()
+
+        def encode(pieces: list[str]) -> list[list[int]]:
+            data = [p.encode() for p in pieces]
+            signs = table[np.frombuffer(b"".join(data), np.uint8)].tobytes().decode("utf-16-le")
+            out, at = [], 0
+            for d in data:
+                out.append([t.id for t in model.tokenize(signs[at : at + len(d)])])
+                at += len(d)
+            return out
+
+        _coders[path] = PieceCoder(encode)
     return _coders[path]
 
 

@@ -1,7 +1,7 @@
 """Line detectors: each takes (path, content) and gives findings.
 
-Findings have the columns path, line_no, col, rule, severity, secret, context, entropy, confidence, method and
-stage_ord (order of the detectors, for deduplication)."""
+Findings have the columns path, line_no, col, rule, severity, secret, context, entropy, confidence, method,
+stage_ord (order of the detectors, for deduplication) and risk (of endpoints; else 0)."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import entropy as E
 from ..functions.regex import compiled, to_java
 from ..functions.text import SHORT_CONTEXT, lines, trimmed, truncated
-from .matching import line_matches
+from .matching import edges, guard, line_matches
 from .rule_table import RULES, Rule
 
 SEVERITIES = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 MIN_ENTROPY = 2.0
-FINDING = ["path", "line_no", "col", "rule", "severity", "secret", "context", "entropy", "confidence", "method", "stage_ord"]
+FINDING = ["path", "line_no", "col", "rule", "severity", "secret", "context", "entropy", "confidence", "method", "stage_ord", "risk"]
 
 
 def severity_of(name: str, strict: bool = True) -> int:
@@ -43,8 +43,9 @@ def rule_frame(spark, rules: Sequence[Rule] = RULES) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _finding(df: DataFrame, stage: int, method: str, confidence: int, **cols: Column) -> DataFrame:
-    own = {"method": F.lit(method), "confidence": F.lit(confidence), "stage_ord": F.lit(stage)} | cols
+def as_findings(df: DataFrame, stage: int, method: str, confidence: int | Column, **cols: Column) -> DataFrame:
+    """Rows as findings; columns that are not given are df's own."""
+    own = {"method": F.lit(method), "confidence": F.lit(confidence), "stage_ord": F.lit(stage), "risk": F.lit(0)} | cols
     return df.select(*(own[c].alias(c) if c in own else F.col(c) for c in FINDING))
 
 
@@ -57,7 +58,23 @@ def scan_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int
     low = F.lower("line")
     gate = ~F.col("requires_context") | F.exists("keywords", lambda k: low.contains(k))
     found = found.where(gate & (F.col("entropy") >= MIN_ENTROPY))
-    return _finding(found, 1, "regex", 60, context=truncated(trimmed(F.col("line"))))
+    return as_findings(found, 1, "regex", 60, context=truncated(trimmed(F.col("line"))))
+
+
+def _window_ends(lines: list[str], pattern: str, window: int) -> list[int]:
+    """Last lines (from 1) of the windows that may be the first to have a match.
+
+    A match that begins and ends with a literal is new where its last line comes in, or where a line with an earlier
+    beginning goes out.  Of other patterns all windows count that have a line with one of their literals."""
+    first, last = edges(pattern)
+    n = len(lines)
+    if first and last:
+        ends = {max(2, i + 1) for i, x in enumerate(lines) if last in x}
+        ends |= {i + window + 1 for i, x in enumerate(lines) if first in x}
+        return sorted(e for e in ends if e <= n)
+    own = guard(pattern)
+    hits = [i for i, x in enumerate(lines) if any(v in (x.lower() if own.fold else x) for v in own.literals)] if own.literals else range(n)
+    return sorted({e for i in hits for e in range(max(2, i + 1), min(n, i + window) + 1)})
 
 
 def scan_multiline(docs: DataFrame, rules: Sequence[Rule] = RULES, window: int = 100, min_severity: int = 0) -> DataFrame:
@@ -65,30 +82,33 @@ def scan_multiline(docs: DataFrame, rules: Sequence[Rule] = RULES, window: int =
     value counts at the first window that has it.  A value may span at most the window."""
     rules = [r for r in rules if r.multi_line and severity_of(r.severity) >= min_severity]
 
+    def found(path: str, text: str) -> list[tuple]:
+        low = text.lower()
+        live = [r for r in rules if not (g := guard(r.pattern)).literals or any(x in (low if g.fold else text) for x in g.literals)]
+        if not live or "\n" not in text:
+            return []
+        ls = text.split("\n")
+        first: dict[tuple[str, str], tuple] = {}
+        for r in live:
+            for end in _window_ends(ls, r.pattern, window):
+                start = max(0, end - window)
+                joined = "\n".join(ls[start:end])
+                for m in compiled(r.pattern).finditer(joined):
+                    key = (m.group(), r.name)
+                    if key not in first:
+                        at = len(joined[: m.start()].encode())
+                        first[key] = (path, start + 1, at, r.name + "_multiline", severity_of(r.severity), m.group(), joined[:SHORT_CONTEXT])
+        return list(first.values())
+
     def run(batches):
         for b in batches:
-            out = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = text or ""
-                live = [r for r in rules if compiled(r.pattern).search(text)]
-                if not live or "\n" not in text:
-                    continue
-                ls, seen = text.split("\n"), set()
-                for end in range(2, len(ls) + 1):
-                    start = max(0, end - window)
-                    joined = "\n".join(ls[start:end])
-                    for r in live:
-                        for m in compiled(r.pattern).finditer(joined):
-                            key = (m.group(), r.name)
-                            if key not in seen:
-                                seen.add(key)
-                                out.append((path, start + 1, len(joined[: m.start()].encode()), r.name + "_multiline", severity_of(r.severity), m.group(), joined[:SHORT_CONTEXT]))
+            out = [x for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in found(path, text or "")]
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "line_no", "col", "rule", "severity", "secret", "context"])
 
-    found = docs.select("path", "content").mapInArrow(run, "path string, line_no int, col int, rule string, severity int, secret string, context string")
-    return _finding(found, 6, "multiline_regex", 60, entropy=E.shannon(F.col("secret")))
+    found_ = docs.select("path", "content").mapInArrow(run, "path string, line_no int, col int, rule string, severity int, secret string, context string")
+    return as_findings(found_, 6, "multiline_regex", 60, entropy=E.shannon(F.col("secret")))
 
 
 def _tokens(docs: DataFrame, gate) -> DataFrame:
@@ -103,7 +123,7 @@ def scan_entropy_tokens(docs: DataFrame) -> DataFrame:
     tok = _tokens(docs, E.secret_context)
     s = F.col("secret")
     tok = tok.where(E.token_match(s) & ~E.media(s))
-    return _finding(tok, 2, "entropy+context", 30, rule=F.lit("high_entropy_token"), severity=F.lit(2), entropy=E.by_alphabet(s), context=truncated(trimmed(F.col("line"))))
+    return as_findings(tok, 2, "entropy+context", 30, rule=F.lit("high_entropy_token"), severity=F.lit(2), entropy=E.by_alphabet(s), context=truncated(trimmed(F.col("line"))))
 
 
 def scan_contextual(docs: DataFrame, min_entropy: float = 4.5) -> DataFrame:
@@ -113,7 +133,7 @@ def scan_contextual(docs: DataFrame, min_entropy: float = 4.5) -> DataFrame:
     after_mark = (F.expr("locate(secret, line)") > 1) & before.isin("/", ":", "@")
     slashes = F.length("secret") - F.length(F.replace(F.col("secret"), F.lit("/"), F.lit("")))
     tok = tok.where((F.col("entropy") >= min_entropy) & ~after_mark & (slashes < 2) & ~E.media(F.col("secret")))
-    return _finding(tok, 3, "entropy+context", 30, rule=F.lit("contextual_entropy_secret"), severity=F.lit(3), context=truncated(trimmed(F.col("line"))))
+    return as_findings(tok, 3, "entropy+context", 30, rule=F.lit("contextual_entropy_secret"), severity=F.lit(3), context=truncated(trimmed(F.col("line"))))
 
 
 # Rule, severity, pattern; the secret is group 1 of a line's first match.
@@ -136,14 +156,14 @@ def scan_auth_headers(docs: DataFrame) -> DataFrame:
         for name, sev, p in AUTH_HEADERS
     ))
     found = each.select("path", "line_no", "line", F.explode(F.filter(hits, lambda h: h["secret"].isNotNull())).alias("h")).select("path", "line_no", "line", "h.*")
-    return _finding(found, 4, "auth_header", 60, col=F.lit(0), entropy=E.shannon(F.col("secret")), context=truncated(F.col("line")))
+    return as_findings(found, 4, "auth_header", 60, col=F.lit(0), entropy=E.shannon(F.col("secret")), context=truncated(F.col("line")))
 
 
 def scan_url_secrets(docs: DataFrame) -> DataFrame:
     """Values of telling query parameters, the first of each URL."""
     each = lines(docs.select("path", "content")).where(F.col("line").rlike(to_java(URL_SECRET)))
     found = each.withColumn("secret", F.explode(F.regexp_extract_all("line", F.lit(to_java(URL_SECRET)), F.lit(1))))
-    return _finding(found, 5, "url_param", 70, col=F.lit(0), rule=F.lit("url_query_secret"), severity=F.lit(3), entropy=E.shannon(F.col("secret")), context=truncated(trimmed(F.col("line"))))
+    return as_findings(found, 5, "url_param", 70, col=F.lit(0), rule=F.lit("url_query_secret"), severity=F.lit(3), entropy=E.shannon(F.col("secret")), context=truncated(trimmed(F.col("line"))))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0, strip_comments: bool = False, max_line: int | None = None) -> DataFrame:

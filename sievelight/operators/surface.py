@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,6 +170,19 @@ FRONTS = (
 )
 
 
+# Code, severity of what a response's headers lack or tell, in order.
+HEADER_CODES = (
+    ("missing-csp", 3), ("weak-csp-wildcard", 2), ("weak-csp-unsafe-inline", 2), ("weak-csp-unsafe-eval", 2), ("missing-hsts", 2), ("weak-hsts", 1), ("missing-xfo", 2),
+    ("missing-xcto", 1), ("missing-referrer-policy", 0), ("missing-permissions-policy", 0), ("cors-wildcard-credentials", 3), ("cors-wildcard", 2), ("cookie-no-secure", 2),
+    ("cookie-no-httponly", 1), ("cookie-no-samesite", 1), ("server-version-disclosure", 1), ("x-powered-by-disclosure", 1),
+)
+# Parts of a content policy that weaken it; the least age of strict transport; policies of cookies.
+WILD_POLICY = ("default-src *", "script-src *")
+LEAST_AGE = 31_536_000
+SAME_SITE = ("strict", "lax", "none")
+VERSION = r"\d+\.\d+"
+
+
 def header_findings(responses: DataFrame) -> DataFrame:
     """(url, code, severity) from (url, headers MAP with lower-case names, cookies ARRAY<STRUCT secure,
     http_only, same_site>): the first response of each origin is judged."""
@@ -180,26 +195,18 @@ def header_findings(responses: DataFrame) -> DataFrame:
     age = F.regexp_extract(h("strict-transport-security"), r"max-age=([0-9]+)(?:[;, ]|\z)", 1)
     cors, credentials = h("access-control-allow-origin"), F.lower(h("access-control-allow-credentials")) == "true"
     used = https & (F.size(jar) > 0)
-    codes = (
-        ("missing-csp", 3, csp == ""),
-        ("weak-csp-wildcard", 2, csp.contains("default-src *") | csp.contains("script-src *")),
-        ("weak-csp-unsafe-inline", 2, csp.contains("'unsafe-inline'")),
-        ("weak-csp-unsafe-eval", 2, csp.contains("'unsafe-eval'")),
-        ("missing-hsts", 2, https & (h("strict-transport-security") == "")),
-        ("weak-hsts", 1, https & (age != "") & (F.try_to_number(age, F.lit("9" * 18)) < 31536000)),
-        ("missing-xfo", 2, (h("x-frame-options") == "") & ~csp.contains("frame-ancestors")),
-        ("missing-xcto", 1, h("x-content-type-options") != "nosniff"),
-        ("missing-referrer-policy", 0, h("referrer-policy") == ""),
-        ("missing-permissions-policy", 0, h("permissions-policy") == ""),
-        ("cors-wildcard-credentials", 3, (cors == "*") & credentials),
-        ("cors-wildcard", 2, (cors == "*") & ~credentials),
-        ("cookie-no-secure", 2, used & ~F.exists(jar, lambda c: c["secure"])),
-        ("cookie-no-httponly", 1, used & ~F.exists(jar, lambda c: c["http_only"])),
-        ("cookie-no-samesite", 1, used & ~F.exists(jar, lambda c: F.lower(c["same_site"]).isin("strict", "lax", "none"))),
-        ("server-version-disclosure", 1, h("server").rlike(r"\d+\.\d+")),
-        ("x-powered-by-disclosure", 1, h("x-powered-by").rlike(r"\d+\.\d+")),
-    )
-    hits = F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, sev, test in codes))
+    tests = {
+        "missing-csp": csp == "", "weak-csp-wildcard": csp.contains(WILD_POLICY[0]) | csp.contains(WILD_POLICY[1]),
+        "weak-csp-unsafe-inline": csp.contains("'unsafe-inline'"), "weak-csp-unsafe-eval": csp.contains("'unsafe-eval'"),
+        "missing-hsts": https & (h("strict-transport-security") == ""), "weak-hsts": https & (age != "") & (F.try_to_number(age, F.lit("9" * 18)) < LEAST_AGE),
+        "missing-xfo": (h("x-frame-options") == "") & ~csp.contains("frame-ancestors"), "missing-xcto": h("x-content-type-options") != "nosniff",
+        "missing-referrer-policy": h("referrer-policy") == "", "missing-permissions-policy": h("permissions-policy") == "",
+        "cors-wildcard-credentials": (cors == "*") & credentials, "cors-wildcard": (cors == "*") & ~credentials,
+        "cookie-no-secure": used & ~F.exists(jar, lambda c: c["secure"]), "cookie-no-httponly": used & ~F.exists(jar, lambda c: c["http_only"]),
+        "cookie-no-samesite": used & ~F.exists(jar, lambda c: F.lower(c["same_site"]).isin(*SAME_SITE)),
+        "server-version-disclosure": h("server").rlike(VERSION), "x-powered-by-disclosure": h("x-powered-by").rlike(VERSION),
+    }
+    hits = F.array(*(F.when(tests[code], F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, sev in HEADER_CODES))
     return first.select("url", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select("url", "h.code", "h.severity")
 
 
@@ -247,21 +254,63 @@ def robots_rules(files: DataFrame, agent: str = "sievelight") -> DataFrame:
     return held.select("path", (F.col("i") + 1).alias("line_no"), "kind", value.alias("value"))
 
 
+def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, allowed) from urls (url) and robots_rules with the host as path: of a host's rules the first whose
+    prefix the url's path has decides; without one the url is allowed."""
+    host = F.lower(F.regexp_extract("url", r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    own = urls.select("url").distinct().select("url", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("at"))
+    entries = rules.where(F.col("kind").isin("allow", "disallow")).select(F.lower("path").alias("host"), "line_no", "kind", "value")
+    hit = own.join(entries, (own["host"] == entries["host"]) & own["at"].startswith(entries["value"]))
+    first = hit.groupBy("url").agg(F.min_by("kind", "line_no").alias("kind"))
+    return own.join(first, "url", "left").select("url", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"))
+
+
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """(path, loc, is_index) of (path, content) with a urlset (false) or an index of further sitemaps (true)."""
+    tag = r"(?is)<(?:[a-z0-9]+:)?loc>(.*?)</(?:[a-z0-9]+:)?loc>"
+    index = F.col("content").rlike(r"(?is)<(?:[a-z0-9]+:)?sitemapindex[\s>]")
+    locs = F.regexp_extract_all("content", F.lit(tag), F.lit(1))
+    return files.select("path", index.alias("is_index"), F.explode(F.transform(locs, trimmed)).alias("loc")).where("loc != ''").select("path", "loc", "is_index")
+
+
 def sitemap_locations(files: DataFrame) -> DataFrame:
     """(path, loc) of (path, content) with a urlset or an index."""
-    locs = F.regexp_extract_all("content", F.lit(r"(?is)<(?:[a-z0-9]+:)?loc>(.*?)</(?:[a-z0-9]+:)?loc>"), F.lit(1))
-    return files.select("path", F.explode(F.transform(locs, trimmed)).alias("loc")).where("loc != ''")
+    return sitemap_entries(files).select("path", "loc")
+
+
+def sitemap_urls(captured: DataFrame, roots: DataFrame, depth: int = 3, most: int | None = 10_000) -> DataFrame:
+    """(url, depth) of the pages that sitemaps name, from the roots (path) down captured (path, content) indexes.
+
+    most is the limit of the crawl that the pages are for, by depth and name; None: all."""
+    entries = sitemap_entries(captured)
+    front, pages = roots.select("path").distinct(), None
+    for level in range(depth):
+        here = front.join(entries, "path")
+        own = here.where("not is_index").select(F.col("loc").alias("url"), F.lit(level).alias("depth"))
+        pages = own if pages is None else pages.unionByName(own)
+        front = here.where("is_index").select(F.col("loc").alias("path")).distinct()
+    pages = pages.groupBy("url").agg(F.min("depth").alias("depth"))
+    return pages.orderBy("depth", "url").limit(most) if most else pages
+
+
+# Manifests, the file names (lower case) that they go by.
+MANIFESTS = ("package.json", "package-lock.json", "requirements.txt", "yarn.lock", "go.mod", "cargo.toml")
+REGISTRY_TOKEN = r"//registry\.npmjs\.org/:_authToken\s*=\s*(\S+)"
 
 
 def package_entries(files: DataFrame) -> DataFrame:
-    """(path, line_no, name, mutable): loose or foreign dependencies in (path, content) manifests."""
+    """(path, line_no, name, mutable, secret): loose or foreign dependencies in (path, content) manifests.
+
+    A package.json with a registry token gives the first token alone."""
     base = F.lower(F.element_at(F.split("path", "/"), -1))
-    rows = files.select("path", base.alias("base"), F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    rows = rows.where(F.col("base").isin("package.json", "package-lock.json", "requirements.txt", "yarn.lock", "go.mod", "cargo.toml"))
+    rows = files.select("path", base.alias("base"), F.posexplode(F.split("content", "\n", -1)).alias("i", "line")).where(F.col("base").isin(*MANIFESTS))
     t = trimmed(F.col("line"))
     w = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     section = F.last(F.when(t.startswith("["), t == "[dependencies]"), ignorenulls=True).over(w)
-    rows = rows.withColumn("deps", F.coalesce(section, F.lit(False))).withColumn("name", t)
+    token = F.when(F.col("base") == "package.json", F.nullif(F.regexp_extract("line", to_java(REGISTRY_TOKEN), 1), F.lit("")))
+    given = F.min(F.when(token.isNotNull(), F.struct("i", token.alias("secret")))).over(W.partitionBy("path"))
+    rows = rows.withColumn("deps", F.coalesce(section, F.lit(False))).withColumn("name", t).withColumn("given", given)
     b, n = F.col("base"), F.col("name")
     keep = (
         (b.isin("package.json", "package-lock.json") & (n.contains('"*"') | n.contains("latest")))
@@ -271,4 +320,20 @@ def package_entries(files: DataFrame) -> DataFrame:
         | ((b == "cargo.toml") & F.col("deps") & ~n.startswith("[") & n.contains("=") & ~n.contains("path") & (n.contains('"*"') | n.contains("git =") | n.contains("git+")))
     )
     mutable = b.isin("package.json", "package-lock.json", "cargo.toml") | ((b == "requirements.txt") & n.contains(">="))
-    return rows.where(keep).select("path", (F.col("i") + 1).alias("line_no"), "name", mutable.alias("mutable"))
+    loose = rows.where(keep & F.col("given").isNull()).select("path", (F.col("i") + 1).alias("line_no"), "name", mutable.alias("mutable"), F.lit("").alias("secret"))
+    tokens = rows.where(F.col("given").isNotNull() & (F.col("given.i") == F.col("i")))
+    return loose.unionByName(tokens.select("path", (F.col("i") + 1).alias("line_no"), F.lit(".npmrc").alias("name"), F.lit(False).alias("mutable"), F.col("given.secret").alias("secret")))
+
+
+def candidates(origins: DataFrame, paths: list[str]) -> DataFrame:
+    """(url, path): addresses of the given paths at each origin, for a look at what was captured."""
+    return origins.select("origin").distinct().select("origin", F.explode(F.array(*map(F.lit, paths))).alias("path")).select(F.concat("origin", "path").alias("url"), "path")
+
+
+def captured_paths(captured: DataFrame, paths: list[str]) -> DataFrame:
+    """(url, path, content): captured pages (url, status, content) that answered on one of the paths; * in a path
+    stands for anything but a slash."""
+    at = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    like = [(p, "^" + "[^/]*".join(re.escape(x) for x in p.split("*")) + r"\z") for p in paths]
+    hit = F.coalesce(*(F.when(at.rlike(x), p) for p, x in like)) if like else F.lit(None).cast("string")
+    return captured.where((F.col("status") >= 200) & (F.col("status") < 300)).select("url", hit.alias("path"), "content").where("path is not null")

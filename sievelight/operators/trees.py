@@ -3,19 +3,106 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Sequence
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions.regex import to_java
+from ..functions.text import extension
+from .detect import MIN_ENTROPY, as_findings, rule_frame, severity_of
+from .matching import line_matches
+from .rule_table import RULES, Rule
 
 # Fixed values.
 SECRET_KEY = r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|access[_-]?token|auth[_-]?token|auth[_-]?key|client[_-]?secret|client[_-]?id|private[_-]?key|ssh[_-]?key|encryption[_-]?key|signing[_-]?key|bearer|credential|refresh[_-]?token|session[_-]?key|secret[_-]?key|master[_-]?key)$"
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
+def deep_leaves(text: str) -> list[tuple[str, str]]:
+    """Key paths and values of the string leaves of JSON of any depth; ValueError for other texts."""
+    out: list[tuple[str, str]] = []
+    stack: list[list] = []  # open containers: closing sign, and the path's part below it
+    at = 0
+
+    def skip(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    def member(i: int) -> int:
+        """Reads on to the value of the innermost container's next member."""
+        top = stack[-1]
+        if top[0] == "]":
+            top[1] = 0 if top[1] is None else top[1] + 1
+            return i
+        if text[i : i + 1] != '"':
+            raise ValueError("a key is missing")
+        top[1], i = scanstring(text, i + 1)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a colon is missing")
+        return skip(i + 1)
+
+    def path() -> str:
+        parts = []
+        for close, part in stack:
+            parts.append(f"[{part}]" if close == "]" else f".{part}" if parts else part)
+        return "".join(parts)
+
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            stack.append(["}" if c == "{" else "]", None])
+            at = skip(at + 1)
+            if text[at : at + 1] != stack[-1][0]:
+                at = member(at)
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+            if value:
+                out.append((path(), value))
+            at = skip(at)
+        else:
+            m = _PLAIN.match(text, at)
+            if not m:
+                raise ValueError("a value is missing")
+            at = skip(m.end())
+        while stack and text[at : at + 1] == stack[-1][0]:
+            stack.pop()
+            at = skip(at + 1)
+        if not stack:
+            if at != len(text):
+                raise ValueError("text after the value")
+            return out
+        if text[at : at + 1] != ",":
+            raise ValueError("a comma is missing")
+        at = member(skip(at + 1))
+
+
+def _leaves(text: str) -> list[tuple[str, str]]:
+    try:
+        todo = [("", json.loads(text))]
+    except RecursionError:
+        return deep_leaves(text)
+    out = []
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{at}[{i}]", x) for i, x in enumerate(v)]
+        elif isinstance(v, str) and v:
+            out.append((at, v))
+    return out
+
+
 def walk_json(docs: DataFrame) -> DataFrame:
     """(path, key_path, value): string leaves of each JSON content; contents that are not JSON give none."""
 
@@ -24,17 +111,9 @@ def walk_json(docs: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    todo = [("", json.loads(text))]
-                except (ValueError, TypeError, RecursionError):
+                    rows += [(path, *x) for x in _leaves(text)]
+                except (ValueError, TypeError):
                     continue
-                while todo:
-                    at, v = todo.pop()
-                    if isinstance(v, dict):
-                        todo += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
-                    elif isinstance(v, list):
-                        todo += [(f"{at}[{i}]", x) for i, x in enumerate(v)]
-                    elif isinstance(v, str) and v:
-                        rows.append((path, at, v))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["path", "key_path", "value"])
 
@@ -50,78 +129,190 @@ def json_secrets(docs: DataFrame) -> DataFrame:
     """(path, key_path, rule, secret, entropy) of values under telling keys."""
     leaves = walk_json(docs).withColumn("key", last_key(F.col("key_path"))).withColumn("entropy", E.shannon(F.col("value")))
     good = F.col("key").rlike(to_java(SECRET_KEY)) & (F.length("value") >= 8) & ~F.col("value").rlike(r"^[0-9]+\z") & (F.col("entropy") >= 3.0)
-    return leaves.where(good).select("path", "key_path", F.concat(F.lit("json_"), "key").alias("rule"), F.substring("value", 1, 500).alias("secret"), "entropy")
+    return leaves.where(good).select("path", "key_path", F.concat(F.lit("json_"), "key").alias("rule"), F.col("value").alias("secret"), "entropy")
 
 
 # ---- script text ---------------------------------------------------------------------------------------
 
 _LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 MIN_LENGTH = 20
+#: Texts with these are code or data that literals were found in by chance.
+_STRUCTURE = r"[{}\[\]:,]"
+_DECLARED = r"\b(?:var|let|const)\s+([A-Za-z_$][\w$]*)\s*=\s*"
 
 
 def _plain(literal: Column) -> Column:
     return F.substring(literal, F.lit(2), F.length(literal) - 2)
 
 
+def _literals(c: Column) -> Column:
+    """Contents of a text's string literals; escapes stay as they are written."""
+    return F.transform(F.regexp_extract_all(c, F.lit(_LITERAL), F.lit(0)), _plain)
+
+
+def _lines_with(docs: DataFrame, mark: str) -> DataFrame:
+    """(path, line_no, line) of the lines that hold the mark."""
+    each = docs.where(F.col("content").contains(mark)).select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
+    return each.where(F.col("line").contains(mark)).select("path", (F.col("i") + 1).alias("line_no"), "line")
+
+
+def _found(lines: DataFrame, pattern: str) -> DataFrame:
+    return lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("expr"))
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.where(F.octet_length("text") >= MIN_LENGTH)
+
+
+def concatenated(docs: DataFrame) -> DataFrame:
+    """(path, line_no, text): chains of literals around +, put together."""
+    each = _found(_lines_with(docs, "+"), rf"{_LITERAL}(?:\s*\+\s*{_LITERAL})+")
+    return _long(each.select("path", "line_no", F.array_join(_literals(F.col("expr")), "").alias("text")).where(~F.col("text").rlike(_STRUCTURE)))
+
+
 def joined_arrays(docs: DataFrame) -> DataFrame:
-    """(path, text): ["a", "b"].join("s") put together, for arrays of two literals or more."""
-    pattern = rf"\[\s*(?:{_LITERAL}\s*,\s*)+{_LITERAL}\s*,?\s*\]\.join\(\s*{_LITERAL}\s*\)"
-    each = docs.select("path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("expr"))
-    parts = F.transform(F.regexp_extract_all("expr", F.lit(_LITERAL), F.lit(0)), _plain)
-    return each.withColumn("t", parts).select("path", F.expr("array_join(slice(t, 1, size(t) - 1), element_at(t, -1))").alias("text"))
+    """(path, line_no, text): ["a", "b"].join("s") put together, for arrays of two literals or more."""
+    each = _found(_lines_with(docs, "join"), rf"\[\s*(?:{_LITERAL}\s*,\s*)+{_LITERAL}\s*,?\s*\]\s*\.\s*join\s*\(\s*{_LITERAL}\s*\)")
+    each = each.withColumn("t", _literals(F.col("expr")))
+    return _long(each.select("path", "line_no", F.expr("array_join(slice(t, 1, size(t) - 1), element_at(t, -1))").alias("text")))
 
 
 def constants(docs: DataFrame) -> DataFrame:
     """(path, name, value): string constants of each document; of several declarations the last one."""
-    pattern = rf"\b(?:var|let|const)\s+([A-Za-z_$][\w$]*)\s*=\s*({_LITERAL})\s*(?:;|,|\n|\z)"
+    pattern = rf"{_DECLARED}({_LITERAL})\s*(?:;|,|\n|\z)"
     names, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
     each = docs.select("path", F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("i", "d")).select("path", "i", F.col("d.name").alias("name"), F.col("d.value").alias("value"))
-    w = W.partitionBy("path", "name").orderBy(F.desc("i"))
-    return each.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("path", "name", _plain(F.col("value")).alias("value"))
+    return each.groupBy("path", "name").agg(F.max_by("value", "i").alias("value")).select("path", "name", _plain(F.col("value")).alias("value"))
 
 
 def propagated(docs: DataFrame) -> DataFrame:
-    """(path, expr, text): sums of names that are all constants of the document, put together, from 20
-    characters on."""
-    pattern = r"\b[A-Za-z_$][\w$]*(?:\s*\+\s*[A-Za-z_$][\w$]*)+"
-    sums = docs.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("n", "expr"))
-    parts = sums.select("path", "n", "expr", F.posexplode(F.split("expr", r"\s*\+\s*")).alias("i", "name"))
-    full = parts.join(constants(docs), ["path", "name"], "left").groupBy("path", "n", "expr").agg(
+    """(path, line_no, expr, text): sums of names that are all constants of the document, put together."""
+    sums = _found(_lines_with(docs, "+"), r"\b[A-Za-z_$][\w$]*(?:\s*\+\s*[A-Za-z_$][\w$]*)+").withColumn("n", F.monotonically_increasing_id())
+    parts = sums.select("path", "line_no", "n", "expr", F.posexplode(F.split("expr", r"\s*\+\s*")).alias("i", "name"))
+    full = parts.join(constants(docs), ["path", "name"], "left").groupBy("path", "line_no", "n", "expr").agg(
         F.count(F.lit(1)).alias("all"), F.count("value").alias("known"), F.sort_array(F.collect_list(F.struct("i", "value"))).alias("v")
     )
-    full = full.where("all = known").select("path", "expr", F.array_join(F.col("v.value"), "").alias("text"))
-    return full.where(F.length("text") >= MIN_LENGTH)
+    return _long(full.where("all = known").select("path", "line_no", "expr", F.array_join(F.col("v.value"), "").alias("text")))
+
+
+def arrays(docs: DataFrame) -> DataFrame:
+    """(path, name, elements): arrays of string literals of each document; of several declarations the last one."""
+    pattern = rf"{_DECLARED}\[([^\]]+)\]"
+    names, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
+    each = docs.select("path", F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("i", "d"))
+    each = each.select("path", "i", F.col("d.name").alias("name"), _literals(F.col("d.value")).alias("elements")).where(F.size("elements") > 0)
+    return each.groupBy("path", "name").agg(F.max_by("elements", "i").alias("elements"))
+
+
+def accessed(docs: DataFrame) -> DataFrame:
+    """(path, line_no, expr, text): name[i] of an array of literals of the document."""
+    each = _found(_lines_with(docs, "["), r"\b[A-Za-z_$][\w$]*\[\d{1,9}\]")
+    each = each.select("path", "line_no", "expr", F.substring_index("expr", "[", 1).alias("name"), F.regexp_extract("expr", r"\[(\d+)\]", 1).cast("int").alias("at"))
+    full = each.join(arrays(docs), ["path", "name"])
+    return _long(full.select("path", "line_no", "expr", F.get("elements", F.col("at")).alias("text")).where("text is not null"))
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(path, text): backtick strings without substitutions, from 20 characters on."""
-    found = docs.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"`([^`$]{20,})`"), F.lit(1))).alias("text"))
-    return found
+    """(path, line_no, text): backtick strings without substitutions."""
+    each = _lines_with(docs, "`")
+    return _long(each.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"`([^`$]*)`"), F.lit(1))).alias("text")))
 
 
 def branches(docs: DataFrame) -> DataFrame:
-    """(path, text): both literals of a choice, where each has 20 characters or more."""
-    pattern = rf"\?\s*({_LITERAL})\s*:\s*({_LITERAL})"
-    a, b = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    each = docs.select("path", F.explode(pairs).alias("p")).select("path", _plain(F.col("p.a")).alias("a"), _plain(F.col("p.b")).alias("b"))
-    each = each.where((F.length("a") >= MIN_LENGTH) & (F.length("b") >= MIN_LENGTH))
-    return each.select("path", F.explode(F.array("a", "b")).alias("text"))
+    """(path, line_no, text): both literals of a choice."""
+    each = _found(_lines_with(docs, "?"), rf"\?\s*{_LITERAL}\s*:\s*{_LITERAL}")
+    return _long(each.select("path", "line_no", F.explode(_literals(F.col("expr"))).alias("text")))
+
+
+def rebuilt(docs: DataFrame) -> DataFrame:
+    """(path, line_no, kind, text): what script text puts together from parts, from 20 bytes on."""
+    kinds = {"concat": concatenated, "join": joined_arrays, "template": templates, "var": propagated, "ternary": branches, "array": accessed}
+    out = None
+    for kind, find in kinds.items():
+        own = find(docs).select("path", "line_no", F.lit(kind).alias("kind"), "text")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def scan_rebuilt(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0, longest: int = 200) -> DataFrame:
+    """Findings of the rules in rebuilt texts (their first part), without the context gate."""
+    rules = [r for r in rules if severity_of(r.severity) >= min_severity]
+    pieces = rebuilt(docs.select("path", "content")).select("path", F.col("line_no").alias("at"), "kind", F.substring("text", 1, longest).alias("content"))
+    found = line_matches(pieces, [(r.name, r.pattern) for r in rules], whole=True)
+    found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
+    return as_findings(
+        found, 10, "script", 0, line_no=F.col("at"), col=F.lit(0), rule=F.concat_ws("_", F.lit("reconstructed"), "kind", "name"), secret=F.col("value"),
+        context=F.concat(F.lit("js reconstructed: "), "line"),
+    )
+
+
+def json_findings(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0) -> DataFrame:
+    """Findings in JSON files: values under telling keys, and the rules over all string leaves."""
+    own = docs.where(F.lower(extension(F.col("path"))) == ".json").select("path", "content")
+    context = F.concat(F.lit("json key: "), "key_path")
+    keys = as_findings(json_secrets(own), 11, "json_key", 0, line_no=F.lit(0), col=F.lit(0), severity=F.lit(2), context=context)
+    rules = [r for r in rules if severity_of(r.severity) >= min_severity]
+    found = line_matches(walk_json(own).withColumnRenamed("value", "content"), [(r.name, r.pattern) for r in rules], whole=True)
+    found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
+    return keys.unionByName(as_findings(found, 12, "json_rule", 0, line_no=F.lit(0), col=F.lit(0), rule=F.concat(F.lit("json_"), "name"), secret=F.col("value"), context=context))
+
+
+# ---- specifications ------------------------------------------------------------------------------------
+
+# Operations of a path.
+METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+
+
+def _from_yaml(specs: DataFrame) -> DataFrame:
+    """(path, content) with YAML contents as JSON; what is no mapping is left out."""
 
+    def run(batches):
+        import yaml
+
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    tree = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                if isinstance(tree, dict):
+                    rows.append((path, json.dumps(tree, default=str)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["path", "content"])
 
-def source_map_files(maps: DataFrame) -> DataFrame:
-    """(path, source, content) of (path, content) source maps, the first of each source."""
-    m = F.from_json("content", "struct<sourceRoot:string, sources:array<string>, sourcesContent:array<string>>")
-    each = maps.select("path", m.alias("m")).select("path", F.posexplode(F.arrays_zip(F.col("m.sources").alias("source"), F.col("m.sourcesContent").alias("content"))).alias("i", "f"))
-    each = each.select("path", "i", F.col("f.source").alias("source"), F.col("f.content").alias("content")).where("source is not null")
-    w = W.partitionBy("path", "source").orderBy("i")
-    return each.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("path", "source", F.coalesce("content", F.lit("")).alias("content"))
+    return specs.select("path", "content").mapInArrow(run, "path string, content string")
 
 
 def openapi_endpoints(specs: DataFrame) -> DataFrame:
-    """(path, endpoint) of (path, content) specifications in JSON: base path, path and method."""
-    s = F.from_json("content", "struct<basePath:string, paths:map<string,map<string,string>>>")
-    each = specs.select("path", s.alias("s")).select("path", F.coalesce(F.col("s.basePath"), F.lit("")).alias("base"), F.explode("s.paths").alias("route", "methods"))
-    return each.select("path", "base", "route", F.explode(F.map_keys("methods")).alias("method")).select(
-        "path", F.concat("base", "route", F.lit(" ["), F.upper("method"), F.lit("]")).alias("endpoint")
-    )
+    """(path, endpoint, title, version) of (path, content) specifications, the path being their address.
+
+    An endpoint is address, base path and path with the method; if no path has a known method, the paths alone
+    are endpoints.  Contents in JSON are read as they are, others as YAML (with PyYAML installed)."""
+    schema = "struct<basePath:string, info:struct<title:string,version:string>, paths:map<string,map<string,string>>>"
+    kinds = specs.select("path", "content", F.from_json("content", schema).alias("s"))
+    has = F.size(F.coalesce(F.col("s.paths"), F.create_map().cast("map<string,map<string,string>>"))) > 0
+    read = kinds.where(has)
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        pass
+    else:
+        other = _from_yaml(kinds.where(~has & F.col("content").contains("paths")).select("path", "content"))
+        read = read.unionByName(other.select("path", "content", F.from_json("content", schema).alias("s")).where(has))
+
+    def bare(c: Column) -> Column:
+        return F.regexp_replace(c, "^/+|/+$", "")
+
+    base = F.when(F.coalesce("s.basePath", F.lit("")) != "", F.concat(F.lit("/"), bare(F.col("s.basePath")))).otherwise("")
+    address = F.concat(F.regexp_replace("path", "/+$", ""), base)
+    each = read.select("path", address.alias("address"), F.coalesce("s.info.title", F.lit("")).alias("title"), F.coalesce("s.info.version", F.lit("")).alias("version"), F.map_entries("s.paths").alias("routes"))
+    known = F.flatten(F.transform("routes", lambda r: F.transform(
+        F.filter(F.transform(F.map_keys(r["value"]), F.upper), lambda m: m.isin(*METHODS)),
+        lambda m: F.concat(F.lit("/"), F.regexp_replace(r["key"], "^/+", ""), F.lit(" ["), m, F.lit("]")),
+    )))
+    alone = F.transform("routes", lambda r: F.concat(F.lit("/"), F.regexp_replace(r["key"], "^/+", "")))
+    each = each.select("path", "address", "title", "version", F.explode(F.when(F.size(known) > 0, known).otherwise(alone)).alias("route"))
+    return each.select("path", F.concat("address", "route").alias("endpoint"), "title", "version")

@@ -86,3 +86,11 @@ def html_escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
+
+
+def size_in_bytes(text: str, default: int = 5 << 20) -> int:
+    """A size such as 5, 5B, 5K, 5KB, 1M or 2GB in bytes; the default for what is no size."""
+    import re
+
+    m = re.fullmatch(r"\s*([0-9]+)\s*([KMG]?)B?\s*", text.upper())
+    return int(m[1]) << {"": 0, "K": 10, "M": 20, "G": 30}[m[2]] if m else default

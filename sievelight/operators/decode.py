@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions.text import lines
-from .detect import FINDING, MIN_ENTROPY, rule_frame, severity_of
+from .detect import MIN_ENTROPY, as_findings, rule_frame, severity_of
 from .matching import line_matches
 from .rule_table import RULES, Rule
 
@@ -89,14 +89,20 @@ def _double64(s: str) -> list[str]:
     return [t for m in _TWICE.findall(s) for t in _text(_bytes(m)) if _TWICE.search(t)]
 
 
-def inflated(data: bytes, limit: int = 10 << 20) -> bytes | None:
-    """Contents of gzip or zlib data, up to a limit; None for other data."""
+#: Larger contents of compressed data are not unpacked at all, so that a small file cannot fill a task's memory.
+MAX_INFLATED = 256 << 20
+
+
+def inflated(data: bytes, limit: int = MAX_INFLATED) -> bytes | None:
+    """Contents of gzip or zlib data; None for other data and for contents over the limit."""
     if data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
         return None
+    unpack = zlib.decompressobj(47)
     try:
-        return zlib.decompressobj(47).decompress(data, limit)
+        out = unpack.decompress(data, limit)
     except zlib.error:
         return None
+    return None if unpack.unconsumed_tail else out
 
 
 def _gzip64(s: str) -> list[str]:
@@ -160,8 +166,7 @@ def scan_decoded(docs: DataFrame, names: Sequence[str] = ("base64", "hex", "unic
     found = line_matches(pieces, [(r.name, r.pattern) for r in rules], whole=True)
     found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
     found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
-    own = {
-        "line_no": F.col("at"), "col": F.lit(0), "rule": F.concat_ws("_", "tag", "name"), "secret": F.col("value"), "confidence": F.lit(70),
-        "context": F.concat(F.col("tag"), F.lit(" decoded: "), F.substring("line", 1, 500)), "method": F.lit("decoded_regex"), "stage_ord": F.lit(7),
-    }
-    return found.select(*(own.get(c, F.col(c)).alias(c) for c in FINDING))
+    context = F.concat(F.col("tag"), F.lit(" decoded: "), F.substring("line", 1, 500))
+    return as_findings(
+        found, 7, "decoded_regex", 70, line_no=F.col("at"), col=F.lit(0), rule=F.concat_ws("_", "tag", "name"), secret=F.col("value"), context=context
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
-from ..functions.text import cache_fingerprint, extension, ignore_fingerprint
+from ..functions.text import cache_fingerprint, extension, ignore_fingerprint, trimmed
 
 # Fixed values.
 NON_PRODUCTION = (
@@ -92,10 +92,32 @@ def validated(findings: DataFrame, validation: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.when(~F.coalesce("_valid", F.lit(True)), 0).otherwise(F.col("severity"))).select(*findings.columns)
 
 
+# What decoders put before a rule's name.
+DECODED = ("base64_", "hex_", "url_", "unicode_")
+
+
+def provider_name(rule: Column) -> Column:
+    """A rule's name without its first part and what decoders put before it."""
+    out = F.when(rule.contains("_"), F.regexp_replace(rule, "^[^_]*_", "")).otherwise(rule)
+    for p in DECODED:
+        out = F.regexp_replace(out, "^" + p, "")
+    return out
+
+
 def format_state(rule: Column, secret: Column) -> Column:
     """What the form of a value says: likely for full-length access keys, potential for other known kinds."""
-    aws = rule.startswith("aws_")
-    return F.when(aws & secret.startswith("AKIA") & (F.length(secret) >= 16), "LIKELY").when(aws, "POTENTIAL").when(secret.startswith("sk-"), "POTENTIAL").otherwise("UNKNOWN")
+    s, name = trimmed(secret), provider_name(rule)
+    aws = rule.startswith("aws_") | name.startswith("aws_") | name.isin("access_key", "access_key_id")
+    return F.when(aws & s.startswith("AKIA") & (F.length(s) >= 16), "LIKELY").when(aws, "POTENTIAL").when(s.startswith("sk-"), "POTENTIAL").otherwise("UNKNOWN")
+
+
+def verification(findings: DataFrame, results: DataFrame) -> DataFrame:
+    """findings with verification_status from results (secret, valid, state): the state if it says anything, else likely
+    for valid and potential for other values; empty without a result."""
+    own = results.groupBy("secret").agg(F.max(F.struct("valid", F.upper("state").alias("state"))).alias("_r")).select("secret", F.col("_r.valid").alias("_valid"), F.col("_r.state").alias("_state"))
+    out = findings.join(own, "secret", "left")
+    told = F.when(F.col("_state").isin("VERIFIED", "LIKELY", "POTENTIAL"), F.col("_state")).when(F.col("_valid"), "LIKELY").when(F.col("_valid").isNotNull(), "POTENTIAL").otherwise("")
+    return out.withColumn("verification_status", told).select(*findings.columns, "verification_status")
 
 
 def category(rule: Column) -> Column:
@@ -117,6 +139,41 @@ def by_extension(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.when(ext == "", "(no ext)").otherwise(ext).alias("ext")).agg(F.count(F.lit(1)).alias("findings"))
 
 
+def by_risk(findings: DataFrame) -> DataFrame:
+    return findings.where("risk >= 0").groupBy("risk").agg(F.count(F.lit(1)).alias("findings"))
+
+
+# Beginnings of the names of findings that are endpoints.
+ENDPOINT_RULES = ("endpoint", "openapi_", "graphql_")
+
+
+def scan_summary(findings: DataFrame) -> DataFrame:
+    """One row: findings, files with any, and how many are endpoints."""
+    ends = F.lit(False)
+    for p in ENDPOINT_RULES:
+        ends = ends | F.col("rule").startswith(p)
+    return findings.agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("files"), F.count_if(ends).alias("endpoints"))
+
+
+def for_display(findings: DataFrame) -> DataFrame:
+    """One finding for a path and secret, the first in the order of detectors and places."""
+    return first_of(findings, [F.col("path"), F.col("secret")], [F.col("stage_ord"), F.col("line_no"), F.col("col")])
+
+
+def probes_in_order(probes: DataFrame) -> DataFrame:
+    """Probes (param, interesting, status), the interesting ones first, then by status."""
+    return probes.orderBy(F.desc("interesting"), "status", "param")
+
+
+def rules_in_order(rules: DataFrame) -> DataFrame:
+    """Rules, the gravest first, then by name."""
+    return rules.orderBy(F.desc("severity"), "rule")
+
+
+def tech_band(confidence: Column) -> Column:
+    return F.when(confidence >= 95, "CRITICAL").when(confidence >= 80, "HIGH").when(confidence >= 60, "MEDIUM").otherwise("LOW")
+
+
 def by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy(category(F.col("rule")).alias("category")).agg(F.count(F.lit(1)).alias("findings"))
 

@@ -72,12 +72,14 @@ def _planted(k: Column, h: Column) -> list[Column]:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A secret of one of twenty kinds for each order; (k, path, content)."""
+    """A secret of one of twenty kinds for each order; (k, path, content).  A path has the entries of a part of a
+    thousand keys, so files stay small however many there are."""
     key = F.col("o_orderkey")
     k = key.cast("string")
     h = F.sha2(k, 256)
     path = F.concat(
-        F.lit("src/"), (key % 7).cast("string"), F.when(key % 5 == 0, "/test/").otherwise("/app/"), F.lit("f"), (key % 11).cast("string"), F.lit(".js")
+        F.lit("src/"), (key % 7).cast("string"), F.when(key % 3 == 0, "/test/").otherwise("/app/"), F.lit("f"),
+        F.floor(key / 1000).cast("string"), F.lit(".js"),
     )
     kind = F.array(*_planted(k, h))
     return spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(key.alias("k"), path.alias("path"), F.get(kind, (key % 20).cast("int")).alias("content"))
@@ -89,7 +91,7 @@ SQL = {
     "conversations": "SELECT concat_ws('/', conv_id::VARCHAR, turn::VARCHAR) AS path, text AS content FROM conversations",
     "benchmark": "SELECT item_id::VARCHAR AS path, text AS content FROM benchmark",
     "derived": r"""
-SELECT key AS k, 'src/' || (key % 7)::VARCHAR || CASE WHEN key % 5 = 0 THEN '/test/' ELSE '/app/' END || 'f' || (key % 11)::VARCHAR || '.js' AS path,
+SELECT key AS k, 'src/' || (key % 7)::VARCHAR || CASE WHEN key % 3 = 0 THEN '/test/' ELSE '/app/' END || 'f' || (key // 1000)::VARCHAR || '.js' AS path,
  CASE key % 20
   WHEN 0 THEN 'const k = "AKIA' || upper(h[1:16]) || '";'
   WHEN 1 THEN 'aws_secret_access_key = "' || h[1:40] || '"'

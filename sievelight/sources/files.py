@@ -8,34 +8,59 @@ import tarfile
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import extension
 from ..operators.decode import inflated
 from ..operators.post import first_of
 
 MAX_FILE = 5 << 20
 MAX_MEMBER = 10 << 20
 MAX_ARCHIVE = 100 << 20
-#: Folders that are not entered, unless others are given.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode")
+# Folders that are not entered, unless others are given; endings of text files, whatever is in them.
+SKIPPED = (
+    ".git", ".svn", ".hg", "__pycache__", "node_modules", ".venv", "venv", "env", ".tox", ".eggs", "eggs", ".mypy_cache", ".pytest_cache", ".cache", "target", "build",
+    "dist", ".next", ".nuxt", ".output", "vendor", ".bundle", ".gradle", "bin", "obj", ".terraform", ".serverless",
+)
+TEXT_ENDINGS = (
+    ".txt", ".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".env", ".sh", ".bash", ".zsh", ".fish", ".bat",
+    ".ps1", ".rb", ".rs", ".java", ".kt", ".swift", ".c", ".cpp", ".h", ".hpp", ".cs", ".php", ".pl", ".pm", ".lua", ".r", ".scala", ".clj", ".hs", ".erl", ".ex", ".exs",
+    ".md", ".rst", ".html", ".htm", ".xml", ".svg", ".css", ".scss", ".less", ".sql", ".graphql", ".gql", ".dockerfile", ".makefile", ".gradle", ".tf", ".tfvars", ".hcl",
+    ".properties", ".lock", ".log", ".csv", ".tsv", ".pem", ".key", ".cert", ".crt", ".pgp", ".gpg", ".asc",
+)
 _RUN = re.compile(rb"(?:[\x20-\x7e\n\t]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 
 
-def folder(spark: SparkSession, path: str, skipped=SKIPPED, exclude: str | None = None, max_size: int = MAX_FILE) -> DataFrame:
-    """(path, content): text files below a folder.  The size filter reaches the listing; a file with a zero
-    byte among its first 512 is no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_size)
-    files = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
+def _left_out(path: Column, length: Column, skipped, exclude: str | None, max_size: int) -> Column:
+    """Why a file is not read; null for those that are."""
+    out = F.when(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, skipped))), "folder")
     if exclude:
-        files = files.where(~F.col("path").rlike(exclude))
-    text = F.position(F.lit(b"\x00"), F.substring("content", 1, 512)) == 0
+        out = out.when(path.rlike(exclude), "excluded")
+    return out.when(length > max_size, "size")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def folder(spark: SparkSession, path: str, skipped=SKIPPED, exclude: str | None = None, max_size: int = MAX_FILE, endings=TEXT_ENDINGS) -> DataFrame:
+    """(path, content): text files below a folder: those of one of the endings, and others without a zero byte among
+    their first 512.  The size filter reaches the listing; left_out() tells what is not read."""
+    files = _listed(spark, path).where(F.col("length") <= max_size).where(_left_out(F.col("path"), F.col("length"), skipped, exclude, max_size).isNull())
+    text = F.lower(extension(F.col("path"))).isin(*endings) | (F.position(F.lit(b"\x00"), F.substring("content", 1, 512)) == 0)
     return files.where(text).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def left_out(spark: SparkSession, path: str, skipped=SKIPPED, exclude: str | None = None, max_size: int = MAX_FILE) -> DataFrame:
+    """(path, length, reason): files below a folder that folder() does not read; contents are not opened."""
+    reason = _left_out(F.col("path"), F.col("length"), skipped, exclude, max_size)
+    return _listed(spark, path).select("path", "length", reason.alias("reason")).where("reason is not null")
+
+
 def binaries(spark: SparkSession, path: str, max_size: int = MAX_ARCHIVE) -> DataFrame:
     """(path, content) with the bytes."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_size).select("path", "content")
+    return _listed(spark, path).where(F.col("length") <= max_size).select("path", "content")
 
 
 def _mapped(files: DataFrame, pieces) -> DataFrame:

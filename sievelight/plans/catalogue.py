@@ -2,79 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions import text as T
-from ..operators import decode, detect, post, scripts, surface, technology, trees
+from ..operators import decode, detect, maps, post, scripts, state, surface, technology, trees
 from ..sources import corpora
-from . import sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-#: Verdicts age towards this moment.
-NOW = "2026-01-01 00:00:00"
-
-
-def register(name: str, oracle: str | None = None):
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLE[name] = oracle
-        return f
-
-    return put
-
-
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a path as one file, in the order of their keys."""
-    rows = corpora.derived(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "content"))).alias("c"))
-    return rows.select("path", F.array_join(F.col("c.content"), "\n").alias("content"))
-
-
-CORPORA: dict[str, Query] = {
-    "documents": corpora.documents, "pages": corpora.pages, "conversations": corpora.conversations, "benchmark": corpora.benchmark,
-    "derived": lambda s, d: corpora.derived(s, d).select("path", "content"), "derived_files": derived_files,
-}
-
-
-def _unique(spark: SparkSession, d: str) -> DataFrame:
-    return post.deduplicated(detect.scan_rules(derived_files(spark, d)))
-
+from . import analysers, sql, states  # noqa: F401  (these register queries of their own)
+from .fixtures import CORPORA, derived_files, front_samples, sample_responses, samples_sql, signal_samples
+from .fixtures import lower_findings as _lower
+from .fixtures import unique_findings as _unique
+from .registry import NOW, ORACLE, QUERIES, register
 
-def _lower(spark: SparkSession, d: str) -> DataFrame:
-    return post.downgraded(_unique(spark, d))
+__all__ = ["ORACLE", "QUERIES"]
 
 
-for _c in ("documents", "pages", "conversations", "benchmark", "derived"):
+for _c in ("documents", "pages", "derived", "planted"):
 
     @register(f"rules_{_c}", sql.rules_query(_c))
     def _rules(spark, d, c=_c):
         return detect.scan_rules(CORPORA[c](spark, d)).select("path", "line_no", "rule", "severity", "secret", "context", "entropy")
 
 
-for _c in ("documents", "derived"):
+for _c in ("documents", "derived", "planted"):
 
     @register(f"entropy_tokens_{_c}", sql.entropy_tokens(_c))
     def _tokens(spark, d, c=_c):
         return detect.scan_entropy_tokens(CORPORA[c](spark, d)).select("path", "line_no", "secret", "entropy")
 
-    @register(f"contextual_entropy_{_c}", sql.contextual(_c))
-    def _contextual(spark, d, c=_c):
-        return detect.scan_contextual(CORPORA[c](spark, d)).select("path", "line_no", "secret", "entropy")
+
+@register("contextual_entropy_planted", sql.contextual("planted"))
+def _contextual(spark, d):
+    return detect.scan_contextual(CORPORA["planted"](spark, d)).select("path", "line_no", "secret", "entropy")
+
+
+for _c in ("derived", "planted"):
 
     @register(f"auth_headers_{_c}", sql.auth_headers(_c))
     def _auth(spark, d, c=_c):
         return detect.scan_auth_headers(CORPORA[c](spark, d)).select("path", "line_no", "rule", "severity", "secret")
 
 
-@register("url_query_secrets_pages", sql.url_secrets("pages"))
+@register("url_query_secrets_planted", sql.url_secrets("planted"))
 def _url(spark, d):
-    return detect.scan_url_secrets(corpora.pages(spark, d)).select("path", "line_no", "secret")
+    return detect.scan_url_secrets(CORPORA["planted"](spark, d)).select("path", "line_no", "secret")
+
+
+@register("rules_from_severity_derived", sql.findings("derived") + " SELECT path, line_no, rule, severity, secret FROM findings WHERE severity >= 4")
+def _grave(spark, d):
+    return detect.scan_rules(CORPORA["derived"](spark, d), min_severity=4).select("path", "line_no", "rule", "severity", "secret")
 
 
 @register("line_context_documents", sql.line_context("documents"))
@@ -119,20 +95,14 @@ def _link_risk(spark, d):
     return found.withColumn("risk", surface.risk(F.col("link")))
 
 
-@register("url_classes_pages", sql.classes("SELECT url FROM pages UNION ALL SELECT link FROM (" + _PAGE_LINKS + ")"))
-def _classes(spark, d):
-    pages = corpora.read(spark, d, "pages")
-    return surface.classified(pages.select("url").unionByName(surface.links(pages).distinct().select(F.col("link").alias("url"))))
-
-
 @register("host_counts_pages", "SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, count(*) AS pages FROM pages GROUP BY ALL")
 def _hosts(spark, d):
     return corpora.read(spark, d, "pages").groupBy(surface.origin(F.col("url")).alias("origin")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@register("storage_references_documents", sql.storage("documents"))
+@register("storage_references_planted", sql.storage("planted"))
 def _storage(spark, d):
-    return surface.storage_references(corpora.documents(spark, d))
+    return surface.storage_references(CORPORA["planted"](spark, d))
 
 
 _FINDING = "path, line_no, rule, severity, secret, context, entropy"
@@ -209,40 +179,53 @@ def _db(spark, d):
     return post.database_urls(detect.scan_rules(derived_files(spark, d)))
 
 
-# Verdicts: each event is one on the finding that its user's number picks.
+# Verdicts: each event is one on the finding of a part of all, which its user's number picks.
+_PARTS = 997
 _VERDICTS = f"""{sql.deduplicated("derived_files")}, f AS (SELECT {sql.FINGERPRINT} AS fingerprint, rule, path FROM unique_findings),
-n AS (SELECT *, row_number() OVER (ORDER BY fingerprint) - 1 AS i, count(*) OVER () AS total FROM (SELECT fingerprint, min(rule) AS rule, min(path) AS path FROM f GROUP BY fingerprint)),
+n AS (SELECT part, arg_min(rule, (fingerprint, rule, path)) AS rule, arg_min(path, (fingerprint, rule, path)) AS path FROM (SELECT *, ('0x' || left(fingerprint, 8))::BIGINT % {_PARTS} AS part FROM f) GROUP BY part),
 v AS (SELECT rule, {sql.file_pattern("path")} AS file_pattern, event_type <> 'purchase' AS fp,
- exp(-((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000.0) / 90.0) AS w FROM events JOIN n ON i = user_id % total),
+ exp(-((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000.0) / 90.0) AS w FROM events JOIN n ON part = user_id % {_PARTS}),
 w AS (SELECT rule, file_pattern, sum(CASE WHEN fp THEN 0.0 ELSE w END) AS tp, sum(CASE WHEN fp THEN w ELSE 0.0 END) AS fpw, count(*) AS samples FROM v GROUP BY ALL)"""
 
 
-def _known_findings(spark, d):
-    from pyspark.sql import Window as W
-
-    own = post.with_fingerprints(_unique(spark, d)).groupBy("fingerprint").agg(F.min("rule").alias("rule"), F.min("path").alias("path"))
-    return own.withColumn("i", F.row_number().over(W.orderBy("fingerprint")) - 1)
-
-
 def _weights(spark, d):
-    known = _known_findings(spark, d)
-    total = known.agg(F.count(F.lit(1)).alias("total"))
-    events = corpora.read(spark, d, "events").crossJoin(F.broadcast(total))  # one row
-    verdicts = events.withColumn("i", F.col("user_id") % F.col("total")).join(known.select("i", "fingerprint"), "i")
+    known = post.with_fingerprints(_unique(spark, d)).select("fingerprint", "rule", "path")
+    part = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long") % _PARTS
+    picked = known.groupBy(part.alias("part")).agg(F.min(F.struct("fingerprint", "rule", "path")).alias("x")).select("part", "x.*")
+    verdicts = corpora.read(spark, d, "events").withColumn("part", F.col("user_id") % _PARTS).join(picked, "part")
     verdicts = verdicts.select("fingerprint", F.when(F.col("event_type") == "purchase", "tp").otherwise("fp").alias("verdict"), F.col("ts").alias("created_at"))
-    return post.learned_weights(verdicts, known, F.lit(NOW).cast("timestamp"))
+    return post.learned_weights(verdicts, picked, F.lit(NOW).cast("timestamp"))
 
 
-@register(
-    "learned_weights",
-    _VERDICTS + f" SELECT rule, file_pattern, round(tp, 6) AS tp_weighted, round(fpw, 6) AS fp_weighted, samples, "
-    f"CASE WHEN samples >= 200 THEN 3 WHEN samples >= 50 THEN 2 WHEN samples >= 10 THEN 1 ELSE 0 END AS tier, round({sql.modifier('fpw', 'tp', 'samples', 'rule')}, 6) AS modifier FROM w",
+_WEIGHTS = (
+    _VERDICTS + ", lw AS (SELECT rule, file_pattern, tp, fpw, samples, "
+    f"CASE WHEN samples >= 200 THEN 3 WHEN samples >= 50 THEN 2 WHEN samples >= 10 THEN 1 ELSE 0 END AS tier, {sql.modifier('fpw', 'tp', 'samples', 'rule')} AS modifier FROM w)"
 )
+
+
+@register("learned_weights", _WEIGHTS + " SELECT rule, file_pattern, round(tp, 6) AS tp_weighted, round(fpw, 6) AS fp_weighted, samples, tier, round(modifier, 6) AS modifier FROM lw")
 def _learned(spark, d):
     w = _weights(spark, d)
     return w.select("rule", "file_pattern", *(F.round(c, 6).alias(c) for c in ("tp_weighted", "fp_weighted")), "samples", "tier", F.round("modifier", 6).alias("modifier"))
 
 
+@register(
+    "weights_report",
+    _WEIGHTS + " SELECT rule, file_pattern, trunc(tp)::INT AS tp, trunc(fpw)::INT AS fp, round((fpw + 5.0) / (fpw + tp + 10.0), 6) AS fp_ratio, round(modifier, 6) AS modifier, "
+    "['Experimental', 'Learning', 'Mature', 'Trusted'][tier + 1] AS tier FROM lw",
+)
+def _weights_report(spark, d):
+    return state.weights_report(_weights(spark, d)).withColumn("fp_ratio", F.round("fp_ratio", 6)).withColumn("modifier", F.round("modifier", 6))
+
+
+@register(
+    "findings_with_weights",
+    _WEIGHTS + f", g AS (SELECT *, {sql.file_pattern('path')} AS file_pattern FROM unique_findings) SELECT g.path, g.line_no, g.rule, coalesce(round(modifier, 6), 0.0) AS modifier, coalesce(tier, 0) AS tier FROM g LEFT JOIN lw USING (rule, file_pattern)",
+)
+def _with_weights(spark, d):
+    return post.with_weights(_unique(spark, d), _weights(spark, d)).select("path", "line_no", "rule", F.round("modifier", 6).alias("modifier"), "tier")
+
+
 @register(
     "confidence_bands",
     sql.findings("derived_files") + """, s AS (SELECT rule, 40 + CASE WHEN entropy >= 4.5 THEN 20 ELSE 0 END + CASE WHEN """
@@ -285,22 +268,15 @@ def _redacted(spark, d):
 _PRINTABLE = r"^[\x20-\x7E\t\n\r]*\z"
 
 
-@register(
-    "decoded_derived",
-    f"""WITH {sql.lines("derived_files")}, b AS (SELECT path, line_no, 'base64' AS tag, unnest(regexp_extract_all(line, '\\b[A-Za-z0-9+/]{{32,}}\\b', 0)) AS m FROM lines),
-h AS (SELECT path, line_no, 'hex' AS tag, unnest(regexp_extract_all(line, '\\b(?:[0-9a-fA-F]{{2}}){{10,}}\\b', 0)) AS m FROM lines),
-raw AS (SELECT path, line_no, tag, TRY(from_base64(m || repeat('=', (-length(m)) % 4 + CASE WHEN length(m) % 4 = 0 THEN 0 ELSE 4 END))) AS data FROM b WHERE length(m) % 4 <> 1
- UNION ALL SELECT path, line_no, tag, TRY(unhex(m)) FROM h WHERE m = lower(m) OR m = upper(m))
-SELECT path, line_no, tag, decode(data) AS text FROM raw WHERE data IS NOT NULL AND regexp_full_match(hex(data), '(?:[2-6][0-9A-F]|7[0-9A-E]|09|0A|0D)+')""",
-)
+@register("decoded_derived", f"WITH {sql.decoded_pieces('derived_files')} SELECT path, line_no, tag, text FROM pieces")
 def _decoded(spark, d):
     out = decode.decoded(derived_files(spark, d), ("base64", "hex"), depth=1).where(F.col("text").rlike(_PRINTABLE) & (F.col("text") != ""))
     return out.select("path", "line_no", "tag", "text")
 
 
-@register("scan_decoded_derived")
+@register("scan_decoded_derived", sql.scan_decoded("derived_files"))
 def _scan_decoded(spark, d):
-    return decode.scan_decoded(derived_files(spark, d)).select("path", "line_no", "rule", "severity", "secret", "entropy")
+    return decode.scan_decoded(derived_files(spark, d)).select("path", "line_no", "rule", "severity", "secret")
 
 
 _JSON_SQL = """SELECT o_orderkey::VARCHAR AS path, '{"config":{"api_key":"' || sha256(o_orderkey::VARCHAR)[1:20] || '","items":["' || o_orderpriority || '",{"password":"' || o_orderkey || '0000000"}]},"n":' || o_custkey || ',"token":"' || sha256(o_custkey::VARCHAR)[1:12] || '"}' AS content FROM orders"""
@@ -327,23 +303,21 @@ def _leaves(spark, d):
 @register(
     "json_secrets",
     _JSON_LEAVES + f""", k AS (SELECT *, CASE WHEN contains(key_path, '.') THEN regexp_extract(key_path, '\\.([^.]*)$', 1) ELSE key_path END AS key, {sql.entropy("value")} AS entropy FROM leaves)
-SELECT path, key_path, 'json_' || key AS rule, left(value, 500) AS secret, entropy FROM k
+SELECT path, key_path, 'json_' || key AS rule, value AS secret, entropy FROM k
 WHERE regexp_matches(key, {sql.quoted(trees.SECRET_KEY)}) AND length(value) >= 8 AND NOT regexp_full_match(value, '[0-9]+') AND entropy >= 3.0""",
 )
 def _json_secrets(spark, d):
     return trees.json_secrets(_json_docs(spark, d))
 
 
-
-
-@register("script_joined_arrays", f"SELECT path, h[25:34] || '-' || h[35:46] AS text FROM (SELECT path, k, sha256(k::VARCHAR) AS h FROM ({sql.CORPORA['derived']})) WHERE k % 20 = 19")
+@register("script_joined_arrays", f"WITH {sql.rebuilt('derived_files')} SELECT path, line_no, text FROM rebuilt WHERE kind = 'join'")
 def _arrays(spark, d):
-    return trees.joined_arrays(CORPORA["derived"](spark, d))
+    return trees.joined_arrays(derived_files(spark, d))
 
 
-@register("script_constants", f"SELECT path, 'a' AS name, arg_max(sha256(k::VARCHAR)[1:24], k) AS value FROM ({sql.CORPORA['derived']}) WHERE k % 20 IN (0, 19) GROUP BY path HAVING count(*) FILTER (WHERE k % 20 = 19) > 0")
+@register("script_constants", f"WITH {sql.rebuilt('derived_files')} SELECT path, name, value FROM consts")
 def _constants(spark, d):
-    return trees.constants(derived_files(spark, d).where("content like '%var a = %'")).where("name = 'a'")
+    return trees.constants(derived_files(spark, d))
 
 
 # ---- captured responses --------------------------------------------------------------------------------
@@ -352,32 +326,42 @@ _RESPONSES = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'http' ELSE 'https' END
  CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'default-src *' WHEN 2 THEN 'script-src ''unsafe-inline'' ''unsafe-eval''' ELSE 'frame-ancestors none' END AS csp,
  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'max-age=100; preload' ELSE 'max-age=63072000' END AS hsts,
  CASE o_orderkey % 2 WHEN 0 THEN 'nosniff' ELSE '' END AS xcto, CASE o_orderkey % 7 WHEN 0 THEN '*' WHEN 1 THEN 'https://a' ELSE '' END AS cors,
- CASE o_orderkey % 6 WHEN 0 THEN 'nginx/1.25' WHEN 1 THEN 'cloudflare' WHEN 2 THEN 'BIG-IP' ELSE '' END AS server, CASE o_orderkey % 11 WHEN 0 THEN 'abc' ELSE '' END AS ray FROM orders"""
+ CASE o_orderkey % 6 WHEN 0 THEN 'nginx/1.25' WHEN 1 THEN 'cloudflare' WHEN 2 THEN 'BIG-IP' ELSE '' END AS server, CASE o_orderkey % 11 WHEN 0 THEN 'abc' ELSE '' END AS ray,
+ CASE o_orderkey % 13 WHEN 0 THEN 'True' WHEN 7 THEN 'true' ELSE '' END AS creds, CASE o_orderkey % 17 WHEN 0 THEN 'PHP/8.1' WHEN 1 THEN 'Perl' ELSE '' END AS powered,
+ CASE o_orderkey % 8 WHEN 1 THEN 'no-referrer' ELSE '' END AS referrer, o_orderkey % 9 AS jar FROM orders"""
 
 
 def _responses(spark, d):
     k = F.col("o_orderkey")
 
     def pick(n, *values):
-        return F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+        return F.coalesce(F.get(F.array(*map(F.lit, values)), (k % n).cast("int")), F.lit(""))
 
     url = F.concat(F.when(k % 3 == 0, "http").otherwise("https"), F.lit("://h"), k.cast("string"), F.lit(".example.com/x"))
     last = "frame-ancestors none"
     headers = F.create_map(
         F.lit("content-security-policy"), pick(5, "", "default-src *", "script-src 'unsafe-inline' 'unsafe-eval'", last, last),
         F.lit("strict-transport-security"), pick(4, "", "max-age=100; preload", "max-age=63072000", "max-age=63072000"),
-        F.lit("x-content-type-options"), pick(2, "nosniff", ""), F.lit("access-control-allow-origin"), pick(7, "*", "https://a", "", "", "", "", ""),
-        F.lit("server"), pick(6, "nginx/1.25", "cloudflare", "BIG-IP", "", "", ""), F.lit("cf-ray"), F.when(k % 11 == 0, "abc").otherwise(""),
+        F.lit("x-content-type-options"), pick(2, "nosniff"), F.lit("access-control-allow-origin"), pick(7, "*", "https://a"),
+        F.lit("server"), pick(6, "nginx/1.25", "cloudflare", "BIG-IP"), F.lit("cf-ray"), pick(11, "abc"), F.lit("access-control-allow-credentials"), pick(13, "True", *[""] * 6, "true"),
+        F.lit("x-powered-by"), pick(17, "PHP/8.1", "Perl"), F.lit("referrer-policy"), pick(8, "", "no-referrer"),
     )
-    cookies = F.array().cast("array<struct<name:string,secure:boolean,http_only:boolean,same_site:string>>")
-    return corpora.read(spark, d, "orders").select(url.alias("url"), headers.alias("headers"), cookies.alias("cookies"))
+
+    def cookie(secure, http_only, same_site):
+        return F.struct(F.lit("c").alias("name"), F.lit("v").alias("value"), F.lit(secure).alias("secure"), F.lit(http_only).alias("http_only"), F.lit(same_site).alias("same_site"))
+
+    none = F.array().cast("array<struct<name:string,value:string,secure:boolean,http_only:boolean,same_site:string>>")
+    jar = F.when(k % 9 == 1, F.array(cookie(False, False, ""))).when(k % 9 == 2, F.array(cookie(False, False, ""), cookie(True, False, "Lax"))).when(k % 9 == 3, F.array(cookie(False, True, "odd"))).otherwise(none)
+    return corpora.read(spark, d, "orders").select(url.alias("url"), headers.alias("headers"), jar.alias("cookies"))
 
 
 _CODES = {
     "missing-csp": (3, "csp = ''"), "weak-csp-wildcard": (2, "contains(csp, 'default-src *')"), "weak-csp-unsafe-inline": (2, "contains(csp, '''unsafe-inline''')"),
     "weak-csp-unsafe-eval": (2, "contains(csp, '''unsafe-eval''')"), "missing-hsts": (2, "url LIKE 'https%' AND hsts = ''"), "weak-hsts": (1, "url LIKE 'https%' AND hsts LIKE 'max-age=100;%'"),
-    "missing-xfo": (2, "NOT contains(csp, 'frame-ancestors')"), "missing-xcto": (1, "xcto <> 'nosniff'"), "missing-referrer-policy": (0, "true"), "missing-permissions-policy": (0, "true"),
-    "cors-wildcard": (2, "cors = '*'"), "server-version-disclosure": (1, "regexp_matches(server, '[0-9]+\\.[0-9]+')"),
+    "missing-xfo": (2, "NOT contains(csp, 'frame-ancestors')"), "missing-xcto": (1, "xcto <> 'nosniff'"), "missing-referrer-policy": (0, "referrer = ''"), "missing-permissions-policy": (0, "true"),
+    "cors-wildcard": (2, "cors = '*' AND lower(creds) <> 'true'"), "cors-wildcard-credentials": (3, "cors = '*' AND lower(creds) = 'true'"),
+    "server-version-disclosure": (1, "regexp_matches(server, '[0-9]+\\.[0-9]+')"), "x-powered-by-disclosure": (1, "powered = 'PHP/8.1'"),
+    "cookie-no-secure": (2, "url LIKE 'https%' AND jar IN (1, 3)"), "cookie-no-httponly": (1, "url LIKE 'https%' AND jar IN (1, 2)"), "cookie-no-samesite": (1, "url LIKE 'https%' AND jar IN (1, 3)"),
 }
 
 
@@ -386,12 +370,30 @@ def _headers(spark, d):
     return surface.header_findings(_responses(spark, d))
 
 
+_PAGES_OF_ORIGIN = "SELECT 'https://h' || (o_orderkey % 50) || '.example.com/p' || lpad(o_orderkey::VARCHAR, 9, '0') AS url, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'default-src x' END AS csp FROM orders"
+
+
 @register(
-    "response_fronts",
-    f"WITH r AS ({_RESPONSES}) SELECT url, 'cloudflare' AS vendor FROM r WHERE contains(lower(server), 'cloudflare') OR ray <> '' UNION ALL SELECT url, 'bigip' FROM r WHERE contains(lower(server), 'big-ip')",
+    "first_response_of_origin",
+    f"WITH r AS ({_PAGES_OF_ORIGIN}), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '^(https?://[^/?#]+)', 1) ORDER BY url) = 1) SELECT url, 'missing-csp' AS code FROM f WHERE csp = ''",
 )
+def _first_response(spark, d):
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://h"), (k % 50).cast("string"), F.lit(".example.com/p"), F.lpad(k.cast("string"), 9, "0"))
+    headers = F.create_map(F.lit("content-security-policy"), F.when(k % 2 == 0, "").otherwise("default-src x"))
+    jar = F.array().cast("array<struct<name:string,value:string,secure:boolean,http_only:boolean,same_site:string>>")
+    rows = corpora.read(spark, d, "orders").select(url.alias("url"), headers.alias("headers"), jar.alias("cookies"))
+    return surface.header_findings(rows).where("code = 'missing-csp'").select("url", "code")
+
+
+@register("web_signals", sql.signals(samples_sql(signal_samples())))
+def _signals(spark, d):
+    return technology.web_signals(sample_responses(spark, d, signal_samples()))
+
+
+@register("response_fronts", sql.fronts(samples_sql(front_samples())))
 def _fronts(spark, d):
-    return surface.fronts(_responses(spark, d))
+    return surface.fronts(sample_responses(spark, d, front_samples()))
 
 
 # ---- technologies and scripts --------------------------------------------------------------------------
@@ -401,12 +403,12 @@ def _fronts(spark, d):
     "web_technologies",
     f"""WITH r AS ({_RESPONSES}), s AS (
  SELECT url, 'nginx' AS t, 'server' AS c, 60 AS conf, 1 AS sev, '1.25' AS v FROM r WHERE server LIKE 'nginx%' UNION ALL SELECT url, 'cloudflare', 'infrastructure', 70, 1, '' FROM r WHERE server = 'cloudflare'
- UNION ALL SELECT url, 'cloudflare', 'infrastructure', 60, 1, '' FROM r WHERE ray <> '')
+ UNION ALL SELECT url, 'cloudflare', 'infrastructure', 60, 1, '' FROM r WHERE ray <> ''
+ UNION ALL SELECT url, 'php', 'language', 80, 1, '8.1' FROM r WHERE powered LIKE 'PHP%' UNION ALL SELECT url, 'perl', 'language', 80, 1, '' FROM r WHERE powered = 'Perl')
 SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, t AS technology, least(sum(conf), 99)::INT AS confidence, max(sev) AS severity, min(c) AS category, max(v) AS version FROM s GROUP BY ALL HAVING sum(conf) >= 60""",
 )
 def _tech(spark, d):
-    cookies = "array<struct<name:string,value:string,secure:boolean,http_only:boolean,same_site:string>>"
-    return technology.web_technologies(_responses(spark, d).withColumn("body", F.lit("")).withColumn("cookies", F.array().cast(cookies)))
+    return technology.web_technologies(_responses(spark, d).withColumn("body", F.lit("")))
 
 
 @register(
@@ -415,38 +417,27 @@ def _tech(spark, d):
     f"FROM (WITH {sql.lines('derived_files')} SELECT * FROM lines)) GROUP BY ALL",
 )
 def _requests(spark, d):
-    return scripts.requests(derived_files(spark, d)).drop("headers")
-
+    return scripts.requests(derived_files(spark, d)).drop("headers", "api_keys")
 
-def _facts_sql() -> str:
-    kinds = {"env_meta": "env", "module": "endpoint", "route": "endpoint", "todo": "comment_leak"}
-    keep = {
-        "module": "(contains(v, '/') OR starts_with(v, '.'))", "todo": "(contains(v, 'key') OR contains(v, 'token') OR contains(v, 'secret') OR contains(v, 'password'))",
-        "config_secret": "(strlen(v) > 5 AND v NOT IN ('xxx', 'your_key_here', 'CHANGE_ME'))", "route": "(starts_with(v, '/') AND NOT starts_with(v, '//'))",
-    }
-    parts = [
-        f"SELECT path, line_no, '{kinds.get(k, k)}' AS kind, {chr(39) + 'IMPORT_META_' + chr(39) + ' || v' if k == 'env_meta' else 'v'} AS value FROM "
-        f"(SELECT path, line_no, {sql.trimmed('m')} AS v FROM (SELECT path, line_no, unnest(regexp_extract_all(line, {sql.quoted(p)}, 1)) AS m FROM lines)) WHERE v <> '' AND {keep.get(k, 'true')}"
-        for k, p in scripts.FACTS
-    ]
-    return f"WITH {sql.lines('derived_files')}, f AS (" + " UNION ALL ".join(parts) + ") SELECT path, kind, value, min(line_no) AS line_no FROM f GROUP BY ALL"
 
+for _c in ("derived_files", "planted"):
 
-@register("script_facts", _facts_sql())
-def _facts(spark, d):
-    return scripts.facts(derived_files(spark, d))
+    @register("script_facts" if _c == "derived_files" else f"script_facts_{_c}", sql.facts(_c))
+    def _facts(spark, d, c=_c):
+        return scripts.facts(CORPORA[c](spark, d))
 
 
 @register(
     "crawl_pages",
     "WITH RECURSIVE e AS (SELECT DISTINCT page AS url, link FROM (" + _PAGE_LINKS + ") UNION SELECT link, '/x' || (length(link) % 7) FROM (" + _PAGE_LINKS + ") WHERE length(link) % 3 = 0), "
-    "r(url, depth) AS (SELECT url, 0 FROM (SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0) UNION SELECT e.link, r.depth + 1 FROM r JOIN e USING (url) WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
+    "r(url, depth) AS (SELECT url, 0 FROM (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^(https?://[^/?#]+)', 1)) UNION SELECT e.link, r.depth + 1 FROM r JOIN e USING (url) WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
 )
 def _crawl(spark, d):
     pages = corpora.read(spark, d, "pages")
     own = surface.links(pages).distinct()
     more = own.where(F.length("link") % 3 == 0).select(F.col("link").alias("url"), F.concat(F.lit("/x"), (F.length("link") % 7).cast("string")).alias("link"))
-    return scripts.crawl(pages.where("page_id % 2 = 0").select("url"), own.union(more).distinct())
+    entry = pages.groupBy(surface.origin(F.col("url")).alias("o")).agg(F.min("url").alias("url"))  # a host's first page
+    return scripts.crawl(entry.select("url"), own.union(more).distinct())
 
 
 # ---- control files and manifests, one for each nation or part ------------------------------------------
@@ -484,31 +475,36 @@ def _sitemaps(spark, d):
 
 @register(
     "openapi_endpoints",
-    "SELECT n_name AS path, '/v' || n_nationkey || r || ' [' || m || ']' AS endpoint FROM nation, (VALUES ('/users', 'GET'), ('/users', 'POST'), ('/items', 'GET')) AS t(r, m)",
+    "SELECT n_name AS path, n_name || '/v' || n_nationkey || r || ' [' || m || ']' AS endpoint FROM nation, (VALUES ('/users', 'GET'), ('/users', 'POST'), ('/items', 'GET')) AS t(r, m)",
 )
 def _openapi(spark, d):
     own = _nation_files(spark, d, '{"basePath": "/v', lambda k, n: k, '", "paths": {"/users": {"get": {"a": 1}, "post": {}}, "/items": {"get": {}}}}')
-    return trees.openapi_endpoints(own)
+    return trees.openapi_endpoints(own).select("path", "endpoint")
 
 
 @register("source_map_files", "SELECT n_name AS path, s AS source, c || CASE WHEN c = '' THEN '' ELSE n_nationkey::VARCHAR END AS content FROM nation, (VALUES ('a.js', 'x'), ('b.js', '')) AS t(s, c)")
 def _maps(spark, d):
     own = _nation_files(spark, d, '{"version": 3, "sources": ["a.js", "b.js", "a.js"], "sourcesContent": ["x', lambda k, n: k, '", null, "later"]}')
-    return trees.source_map_files(own)
+    return maps.source_map_files(own).drop("full_path")
 
 
-_MANIFESTS = """SELECT p_partkey, 'p' || p_partkey || '/' || CASE p_partkey % 3 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' ELSE 'go.mod' END AS path FROM part"""
+_MANIFESTS = """SELECT p_partkey, 'p' || p_partkey || '/' || ['package.json', 'requirements.txt', 'go.mod', 'Cargo.toml', 'yarn.lock', 'package-lock.json', 'package.json'][p_partkey % 7 + 1] AS path FROM part"""
 
 
 @register(
     "package_entries",
-    f"""WITH m AS ({_MANIFESTS}) SELECT path, 2 AS line_no, '"a": "*",' AS name, true AS mutable FROM m WHERE p_partkey % 3 = 0
- UNION ALL SELECT path, 4, 'b @ git+https://x>=1', true FROM m WHERE p_partkey % 3 = 1 UNION ALL SELECT path, 5, 'c v1 // indirect', false FROM m WHERE p_partkey % 3 = 2""",
+    f"""WITH m AS ({_MANIFESTS}) SELECT path, line_no, name, mutable, '' AS secret FROM m JOIN (VALUES
+ (0, 2, '"a": "*",', true), (0, 9, 'x = "*"', true), (0, 11, 'y = {{ git = "u", v = "*" }}', true), (0, 12, 'z = {{ path = "*" }}', true),
+ (5, 2, '"a": "*",', true), (5, 9, 'x = "*"', true), (5, 11, 'y = {{ git = "u", v = "*" }}', true), (5, 12, 'z = {{ path = "*" }}', true),
+ (1, 4, 'b @ git+https://x>=1', true), (1, 13, 'resolved "https://r/x@1.tgz"', false), (2, 5, 'c v1 // indirect', false), (3, 11, 'y = {{ git = "u", v = "*" }}', true),
+ (4, 13, 'resolved "https://r/x@1.tgz"', false)) AS e(i, line_no, name, mutable) ON p_partkey % 7 = i
+ UNION ALL SELECT path, 14, '.npmrc', false, 'tok' || p_partkey FROM m WHERE p_partkey % 7 = 6""",
 )
 def _packages(spark, d):
     key = F.col("p_partkey")
-    name = F.get(F.array(*map(F.lit, ("package.json", "requirements.txt", "go.mod"))), (key % 3).cast("int"))
-    content = F.lit('{\n"a": "*",\n"b": "1",\nb @ git+https://x>=1\nc v1 // indirect\n// d // indirect\n# e @')
+    name = F.get(F.array(*map(F.lit, ("package.json", "requirements.txt", "go.mod", "Cargo.toml", "yarn.lock", "package-lock.json", "package.json"))), (key % 7).cast("int"))
+    text = '{\n"a": "*",\n"b": "1",\nb @ git+https://x>=1\nc v1 // indirect\n// d // indirect\n# e @\n[package]\nx = "*"\n[dependencies]\ny = { git = "u", v = "*" }\nz = { path = "*" }\n  resolved "https://r/x@1.tgz"'
+    content = F.concat(F.lit(text), F.when(key % 7 == 6, F.concat(F.lit("\n//registry.npmjs.org/:_authToken = tok"), key.cast("string"))).otherwise(""))
     own = corpora.read(spark, d, "part").select(F.concat(F.lit("p"), key.cast("string"), F.lit("/"), name).alias("path"), content.alias("content"))
     return surface.package_entries(own)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import entropy as E
 from sievelight.functions import regex
 from sievelight.functions import text as T
-from sievelight.operators import decode, detect, post, surface, trees
+from sievelight.operators import decode, detect, maps, post, surface, trees
 from sievelight.operators.rule_table import RULES
 from sievelight.sources import files, reports
 
@@ -224,12 +224,17 @@ def test_trees(spark):
     assert [(r["rule"], r["secret"]) for r in trees.json_secrets(rows).collect()] == [("json_password", "hunter2-Wolf9x")]
     js = docs(spark, ("s.js", 'var a = "first-part-of-it-";\nvar b = \'second\';\nvar c = a + b; x(a + nope); y = ["p","q","r"].join("-"); z = ok ? "aaaaaaaaaaaaaaaaaaaaaa" : "bbbbbbbbbbbbbbbbbbbbbb"; t = `plain text of twenty or more`'))
     assert [(r["expr"], r["text"]) for r in trees.propagated(js).collect()] == [("a + b", "first-part-of-it-second")]
-    assert [r["text"] for r in trees.joined_arrays(js).collect()] == ["p-q-r"]
+    assert trees.joined_arrays(js).count() == 0  # under 20 bytes
+    long = docs(spark, ("s.js", 'y = ["pppppppppp", "q\\"q", \'rrrrrrrr\'] . join ( "::" )\nz = "first half of it " + \'and the rest\' + "!"; w = "{a: b, c: ddddddd}" + "eeeeeeeeee"'))
+    assert [(r["line_no"], r["text"]) for r in trees.joined_arrays(long).collect()] == [(1, 'pppppppppp::q\\"q::rrrrrrrr')]
+    assert [(r["line_no"], r["text"]) for r in trees.concatenated(long).collect()] == [(2, "first half of it and the rest!")]
+    access = docs(spark, ("s.js", 'var a = ["short", "an element of twenty or more"];\nvar a = ["x", "the later one of the same name"];\nuse(a[1], a[0], a[9], b[1]);'))
+    assert [(r["line_no"], r["expr"], r["text"]) for r in trees.accessed(access).collect()] == [(3, "a[1]", "the later one of the same name")]
     assert len(trees.branches(js).collect()) == 2 and [r["text"] for r in trees.templates(js).collect()] == ["plain text of twenty or more"]
-    maps = docs(spark, ("m", json.dumps({"sources": ["a", "b", "a"], "sourcesContent": ["1", None, "3"]})))
-    assert {(r["source"], r["content"]) for r in trees.source_map_files(maps).collect()} == {("a", "1"), ("b", "")}
+    rows2 = docs(spark, ("m", json.dumps({"sources": ["a", "b", "a"], "sourcesContent": ["1", None, "3"]})))
+    assert {(r["source"], r["content"]) for r in maps.source_map_files(rows2).collect()} == {("a", "1"), ("b", "")}
     spec = docs(spark, ("o", json.dumps({"basePath": "/v1", "paths": {"/u": {"get": {"x": 1}, "post": {}}}})))
-    assert {r["endpoint"] for r in trees.openapi_endpoints(spec).collect()} == {"/v1/u [GET]", "/v1/u [POST]"}
+    assert {r["endpoint"] for r in trees.openapi_endpoints(spec).collect()} == {"o/v1/u [GET]", "o/v1/u [POST]"}
 
 
 def test_files_and_reports(spark, tmp_path):
@@ -260,6 +265,11 @@ def test_files_and_reports(spark, tmp_path):
     log = json.loads(reports.sarif(found))
     assert len(log["runs"][0]["results"]) == 2 and "abcdefgh" not in json.dumps(log)
     assert re.search(r"and 1 more", reports.top_payload(found, 1)) and "abcd****" in reports.markdown(found)
+    assert {r["reason"] for r in files.left_out(spark, str(root), max_size=200).collect()} == {"folder", "size"}
+    (root / "zero.txt").write_bytes(b"text\x00with a zero")
+    assert "zero.txt" in {r["path"].rsplit("/", 1)[1] for r in files.folder(spark, str(root)).collect()}  # the ending tells
+    (root / "words").write_text("one\n\n# why\ntwo\none\n")
+    assert sorted(r["value"] for r in files.word_list(spark, str(root / "words")).collect()) == ["one", "two"]
 
 
 def test_stream(spark, tmp_path):

@@ -49,7 +49,7 @@ def as_findings(df: DataFrame, stage: int, method: str, confidence: int | Column
     return df.select(*(own[c].alias(c) if c in own else F.col(c) for c in FINDING))
 
 
-def scan_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0) -> DataFrame:
+def scan_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0, min_entropy: float = MIN_ENTROPY) -> DataFrame:
     """Regular-expression rules over each line; the secret is the whole match."""
     rules = [r for r in rules if severity_of(r.severity) >= min_severity]
     found = line_matches(docs.select("path", "content"), [(r.name, r.pattern) for r in rules])
@@ -57,7 +57,7 @@ def scan_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int
     found = found.join(F.broadcast(meta), "ord").withColumn("secret", F.col("value")).withColumn("entropy", E.shannon(F.col("value")))
     low = F.lower("line")
     gate = ~F.col("requires_context") | F.exists("keywords", lambda k: low.contains(k))
-    found = found.where(gate & (F.col("entropy") >= MIN_ENTROPY))
+    found = found.where(gate & (F.col("entropy") >= min_entropy))
     return as_findings(found, 1, "regex", 60, context=truncated(trimmed(F.col("line"))))
 
 
@@ -118,11 +118,11 @@ def _tokens(docs: DataFrame, gate) -> DataFrame:
     return each.withColumn("col", first.cast("int"))
 
 
-def scan_entropy_tokens(docs: DataFrame) -> DataFrame:
-    """Random-looking tokens in lines that speak of secrets."""
+def scan_entropy_tokens(docs: DataFrame, media: bool = False) -> DataFrame:
+    """Random-looking tokens in lines that speak of secrets; beginnings of images and fonts count if media."""
     tok = _tokens(docs, E.secret_context)
     s = F.col("secret")
-    tok = tok.where(E.token_match(s) & ~E.media(s))
+    tok = tok.where(E.token_match(s) if media else E.token_match(s) & ~E.media(s))
     return as_findings(tok, 2, "entropy+context", 30, rule=F.lit("high_entropy_token"), severity=F.lit(2), entropy=E.by_alphabet(s), context=truncated(trimmed(F.col("line"))))
 
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decode, detect, scripts, surface, technology, trees
+from ..functions import entropy as E
+from . import decode, detect, post, scripts, surface, technology, trees
 from .detect import as_findings
 from .post import tech_band
 from .rule_table import RULES, Rule
@@ -154,3 +155,31 @@ def scan_pages(captured: DataFrame, responses: DataFrame | None = None, cfg: Sca
     if responses is not None:
         parts.append(response_findings(responses))
     return _all(parts)
+
+
+def judged_scan(docs: DataFrame, cfg: Scan = Scan(), results: DataFrame | None = None) -> DataFrame:
+    """Findings with confidence_band and verification_status: surfaces, rules (of any entropy), decoded pieces, random
+    tokens as low findings, and credential pairs; judged, then downgraded, then each once.
+
+    results: (secret, valid, state) of a verification, if there was one."""
+    docs = docs.select("path", "content")
+    tokens = detect.scan_entropy_tokens(docs, media=True)
+    tokens = tokens.withColumn("rule", F.lit("entropy_token")).withColumn("severity", F.lit(1)).withColumn("entropy", E.shannon(F.col("secret")))
+    parts = [surface_findings(docs, cfg.min_severity), detect.scan_rules(docs, cfg.rules, cfg.min_severity, 0.0), tokens]
+    if cfg.decoders:
+        parts.append(decode.scan_decoded(docs, cfg.decoders, cfg.rules, cfg.min_severity))
+    found = _all(parts)
+    pairs = post.credential_pairs(found)
+    span = F.abs(F.col("line_a") - F.col("line_b")).cast("string")
+    pairs = _plain(
+        pairs, 40, "pair", line_no=F.col("line_a"), rule=F.col("pair"), severity=F.lit(0), context=F.col("pair"),
+        secret=F.concat("rule_a", F.lit(" + "), "rule_b", F.lit(" found within "), span, F.lit(" lines")),
+    )
+    every = found.unionByName(pairs)
+    if results is None:
+        every = every.withColumn("verification_status", F.lit(""))
+    else:
+        every = post.verification(every, results)
+    entropy = F.when(F.col("entropy") == 0, E.shannon(F.col("secret"))).otherwise(F.col("entropy"))
+    score = post.confidence_score(F.col("rule") != "entropy_token", entropy, F.lit(False), F.col("verification_status") == "VERIFIED", F.lit(False))
+    return post.deduplicated(post.downgraded(every.withColumn("confidence_band", post.band(score))))

@@ -35,7 +35,8 @@ _DIGITS = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmno
 def _sources(maps: DataFrame) -> DataFrame:
     """(path, i, root, source, content): every entry of each map."""
     m = maps.select("path", F.from_json("content", _MAP).alias("m"))
-    each = m.select("path", F.coalesce("m.sourceRoot", F.lit("")).alias("root"), F.posexplode(F.arrays_zip(F.col("m.sources").alias("source"), F.col("m.sourcesContent").alias("content"))).alias("i", "f"))
+    contents = F.coalesce("m.sourcesContent", F.array().cast("array<string>"))
+    each = m.select("path", F.coalesce("m.sourceRoot", F.lit("")).alias("root"), F.posexplode(F.arrays_zip(F.col("m.sources").alias("source"), contents.alias("content"))).alias("i", "f"))
     return each.select("path", "i", "root", F.col("f.source").alias("source"), F.coalesce("f.content", F.lit("")).alias("content")).where("source is not null and source != ''")
 
 

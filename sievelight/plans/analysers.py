@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decode, findings, links, maps, scripts, surface, trees
+from ..operators import decode, findings, links, maps, post, scripts, surface, trees
 from ..sources import corpora, rules_file
 from . import sql
 from .fixtures import CORPORA, planted, quoted
@@ -144,12 +144,12 @@ def _endpoint_findings(spark, d):
     return findings.endpoint_findings(planted(spark, d)).select(*_SHOWN, "risk")
 
 
-@register(
-    "surface_findings_planted",
-    f"""WITH c AS ({_CALLS}), ends AS (SELECT path, secret AS url, line_no FROM ({sql.endpoint_findings("planted")})), calls AS (SELECT path, 'https://b.example.com/' || k AS url FROM c UNION ALL SELECT path, '/z/' || k FROM c
+_SURFACE = f"""WITH c AS ({_CALLS}), ends AS (SELECT path, secret AS url, line_no FROM ({sql.endpoint_findings("planted")})), calls AS (SELECT path, 'https://b.example.com/' || k AS url FROM c UNION ALL SELECT path, '/z/' || k FROM c
  UNION ALL SELECT path, 'https://api.example.com/v1/users/' || k FROM c), u AS (SELECT path, url, line_no FROM ends UNION ALL SELECT path, url, 0 FROM calls ANTI JOIN ends USING (path, url)),
- k AS ({sql.classes("SELECT DISTINCT url FROM u")}) SELECT u.path, u.line_no, 'attack_surface_' || category AS rule, severity, u.url AS secret FROM u JOIN k USING (url)""",
-)
+ k AS ({sql.classes("SELECT DISTINCT url FROM u")}) SELECT u.path, u.line_no, 'attack_surface_' || category AS rule, severity, u.url AS secret FROM u JOIN k USING (url)"""
+
+
+@register("surface_findings_planted", _SURFACE)
 def _surface(spark, d):
     return findings.surface_findings(planted(spark, d)).select(*_SHOWN)
 
@@ -270,8 +270,8 @@ def _shown(query: str) -> str:
 
 
 _FILES = " UNION ALL ".join(map(_shown, (
-    sql.findings("planted") + " SELECT * FROM findings", sql.entropy_tokens("planted").replace("SELECT path, line_no, secret, entropy FROM t", "SELECT path, line_no, 'high_entropy_token' AS rule, 2 AS severity, secret FROM t"),
-    sql.contextual("planted").replace("SELECT path, line_no, secret, entropy FROM t", "SELECT path, line_no, 'contextual_entropy_secret' AS rule, 3 AS severity, secret FROM t"), sql.auth_headers("planted"),
+    sql.findings("planted") + " SELECT * FROM findings", sql.entropy_tokens("planted", "path, line_no, 'high_entropy_token' AS rule, 2 AS severity, secret"),
+    sql.contextual("planted", "path, line_no, 'contextual_entropy_secret' AS rule, 3 AS severity, secret"), sql.auth_headers("planted"),
     f"SELECT *, 'url_query_secret' AS rule, 3 AS severity FROM ({sql.url_secrets('planted')})", sql.multiline("planted"), sql.scan_decoded("planted"), sql.json_findings("planted"), sql.scan_rebuilt("planted"),
     sql.endpoint_findings("planted"), sql.script_findings("planted"),
 )))
@@ -326,3 +326,36 @@ def _own_rules(spark, d):
     from ..operators import detect
 
     return detect.scan_rules(CORPORA["documents"](spark, d), rules_file.from_text(_OWN_RULES)).select(*_SHOWN)
+
+
+# Findings of any entropy, with the context that placeholders and duplicates are told by.
+_GATES = " AND ".join(
+    f"(rule <> {quoted(r.name)} OR {' OR '.join(f'contains(lower(line), {quoted(k)})' for k in r.context_keywords) or 'false'})" for r in sql.RULES if r.requires_context
+)
+_JUDGED = f"""WITH {sql.lines("planted")}, hits AS ({sql.rule_hits("line", "lines", "path, line_no, line", "''", floor=0.0)}), tok AS ({sql.entropy_tokens("planted", "path, line_no, line, secret")}),
+ surf AS (SELECT s.*, left({sql.trimmed("l.line")}, 200) AS near FROM ({_SURFACE}) s LEFT JOIN lines l USING (path, line_no)),
+ f AS (SELECT path, line_no, rule, severity, secret, {sql.trimmed("line")} AS context FROM hits WHERE {_GATES} UNION ALL SELECT path, line_no, 'entropy_token', 1, secret, {sql.trimmed("line")} FROM tok
+  UNION ALL SELECT path, line_no, rule, severity, secret, coalesce(near, replace(rule, 'attack_surface_', '') || ': ' || secret) FROM surf
+  UNION ALL SELECT path, line_no, rule, severity, secret, context FROM ({sql.scan_decoded("planted", True)})),
+ d AS (SELECT * REPLACE (CASE WHEN regexp_matches(context, {quoted(post.PLACEHOLDER)}) THEN 0 ELSE severity END AS severity) FROM f
+  QUALIFY row_number() OVER (PARTITION BY path, rule, secret, left(context, 40) ORDER BY line_no) = 1)
+SELECT path, line_no, rule, severity, secret, CASE WHEN rule = 'entropy_token' THEN 'LOW' ELSE 'MEDIUM' END AS confidence_band FROM d"""
+
+
+@register("judged_scan_planted", _JUDGED)
+def _judged(spark, d):
+    return findings.judged_scan(planted(spark, d)).select(*_SHOWN, "confidence_band")
+
+
+@register(
+    "judged_pairs",
+    """WITH n AS (SELECT n_nationkey AS k, sha256(n_nationkey::VARCHAR) AS h FROM nation) SELECT 'f' || k || '.txt' AS path, 1 AS line_no, 'aws_credential_pair' AS rule, 0 AS severity,
+ 'aws_access_key_id + aws_secret_access_key found within 2 lines' AS secret FROM n WHERE k % 2 = 0""",
+)
+def _judged_pairs(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    h = F.sha2(k, 256)
+    far = F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("\n" * 30)
+    text = F.concat(F.lit('id = "AKIA'), F.upper(F.substring(h, 1, 16)), F.lit('"\n'), far, F.lit('\naws_secret_access_key = "'), F.substring(h, 1, 40), F.lit('"'))
+    rows = corpora.read(spark, d, "nation").select(F.concat(F.lit("f"), k, F.lit(".txt")).alias("path"), text.alias("content"))
+    return findings.judged_scan(rows).where("method = 'pair'").select(*_SHOWN)

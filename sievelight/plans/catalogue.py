@@ -8,7 +8,7 @@ from ..functions import entropy as E
 from ..functions import text as T
 from ..operators import decode, detect, maps, post, scripts, state, surface, technology, trees
 from ..sources import corpora
-from . import analysers, sql, states  # noqa: F401  (these register queries of their own)
+from . import analysers, inputs, sql, states  # noqa: F401  (these register queries of their own)
 from .fixtures import CORPORA, derived_files, front_samples, sample_responses, samples_sql, signal_samples
 from .fixtures import lower_findings as _lower
 from .fixtures import unique_findings as _unique

@@ -81,18 +81,18 @@ def likely(c: str) -> str:
     return f"(length({c}) >= 32 AND NOT regexp_full_match({c}, '[0-9]*') AND ({kinds}) >= 3 AND {entropy(c)} >= 4.5)"
 
 
-def entropy_tokens(corpus: str) -> str:
+def entropy_tokens(corpus: str, columns: str = "path, line_no, secret, entropy") -> str:
     a = alphabet("secret")
     return tokens(corpus, f"regexp_matches(line, {quoted(E.SECRET_CONTEXT)})") + (
-        f", t AS (SELECT *, {a} AS a, {entropy('secret')} AS entropy FROM tok) SELECT path, line_no, secret, entropy FROM t "
+        f", t AS (SELECT *, {a} AS a, {entropy('secret')} AS entropy FROM tok) SELECT {columns} FROM t "
         f"WHERE NOT regexp_matches(secret, {quoted(E.EXCLUDED)}) AND CASE a WHEN 'unknown' THEN {likely('secret')} WHEN 'hex' THEN entropy >= 3.0 ELSE entropy >= 4.0 END"
     )
 
 
-def contextual(corpus: str) -> str:
+def contextual(corpus: str, columns: str = "path, line_no, secret, entropy") -> str:
     gate = "(" + " OR ".join(f"contains(lower(line), {quoted(k)})" for k in E.CONTEXT_KEYWORDS) + ")"
     return tokens(corpus, gate) + (
-        f", t AS (SELECT *, {entropy('secret')} AS entropy, strpos(line, secret) AS pos FROM tok) SELECT path, line_no, secret, entropy FROM t "
+        f", t AS (SELECT *, {entropy('secret')} AS entropy, strpos(line, secret) AS pos FROM tok) SELECT {columns} FROM t "
         "WHERE entropy >= 4.5 AND NOT (pos > 1 AND line[pos - 1] IN ('/', ':', '@')) AND length(secret) - length(replace(secret, '/', '')) < 2"
     )
 
@@ -157,7 +157,7 @@ def risk(c: str) -> str:
     return f"least({' + '.join(groups)}, 10)"
 
 
-def rule_hits(text: str, source: str, keep: str, prefix: str, rules=RULES) -> str:
+def rule_hits(text: str, source: str, keep: str, prefix: str, rules=RULES, floor: float = 2.0) -> str:
     """keep, rule (with the prefix, an expression), severity, secret of rules over a text column, without context gates,
     from the entropy floor on."""
     parts = [
@@ -165,7 +165,7 @@ def rule_hits(text: str, source: str, keep: str, prefix: str, rules=RULES) -> st
         f"FROM {source} WHERE regexp_matches({text}, {quoted(r.pattern)})"
         for r in rules
     ]
-    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {entropy('secret')} >= 2.0"
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {entropy('secret')} >= {floor}"
 
 
 def decoded_pieces(corpus: str) -> str:
@@ -179,8 +179,9 @@ def decoded_pieces(corpus: str) -> str:
     )
 
 
-def scan_decoded(corpus: str) -> str:
-    return f"WITH {decoded_pieces(corpus)} " + rule_hits("text", "pieces", "path, line_no", "tag || '_'")
+def scan_decoded(corpus: str, context: bool = False) -> str:
+    keep = "path, line_no" + (", tag || ' decoded: ' || left(text, 500) AS context" if context else "")
+    return f"WITH {decoded_pieces(corpus)} " + rule_hits("text", "pieces", keep, "tag || '_'")
 
 
 # ---- script text ---------------------------------------------------------------------------------------

@@ -74,39 +74,55 @@ def _mapped(files: DataFrame, pieces) -> DataFrame:
 
 
 def _members(path: str, data: bytes):
+    """(name, body, reason) of each file in an archive; of those that are not read body is None and reason tells why."""
     total = 0
 
-    def wanted(name: str, size: int) -> bool:
-        return not name.startswith("/") and ".." not in name.split("/") and size <= MAX_MEMBER
+    def why(name: str, size: int) -> str | None:
+        if name.startswith("/") or ".." in name.split("/"):
+            return "path"
+        return "size" if size > MAX_MEMBER else "total" if total + size > MAX_ARCHIVE else None
 
     try:
         if data[:2] == b"PK":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for i in z.infolist():
-                    if not i.is_dir() and wanted(i.filename, i.file_size) and total + i.file_size <= MAX_ARCHIVE:
-                        total += i.file_size
-                        yield i.filename, z.read(i)
+                    if not i.is_dir():
+                        reason = why(i.filename, i.file_size)
+                        total += 0 if reason else i.file_size
+                        yield i.filename, None if reason else z.read(i), reason
         else:
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
                 for m in t:
-                    if m.isfile() and wanted(m.name, m.size) and total + m.size <= MAX_ARCHIVE:
-                        total += m.size
-                        yield m.name, t.extractfile(m).read()
+                    if m.isfile():
+                        reason = why(m.name, m.size)
+                        total += 0 if reason else m.size
+                        yield m.name, None if reason else t.extractfile(m).read(), reason
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError):
         return
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """Text members of zip and tar archives, as path!member."""
+    """Text members of zip and tar archives, as path!member; unread_members() tells which are not read."""
 
     def pieces(path, data):
-        for name, body in _members(path, data):
-            if body.count(0) <= 10:
+        for name, body, _ in _members(path, data):
+            if body is not None and body.count(0) <= 10:
                 yield f"{path}!{name}", body.decode("utf-8", "replace")
 
     return _mapped(files, pieces)
 
 
+def unread_members(files: DataFrame) -> DataFrame:
+    """(path, reason) of members that are not read: an unsafe path, their size, or that of all before them."""
+
+    def pieces(path, data):
+        for name, body, reason in _members(path, data):
+            if body is None:
+                yield f"{path}!{name}", reason
+
+    return _mapped(files, pieces).withColumnRenamed("content", "reason")
+
+
 def inflated_files(files: DataFrame) -> DataFrame:
     """Contents of gzip and zlib files."""
 

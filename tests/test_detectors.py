@@ -255,6 +255,7 @@ def test_files_and_reports(spark, tmp_path):
     assert "a.txt" in names and not names & {"b.txt", "c.bin"}
     every = files.binaries(spark, str(root))
     assert [r["content"] for r in files.archive_members(every).collect()] == ["inside"]
+    assert [(r["path"].rsplit("!", 1)[1], r["reason"]) for r in files.unread_members(every).collect()] == [("../out.txt", "path")]
     assert len(files.inflated_files(every).collect()[0]["content"]) == 300
     assert " readable run " in {r["content"] for r in files.binary_strings(every).collect()}
     found = spark.createDataFrame([finding(), finding(path="b", rule="q", context="")], SCHEMA)

@@ -114,8 +114,12 @@ def scan_multiline(docs: DataFrame, rules: Sequence[Rule] = RULES, window: int =
 def _tokens(docs: DataFrame, gate) -> DataFrame:
     each = lines(docs.select("path", "content")).where(gate(F.col("line")))
     each = each.withColumn("secret", F.explode(F.regexp_extract_all("line", F.lit(to_java(E.TOKEN)), F.lit(0))))
-    first = F.expr("octet_length(substring(line, 1, locate(secret, line) - 1))")
-    return each.withColumn("col", first.cast("int"))
+    return each.withColumn("col", _before(F.col("line"), F.col("secret")))
+
+
+def _before(line: Column, token: Column) -> Column:
+    """Bytes of a line before a token's first occurrence."""
+    return F.octet_length(F.substring(line, F.lit(1), F.position(token, line) - 1)).cast("int")
 
 
 def scan_entropy_tokens(docs: DataFrame, media: bool = False) -> DataFrame:
@@ -126,14 +130,19 @@ def scan_entropy_tokens(docs: DataFrame, media: bool = False) -> DataFrame:
     return as_findings(tok, 2, "entropy+context", 30, rule=F.lit("high_entropy_token"), severity=F.lit(2), entropy=E.by_alphabet(s), context=truncated(trimmed(F.col("line"))))
 
 
+def _contextual(line: Column, token: Column, min_entropy: float) -> Column:
+    """Whether a token is random enough, neither in a path nor after / : or @, and no image or font."""
+    at = F.position(token, line)
+    after_mark = (at > 1) & F.substring(line, at - 1, F.lit(1)).isin("/", ":", "@")
+    slashes = F.length(token) - F.length(F.replace(token, F.lit("/"), F.lit("")))
+    return (E.shannon(token) >= min_entropy) & ~after_mark & (slashes < 2) & ~E.media(token)
+
+
 def scan_contextual(docs: DataFrame, min_entropy: float = 4.5) -> DataFrame:
     """High-entropy tokens next to a keyword, neither in a path nor after / : or @."""
-    tok = _tokens(docs, E.context_keyword).withColumn("entropy", E.shannon(F.col("secret")))
-    before = F.expr("substring(line, locate(secret, line) - 1, 1)")
-    after_mark = (F.expr("locate(secret, line)") > 1) & before.isin("/", ":", "@")
-    slashes = F.length("secret") - F.length(F.replace(F.col("secret"), F.lit("/"), F.lit("")))
-    tok = tok.where((F.col("entropy") >= min_entropy) & ~after_mark & (slashes < 2) & ~E.media(F.col("secret")))
-    return as_findings(tok, 3, "entropy+context", 30, rule=F.lit("contextual_entropy_secret"), severity=F.lit(3), context=truncated(trimmed(F.col("line"))))
+    s = F.col("secret")
+    tok = _tokens(docs, E.context_keyword).where(_contextual(F.col("line"), s, min_entropy))
+    return as_findings(tok, 3, "entropy+context", 30, rule=F.lit("contextual_entropy_secret"), severity=F.lit(3), entropy=E.shannon(s), context=truncated(trimmed(F.col("line"))))
 
 
 # Rule, severity, pattern; the secret is group 1 of a line's first match.
@@ -166,6 +175,43 @@ def scan_url_secrets(docs: DataFrame) -> DataFrame:
     return as_findings(found, 5, "url_param", 70, col=F.lit(0), rule=F.lit("url_query_secret"), severity=F.lit(3), entropy=E.shannon(F.col("secret")), context=truncated(trimmed(F.col("line"))))
 
 
+def scan_lines(docs: DataFrame) -> DataFrame:
+    """What scan_entropy_tokens, scan_contextual, scan_auth_headers and scan_url_secrets find, in one pass over the lines."""
+    line = F.col("line")
+
+    def found(rule, severity, secret: Column, col: Column, entropy: Column, confidence: int, context: Column, method: str, stage: int) -> Column:
+        values = (rule, severity, secret, col, entropy, confidence, context, method, stage)
+        names = ("rule", "severity", "secret", "col", "entropy", "confidence", "context", "method", "stage_ord")
+        return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(values, names, strict=True)))
+
+    shown = truncated(trimmed(line))
+    tokens = F.regexp_extract_all(line, F.lit(to_java(E.TOKEN)), F.lit(0))
+    random_ = F.transform(
+        F.filter(tokens, lambda s: E.token_match(s) & ~E.media(s)),
+        lambda s: found("high_entropy_token", 2, s, _before(line, s), E.by_alphabet(s), 30, shown, "entropy+context", 2),
+    )
+    near = F.transform(
+        F.filter(tokens, lambda s: _contextual(line, s, 4.5)),
+        lambda s: found("contextual_entropy_secret", 3, s, _before(line, s), E.shannon(s), 30, shown, "entropy+context", 3),
+    )
+    none = F.filter(F.array(found("", 0, F.lit(""), F.lit(0), F.lit(0.0), 0, F.lit(""), "", 0)), lambda x: F.lit(False))
+    heads = F.filter(
+        F.array(*(
+            F.when(line.rlike(to_java(p)), found(name, sev, F.regexp_extract(line, to_java(p), 1), F.lit(0), E.shannon(F.regexp_extract(line, to_java(p), 1)), 60, truncated(line), "auth_header", 4))
+            for name, sev, p in AUTH_HEADERS
+        )),
+        lambda h: h.isNotNull(),
+    )
+    urls = F.transform(
+        F.regexp_extract_all(line, F.lit(to_java(URL_SECRET)), F.lit(1)), lambda s: found("url_query_secret", 3, s, F.lit(0), E.shannon(s), 70, shown, "url_param", 5)
+    )
+    every = F.concat(
+        F.when(E.secret_context(line), random_).otherwise(none), F.when(E.context_keyword(line), near).otherwise(none), heads, F.when(line.contains("://"), urls).otherwise(none),
+    )
+    each = lines(docs.select("path", "content")).select("path", "line_no", F.explode(every).alias("f")).select("path", "line_no", "f.*")
+    return each.withColumn("risk", F.lit(0)).select(*FINDING)
+
+
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0, strip_comments: bool = False, max_line: int | None = None) -> DataFrame:
     """All line detectors over (path, content)."""
     from ..functions.text import without_comments
@@ -175,8 +221,5 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0,
     if max_line:
         parts = F.split("content", "\n", -1)
         docs = docs.withColumn("content", F.array_join(F.transform(parts, lambda x: F.when(F.octet_length(x) <= max_line, x).otherwise("")), "\n"))
-    out = scan_rules(docs, rules, min_severity)
-    for part in (scan_entropy_tokens, scan_contextual, scan_auth_headers, scan_url_secrets):
-        out = out.unionByName(part(docs))
+    out = scan_rules(docs, rules, min_severity).unionByName(scan_lines(docs))
     return out.unionByName(scan_multiline(docs, rules, min_severity=min_severity))
-

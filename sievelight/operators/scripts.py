@@ -101,24 +101,22 @@ def script_findings(docs: DataFrame) -> DataFrame:
     """Findings from the facts of script files: secrets where they stand, other telling values once a file."""
     own = docs.where(is_script(F.col("path")))
     base, k, v = F.element_at(F.split("path", "/"), -1), F.col("kind"), F.col("value")
-    each = occurrences(own)
-    secret = each.where(k.isin(*SECRETS))
-    kind = F.when(k == "todo", "comment_leak").otherwise(k)
-    context = F.when(k == "todo", F.lit("TODO/FIXME comment")).when(k == "base64", F.concat(F.lit("base64 decoded: "), "decoded")).otherwise(trimmed(F.col("line")))
-    told = as_findings(
-        secret, 8, "script", 0, col=F.lit(0), rule=F.concat(F.lit("js_secret_"), kind), severity=F.when(k == "todo", 2).otherwise(3), secret=v, context=truncated(context), entropy=F.lit(0.0)
-    )
     kinds = {
         "internal_url": ("internal_url", 2, "internal/hidden URL found in "), "debug": ("debug_artifact", 1, "debug/development artifact in "),
         "sensitive_file": ("sensitive_file_ref", 2, "sensitive file reference in "), "leaked_comment": ("comment_leak", 2, "URL found in comment in "),
     }
-    rest = each.where(k.isin(*kinds) & ((k != "leaked_comment") | _any_of(v, _LEAKING)))
-    rest = first_of(rest, [F.col("path"), k, v], [F.col("line_no"), F.col("ord"), F.col("col")])
-    rule, sev, say = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    secret = k.isin(*SECRETS)
+    each = occurrences(own).where(secret | k.isin(*kinds) & ((k != "leaked_comment") | _any_of(v, _LEAKING)))
+    w = W.partitionBy("path", "kind", "value").orderBy("line_no", "ord", "col")
+    each = each.withColumn("_n", F.row_number().over(w)).where(secret | (F.col("_n") == 1)).drop("col")
+    rule = F.concat(F.lit("js_secret_"), F.when(k == "todo", "comment_leak").otherwise(k))
+    sev = F.when(k == "todo", 2).otherwise(3)
+    context = F.when(k == "todo", F.lit("TODO/FIXME comment")).when(k == "base64", F.concat(F.lit("base64 decoded: "), "decoded")).otherwise(trimmed(F.col("line")))
     for name, (r, n, text) in kinds.items():
-        rule, sev, say = F.when(k == name, r).otherwise(rule), F.when(k == name, n).otherwise(sev), F.when(k == name, text).otherwise(say)
-    rest = as_findings(rest, 9, "script", 0, line_no=F.lit(1), col=F.lit(0), rule=rule, severity=sev, secret=v, context=F.concat(say, base), entropy=F.lit(0.0))
-    return told.unionByName(rest)
+        rule, sev, context = F.when(k == name, r).otherwise(rule), F.when(k == name, n).otherwise(sev), F.when(k == name, F.concat(F.lit(text), base)).otherwise(context)
+    return as_findings(
+        each, 8, "script", 0, line_no=F.when(secret, F.col("line_no")).otherwise(1), col=F.lit(0), rule=rule, severity=sev, secret=v, context=truncated(context), entropy=F.lit(0.0)
+    )
 
 
 # How, pattern, group of the method (0: by default), default method, group of the endpoint.

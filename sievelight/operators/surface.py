@@ -216,7 +216,10 @@ def _first_response(responses: DataFrame) -> DataFrame:
 
 
 def fronts(responses: DataFrame) -> DataFrame:
-    """(url, vendor): gateways that an origin's headers betray."""
+    """(url, vendor): gateways that an origin's headers betray.
+
+    For some vendors the header alone counts, though their other services send it too: a request identifier tells of the
+    vendor's front, not that it filters anything."""
     hits = []
     for vendor, name, parts in FRONTS:
         v = F.lower(F.coalesce(F.col("headers")[name], F.lit("")))

@@ -150,88 +150,119 @@ def _literals(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(_LITERAL), F.lit(0)), _plain)
 
 
-def _lines_with(docs: DataFrame, mark: str) -> DataFrame:
-    """(path, line_no, line) of the lines that hold the mark."""
-    each = docs.where(F.col("content").contains(mark)).select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    return each.where(F.col("line").contains(mark)).select("path", (F.col("i") + 1).alias("line_no"), "line")
+def _last_entries(names: Column, values: Column) -> Column:
+    """A map of names to values; of several values of a name the last one."""
+    entries = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x, i: F.struct(x["n"].alias("n"), i.alias("i"), x["v"].alias("v")))
+    ordered = F.array_sort(entries)
+    last = F.filter(ordered, lambda x, i: ~x["n"].eqNullSafe(F.get(ordered, i + 1)["n"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["n"], x["v"])))
 
 
-def _found(lines: DataFrame, pattern: str) -> DataFrame:
-    return lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("expr"))
+def _declared(pattern: str) -> tuple[Column, Column]:
+    return tuple(F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
 
 
-def _long(rows: DataFrame) -> DataFrame:
-    return rows.where(F.octet_length("text") >= MIN_LENGTH)
+def _constants() -> Column:
+    names, values = _declared(rf"{_DECLARED}({_LITERAL})\s*(?:;|,|\n|\z)")
+    return _last_entries(names, F.transform(values, _plain))
+
+
+def _arrays() -> Column:
+    """Names and elements of arrays of literals."""
+    names, values = _declared(rf"{_DECLARED}\[([^\]]+)\]")
+    both = F.filter(F.arrays_zip(names.alias("n"), F.transform(values, _literals).alias("e")), lambda x: F.size(x["e"]) > 0)
+    return _last_entries(F.transform(both, lambda x: x["n"]), F.transform(both, lambda x: x["e"]))
+
+
+def constants(docs: DataFrame) -> DataFrame:
+    """(path, name, value): string constants of each document; of several declarations the last one."""
+    return docs.select("path", F.explode(_constants()).alias("name", "value"))
+
+
+def arrays(docs: DataFrame) -> DataFrame:
+    """(path, name, elements): arrays of string literals of each document; of several declarations the last one."""
+    return docs.select("path", F.explode(_arrays()).alias("name", "elements"))
+
+
+_JOIN = rf"\[\s*(?:{_LITERAL}\s*,\s*)+{_LITERAL}\s*,?\s*\]\s*\.\s*join\s*\(\s*{_LITERAL}\s*\)"
+_NAME = r"\b[A-Za-z_$][\w$]*"
+
+
+def _joined_parts(x: Column) -> Column:
+    """The literals of an expression but the last, with the last between them."""
+    parts = _literals(x)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    return F.aggregate(inner, F.element_at(parts, 1), lambda done, p: F.concat(done, F.element_at(parts, -1), p))
+
+
+def _sum_of(x: Column) -> Column:
+    """The constants that a sum names, put together; null if one is unknown."""
+    values = F.transform(F.split(x, r"\s*\+\s*"), lambda n: F.col("_constants")[n])
+    return F.when(~F.exists(values, lambda v: v.isNull()), F.array_join(values, ""))
+
+
+#: Kind, a sign that its lines have, pattern, texts of a match.
+_PARTS = (
+    ("concat", "+", rf"{_LITERAL}(?:\s*\+\s*{_LITERAL})+", lambda x: F.array(F.array_join(_literals(x), ""))),
+    ("join", "join", _JOIN, lambda x: F.array(_joined_parts(x))),
+    ("var", "+", rf"{_NAME}(?:\s*\+\s*[A-Za-z_$][\w$]*)+", lambda x: F.array(_sum_of(x))),
+    ("ternary", "?", rf"\?\s*{_LITERAL}\s*:\s*{_LITERAL}", lambda x: _literals(x)),
+    ("array", "[", rf"{_NAME}\[\d{{1,9}}\]", lambda x: F.array(F.get(F.col("_arrays")[F.substring_index(x, "[", 1)], F.regexp_extract(x, r"\[(\d+)\]", 1).cast("int")))),
+    ("template", "`", r"`[^`$]*`", lambda x: F.array(_plain(x))),
+)
+
+
+def rebuilt(docs: DataFrame, kinds: Sequence[str] = tuple(p[0] for p in _PARTS)) -> DataFrame:
+    """(path, line_no, kind, expr, text): what script text puts together from parts, from 20 bytes on.
+
+    Constants and arrays are those of the document: they stand in its own row, so nothing is joined, and a
+    document is read once."""
+    own = docs.where(F.col("content").rlike("[\"'`]")).select("path", "content", _constants().alias("_constants"), _arrays().alias("_arrays"))
+    lines = F.split("content", "\n", -1)
+
+    def found(kind: str, mark: str, pattern: str, texts) -> Column:
+        def of(line: Column, i: Column) -> Column:
+            each = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), lambda x: F.transform(
+                texts(x), lambda t: F.struct((i + 1).alias("line_no"), F.lit(kind).alias("kind"), x.alias("expr"), t.alias("text"))
+            ))
+            good = F.filter(F.flatten(each), lambda r: F.octet_length(r["text"]) >= MIN_LENGTH)
+            return F.when(line.contains(mark), good).otherwise(F.filter(good, lambda r: F.lit(False)))
+
+        return F.flatten(F.transform(lines, of))
+
+    every = F.concat(*(found(*p) for p in _PARTS if p[0] in kinds))
+    out = own.select("path", F.explode(every).alias("r")).select("path", "r.*")
+    return out.where((F.col("kind") != "concat") | ~F.col("text").rlike(_STRUCTURE))
 
 
 def concatenated(docs: DataFrame) -> DataFrame:
     """(path, line_no, text): chains of literals around +, put together."""
-    each = _found(_lines_with(docs, "+"), rf"{_LITERAL}(?:\s*\+\s*{_LITERAL})+")
-    return _long(each.select("path", "line_no", F.array_join(_literals(F.col("expr")), "").alias("text")).where(~F.col("text").rlike(_STRUCTURE)))
+    return rebuilt(docs, ("concat",)).select("path", "line_no", "text")
 
 
 def joined_arrays(docs: DataFrame) -> DataFrame:
     """(path, line_no, text): ["a", "b"].join("s") put together, for arrays of two literals or more."""
-    each = _found(_lines_with(docs, "join"), rf"\[\s*(?:{_LITERAL}\s*,\s*)+{_LITERAL}\s*,?\s*\]\s*\.\s*join\s*\(\s*{_LITERAL}\s*\)")
-    each = each.withColumn("t", _literals(F.col("expr")))
-    return _long(each.select("path", "line_no", F.expr("array_join(slice(t, 1, size(t) - 1), element_at(t, -1))").alias("text")))
-
-
-def constants(docs: DataFrame) -> DataFrame:
-    """(path, name, value): string constants of each document; of several declarations the last one."""
-    pattern = rf"{_DECLARED}({_LITERAL})\s*(?:;|,|\n|\z)"
-    names, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
-    each = docs.select("path", F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("i", "d")).select("path", "i", F.col("d.name").alias("name"), F.col("d.value").alias("value"))
-    return each.groupBy("path", "name").agg(F.max_by("value", "i").alias("value")).select("path", "name", _plain(F.col("value")).alias("value"))
+    return rebuilt(docs, ("join",)).select("path", "line_no", "text")
 
 
 def propagated(docs: DataFrame) -> DataFrame:
     """(path, line_no, expr, text): sums of names that are all constants of the document, put together."""
-    sums = _found(_lines_with(docs, "+"), r"\b[A-Za-z_$][\w$]*(?:\s*\+\s*[A-Za-z_$][\w$]*)+").withColumn("n", F.monotonically_increasing_id())
-    parts = sums.select("path", "line_no", "n", "expr", F.posexplode(F.split("expr", r"\s*\+\s*")).alias("i", "name"))
-    full = parts.join(constants(docs), ["path", "name"], "left").groupBy("path", "line_no", "n", "expr").agg(
-        F.count(F.lit(1)).alias("all"), F.count("value").alias("known"), F.sort_array(F.collect_list(F.struct("i", "value"))).alias("v")
-    )
-    return _long(full.where("all = known").select("path", "line_no", "expr", F.array_join(F.col("v.value"), "").alias("text")))
-
-
-def arrays(docs: DataFrame) -> DataFrame:
-    """(path, name, elements): arrays of string literals of each document; of several declarations the last one."""
-    pattern = rf"{_DECLARED}\[([^\]]+)\]"
-    names, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2))
-    each = docs.select("path", F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("i", "d"))
-    each = each.select("path", "i", F.col("d.name").alias("name"), _literals(F.col("d.value")).alias("elements")).where(F.size("elements") > 0)
-    return each.groupBy("path", "name").agg(F.max_by("elements", "i").alias("elements"))
+    return rebuilt(docs, ("var",)).select("path", "line_no", "expr", "text")
 
 
 def accessed(docs: DataFrame) -> DataFrame:
     """(path, line_no, expr, text): name[i] of an array of literals of the document."""
-    each = _found(_lines_with(docs, "["), r"\b[A-Za-z_$][\w$]*\[\d{1,9}\]")
-    each = each.select("path", "line_no", "expr", F.substring_index("expr", "[", 1).alias("name"), F.regexp_extract("expr", r"\[(\d+)\]", 1).cast("int").alias("at"))
-    full = each.join(arrays(docs), ["path", "name"])
-    return _long(full.select("path", "line_no", "expr", F.get("elements", F.col("at")).alias("text")).where("text is not null"))
+    return rebuilt(docs, ("array",)).select("path", "line_no", "expr", "text")
 
 
 def templates(docs: DataFrame) -> DataFrame:
     """(path, line_no, text): backtick strings without substitutions."""
-    each = _lines_with(docs, "`")
-    return _long(each.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"`([^`$]*)`"), F.lit(1))).alias("text")))
+    return rebuilt(docs, ("template",)).select("path", "line_no", "text")
 
 
 def branches(docs: DataFrame) -> DataFrame:
     """(path, line_no, text): both literals of a choice."""
-    each = _found(_lines_with(docs, "?"), rf"\?\s*{_LITERAL}\s*:\s*{_LITERAL}")
-    return _long(each.select("path", "line_no", F.explode(_literals(F.col("expr"))).alias("text")))
-
-
-def rebuilt(docs: DataFrame) -> DataFrame:
-    """(path, line_no, kind, text): what script text puts together from parts, from 20 bytes on."""
-    kinds = {"concat": concatenated, "join": joined_arrays, "template": templates, "var": propagated, "ternary": branches, "array": accessed}
-    out = None
-    for kind, find in kinds.items():
-        own = find(docs).select("path", "line_no", F.lit(kind).alias("kind"), "text")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return rebuilt(docs, ("ternary",)).select("path", "line_no", "text")
 
 
 def scan_rebuilt(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int = 0, longest: int = 200) -> DataFrame:

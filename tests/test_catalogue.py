@@ -10,7 +10,16 @@ from sievelight.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("rules_derived", "entropy_tokens_derived", "line_context_documents", "multiline_derived", "downgrade_findings", "credential_pairs", "decoded_derived", "json_secrets", "robots_rules", "script_facts", "response_headers")
+#: Queries that find nothing in tables as small as these.
+NOTHING_HERE = {"rules_pages", "entropy_tokens_documents", "own_rules_documents"}
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    return con
 
 
 def test_registry():
@@ -20,17 +29,16 @@ def test_registry():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("name", CHECKED)
-def test_same_rows(spark, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    want = con.sql(catalogue.ORACLE[name])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
+def test_same_rows(spark, tables, name):
+    want = tables.sql(catalogue.ORACLE[name])
     df = catalogue.QUERIES[name](spark, FOLDER)
     assert sorted(df.columns) == sorted(want.columns)
     order = sorted(df.columns)
     at = [want.columns.index(c) for c in order]
-    assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+    got = [tuple(r[c] for c in order) for r in df.collect()]
+    assert sorted(got, key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+    assert got or name in NOTHING_HERE
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")

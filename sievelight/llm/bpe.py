@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCoder, chunks, encoded, slices
+from .pretokens import SLICE, PieceCoder, chunks, encoded, slices
 
 
 def _varint(n: int) -> bytes:
@@ -73,7 +73,7 @@ class Codec:
         self.rank_of = np.array([-1, *(r for _, r in ordered)], dtype=np.int64)
         self.bytes_of = {r: b for b, r in ordered}
         self.model = SentencePieceProcessor(model_proto=model_proto(self.ranks))
-        self.coder = PieceCoder(self._encode_pieces)
+        self.coder = PieceCoder(self._encode_pieces, held=250_000)  # beside the model and the ranks
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         data = [p.encode() for p in pieces]
@@ -90,7 +90,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
-        for ids, n in encoded(self.coder, texts):
+        for ids, n in encoded(self.coder, texts, SLICE // 2):
             to = np.append(0, np.cumsum(n)).tolist()
             out += [ids[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
         return out

@@ -14,6 +14,7 @@ Piece starts follow from the class of a code point and its neighbours, so whole
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
@@ -211,17 +212,30 @@ class PieceCoder:
 
 def slices(batches, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about so many bytes of text in a column, a longer text alone: what Python
-    holds at once is bounded by a piece."""
-    for b in batches:
-        bytes_ = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-        at = total = 0
-        for i, n in enumerate(bytes_.tolist()):
-            if i > at and total + n > size:
-                yield b.slice(at, i - at)
-                at, total = i, 0
-            total += n
-        if at < b.num_rows:
-            yield b.slice(at)
+    holds at once is bounded by a piece.  Freed memory goes back to the system when the batches end, as workers
+    outlive their tasks."""
+    try:
+        for b in batches:
+            bytes_ = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+            at = total = 0
+            for i, n in enumerate(bytes_.tolist()):
+                if i > at and total + n > size:
+                    yield b.slice(at, i - at)
+                    at, total = i, 0
+                total += n
+            if at < b.num_rows:
+                yield b.slice(at)
+    finally:
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
+def _trim() -> None:
+    """Asks the C library to return free memory; other libraries than glibc have no such call."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def chunks(texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[int, int, list[str]]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy as E
 from ..functions.text import lines
-from .detect import MIN_ENTROPY, as_findings, rule_frame, severity_of
+from .detect import MIN_ENTROPY, as_findings, severity_at, severity_of
 from .matching import line_matches
 from .rule_table import RULES, Rule
 
@@ -164,7 +164,7 @@ def scan_decoded(docs: DataFrame, names: Sequence[str] = ("base64", "hex", "unic
     rules = [r for r in rules if severity_of(r.severity) >= min_severity]
     pieces = decoded(docs, names).withColumnRenamed("text", "content").withColumnRenamed("line_no", "at")
     found = line_matches(pieces, [(r.name, r.pattern) for r in rules], whole=True)
-    found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("severity", severity_at(rules, F.col("ord")))
     found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
     context = F.concat(F.col("tag"), F.lit(" decoded: "), F.substring("line", 1, 500))
     return as_findings(

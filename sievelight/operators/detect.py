@@ -27,20 +27,21 @@ def severity_of(name: str, strict: bool = True) -> int:
     return SEVERITIES.get(name if strict else name.upper(), 1)
 
 
-def rule_frame(spark, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rules as a table, built from literals."""
-
-    def texts(values: Sequence[str]) -> Column:
-        return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-
-    rows = (
-        F.struct(
-            F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(severity_of(r.severity)).alias("severity"),
-            F.lit(r.requires_context).alias("requires_context"), texts(r.context_keywords).alias("keywords"), texts(r.tags).alias("tags"),
-        )
-        for i, r in enumerate(rules)
-    )
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def severity_at(rules: Sequence[Rule], ord_: Column) -> Column:
+    """The severity of the rule of that number: a constant array, so nothing is joined."""
+    return F.get(F.array(*(F.lit(severity_of(r.severity)) for r in rules)), ord_)
+
+
+def context_gate(rules: Sequence[Rule], name: Column, line: Column) -> Column:
+    """Whether a line has one of the keywords that a rule asks for."""
+    low, out = F.lower(line), F.lit(True)
+    for r in rules:
+        if r.requires_context:
+            some = F.lit(False)
+            for k in r.context_keywords:
+                some = some | low.contains(k)
+            out = F.when(name == r.name, some).otherwise(out)
+    return out
 
 
 def as_findings(df: DataFrame, stage: int, method: str, confidence: int | Column, **cols: Column) -> DataFrame:
@@ -53,11 +54,8 @@ def scan_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: int
     """Regular-expression rules over each line; the secret is the whole match."""
     rules = [r for r in rules if severity_of(r.severity) >= min_severity]
     found = line_matches(docs.select("path", "content"), [(r.name, r.pattern) for r in rules])
-    meta = rule_frame(docs.sparkSession, rules).drop("tags")  # as many rows as rules
-    found = found.join(F.broadcast(meta), "ord").withColumn("secret", F.col("value")).withColumn("entropy", E.shannon(F.col("value")))
-    low = F.lower("line")
-    gate = ~F.col("requires_context") | F.exists("keywords", lambda k: low.contains(k))
-    found = found.where(gate & (F.col("entropy") >= min_entropy))
+    found = found.select("path", "line_no", "line", "col", F.col("name").alias("rule"), severity_at(rules, F.col("ord")).alias("severity"), F.col("value").alias("secret"))
+    found = found.where(context_gate(rules, F.col("rule"), F.col("line"))).withColumn("entropy", E.shannon(F.col("secret"))).where(F.col("entropy") >= min_entropy)
     return as_findings(found, 1, "regex", 60, context=truncated(trimmed(F.col("line"))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import entropy as E
 from ..functions.regex import to_java
 from ..functions.text import trimmed
-from .detect import MIN_ENTROPY, rule_frame
+from .detect import MIN_ENTROPY, severity_at
 from .matching import line_matches
 from .post import first_of
 from .rule_table import RULES
@@ -122,7 +122,7 @@ def json_rule_matches(docs: DataFrame) -> DataFrame:
     """(path, key_path, rule, severity, secret, entropy): rules over the string leaves of JSON contents."""
     leaves = walk_json(docs).withColumnRenamed("value", "content")
     found = line_matches(leaves, [(r.name, r.pattern) for r in RULES], whole=True)
-    found = found.join(F.broadcast(rule_frame(docs.sparkSession).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("severity", severity_at(RULES, F.col("ord")))
     found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
     return found.select("path", "key_path", F.concat(F.lit("json_"), "name").alias("rule"), "severity", F.col("value").alias("secret"), "entropy")
 

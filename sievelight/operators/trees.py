@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import entropy as E
 from ..functions.regex import to_java
 from ..functions.text import extension
-from .detect import MIN_ENTROPY, as_findings, rule_frame, severity_of
+from .detect import MIN_ENTROPY, as_findings, severity_at, severity_of
 from .matching import line_matches
 from .rule_table import RULES, Rule
 
@@ -270,7 +270,7 @@ def scan_rebuilt(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity: i
     rules = [r for r in rules if severity_of(r.severity) >= min_severity]
     pieces = rebuilt(docs.select("path", "content")).select("path", F.col("line_no").alias("at"), "kind", F.substring("text", 1, longest).alias("content"))
     found = line_matches(pieces, [(r.name, r.pattern) for r in rules], whole=True)
-    found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("severity", severity_at(rules, F.col("ord")))
     found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
     return as_findings(
         found, 10, "script", 0, line_no=F.col("at"), col=F.lit(0), rule=F.concat_ws("_", F.lit("reconstructed"), "kind", "name"), secret=F.col("value"),
@@ -285,7 +285,7 @@ def json_findings(docs: DataFrame, rules: Sequence[Rule] = RULES, min_severity:
     keys = as_findings(json_secrets(own), 11, "json_key", 0, line_no=F.lit(0), col=F.lit(0), severity=F.lit(2), context=context)
     rules = [r for r in rules if severity_of(r.severity) >= min_severity]
     found = line_matches(walk_json(own).withColumnRenamed("value", "content"), [(r.name, r.pattern) for r in rules], whole=True)
-    found = found.join(F.broadcast(rule_frame(docs.sparkSession, rules).select("ord", "severity")), "ord")  # as many rows as rules
+    found = found.withColumn("severity", severity_at(rules, F.col("ord")))
     found = found.withColumn("entropy", E.shannon(F.col("value"))).where(F.col("entropy") >= MIN_ENTROPY)
     return keys.unionByName(as_findings(found, 12, "json_rule", 0, line_no=F.lit(0), col=F.lit(0), rule=F.concat(F.lit("json_"), "name"), secret=F.col("value"), context=context))
 
